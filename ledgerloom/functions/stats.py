@@ -22,35 +22,26 @@ def weighted_median(df: DataFrame, group: Sequence[str], value: str, weight: str
 
     Step 1 counts rows per ``(group, bin)`` - partial aggregation, and a hot
     group is spread over its bins. Step 2 finds the bin that holds each middle
-    rank from the running bin totals. Step 3 looks only at the distinct values
-    inside those bins.
+    rank from the running bin totals (one row per bin). Step 3 orders only the
+    values inside those bins. Reads ``df`` twice, so hand in a stored table
+    when it is costly.
     """
-    keyed = df.withColumn("_bin", log_bin(F.col(value)))
-    bins = keyed.groupBy(*group, "_bin").agg(F.sum(weight).alias("_n"))
-    upto = W.partitionBy(*group).orderBy("_bin")
-    totals = bins.select(
-        *group,
-        "_bin",
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
-        "_n",
-        F.sum("_n").over(W.partitionBy(*group)).alias("_total"),
+    keyed = df.select(*group, F.col(value).alias("_v"), F.col(weight).alias("_w"), log_bin(F.col(value)).alias("_bin"))
+    bins = keyed.groupBy(*group, "_bin").agg(F.sum("_w").alias("_n"))
+    along = W.partitionBy(*group).orderBy("_bin")
+    totals = bins.withColumn("_before", F.sum("_n").over(along) - F.col("_n")).withColumn(
+        "_total", F.sum("_n").over(W.partitionBy(*group))
     )
-    lo = F.floor((F.col("_total") - 1) / 2)
-    hi = F.floor(F.col("_total") / 2)
+    lo, hi = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
     holds = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
     picked = totals.where(holds(lo) | holds(hi)).select(
         *[F.col(c).alias(f"_k_{c}") for c in (*group, "_bin")], "_before", lo.alias("_lo"), hi.alias("_hi")
     )
     on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*group, "_bin")]
-    inside = (
-        keyed.join(picked, on, "inner")
-        .groupBy(*group, "_bin", "_before", "_lo", "_hi", value)
-        .agg(F.sum(weight).alias("_n"))
-    )
-    within = W.partitionBy(*group, "_bin").orderBy(value)
-    end = F.col("_before") + F.sum("_n").over(within)
-    placed = inside.select(*group, value, "_lo", "_hi", (end - F.col("_n")).alias("_from"), end.alias("_to"))
+    inside = keyed.join(picked, on, "inner")
+    within = W.partitionBy(*group, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = inside.withColumn("_to", F.col("_before") + F.sum("_w").over(within))
     at = lambda rank: F.max(
-        F.when((F.col("_from") <= F.col(rank)) & (F.col(rank) < F.col("_to")), F.col(value))
+        F.when((F.col("_to") - F.col("_w") <= F.col(rank)) & (F.col(rank) < F.col("_to")), F.col("_v"))
     )
     return placed.groupBy(*group).agg(((at("_lo") + at("_hi")) / 2).alias(name))

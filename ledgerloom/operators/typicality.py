@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from ledgerloom.functions.stats import weighted_median
 from ledgerloom.functions.text import tokens
 from ledgerloom.operators.conditions import Condition, Rule, compile_conditions
 from ledgerloom.operators.rules import first_match
+from ledgerloom.session import materialize
 
 # Fixed values of the method.
 MIN_BUCKET = 8
@@ -56,29 +58,54 @@ def by_draft(txns: DataFrame, conditions: Sequence[Condition]) -> DataFrame:
 # ----------------------------------------------------------------- profiles
 
 
-def bucket_sizes(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("bucket_size"))
+def facts(rows: DataFrame, skip: Iterable[str] = (), letters: str = "a-z") -> DataFrame:
+    """Everything the profiles need, counted in one aggregation.
 
+    ``(bucket, field, value, number, n, first_row)``: the row itself, the four
+    categorical values, the amount per currency, and each distinct word. Every
+    fact is counted map-side first, so a bucket with a third of all rows
+    reaches the shuffle as its distinct facts only.
+    """
+    none = F.lit(None)
 
-def categorical_counts(rows: DataFrame) -> DataFrame:
-    """Occurrences per bucket, field and present value."""
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in CATEGORICAL])
+    def fact(field: str, value: Column, number: Column = none) -> Column:
+        return F.struct(
+            F.lit(field).alias("field"), value.cast("string").alias("value"), number.cast("double").alias("number")
+        )
+
+    words = F.array_distinct(tokens(F.col("description"), letters))
+    if skip:
+        words = F.array_except(words, F.array(*[F.lit(s) for s in skip]))
+    single = [fact("row", none)]
+    if "amount" in rows.columns:
+        present = [F.when(F.col(f) != "", fact(f, F.col(f))) for f in CATEGORICAL]
+        single += [*present, fact("amount", F.col("currency"), F.col("amount"))]
+    listed = F.concat(F.array_compact(F.array(*single)), F.transform(words, lambda t: fact("token", t)))
+    row = F.col("row_index") if "row_index" in rows.columns else none.cast("long")
     return (
-        rows.select("bucket", "row_index", F.explode(cells).alias("c"))
-        .select("bucket", "row_index", "c.field", "c.value")
-        .where("value is not null and value <> ''")
-        .groupBy("bucket", "field", "value")
+        rows.select("bucket", row.alias("row_index"), F.explode(listed).alias("f"))
+        .groupBy("bucket", "f.field", "f.value", "f.number")
         .agg(F.count(F.lit(1)).alias("n"), F.min("row_index").alias("first_row"))
     )
 
 
-def categorical_profile(counts: DataFrame, sizes: DataFrame) -> DataFrame:
+def bucket_sizes(found: DataFrame) -> DataFrame:
+    return found.where("field = 'row'").select("bucket", F.col("n").alias("bucket_size"))
+
+
+def categorical_counts(found: DataFrame) -> DataFrame:
+    """Occurrences per bucket, field and present value."""
+    return found.where(F.col("field").isin(*CATEGORICAL)).select("bucket", "field", "value", "n", "first_row")
+
+
+def categorical_profile(found: DataFrame) -> DataFrame:
     """Mode, its share and the field's coverage; ties go to the value seen first."""
     best = F.struct(F.col("n"), (-F.col("first_row")).alias("early"))
     return (
-        counts.groupBy("bucket", "field")
+        categorical_counts(found)
+        .groupBy("bucket", "field")
         .agg(F.sum("n").alias("present"), F.max("n").alias("mode_n"), F.max_by("value", best).alias("mode"))
-        .join(sizes, "bucket")
+        .join(bucket_sizes(found), "bucket")
         .select(
             "bucket",
             "field",
@@ -90,46 +117,49 @@ def categorical_profile(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     )
 
 
-def amount_profile(rows: DataFrame) -> DataFrame:
+def amount_profile(found: DataFrame) -> DataFrame:
     """Raw median, log median and log MAD per bucket and currency.
 
-    Rows are first reduced to distinct amounts with counts; all medians are
-    taken from those.
+    Works on distinct amounts with counts. The raw and the log median come from
+    one pass; the deviations need the log median and are a second one.
     """
     group = ["bucket", "currency"]
-    amounts = rows.groupBy(*group, "amount").agg(F.count(F.lit(1)).alias("n"))
-    logs = amounts.where("amount <> 0").withColumn("log", F.ln(F.abs("amount")))
-    raw = weighted_median(amounts, group, "amount", "n", "raw_median")
-    center = weighted_median(logs, group, "log", "n", "log_median")
+    amounts = found.where("field = 'amount'").select("bucket", F.col("value").alias("currency"), "number", "n")
+    log = F.ln(F.abs(F.nullif("number", F.lit(0.0))))
+    scales = F.array(
+        F.struct(F.lit("raw").alias("scale"), F.col("number").alias("x")),
+        F.struct(F.lit("log").alias("scale"), log.alias("x")),
+    )
+    both = amounts.select(*group, "n", F.explode(scales).alias("s")).select(*group, "n", "s.scale", "s.x")
+    medians = weighted_median(both.where("x is not null"), [*group, "scale"], "x", "n", "median")
+    center = medians.groupBy(*group).agg(
+        F.max(F.when(F.col("scale") == "raw", F.col("median"))).alias("raw_median"),
+        F.max(F.when(F.col("scale") == "log", F.col("median"))).alias("log_median"),
+    )
+    center = materialize(center, "medians")
     deviations = (
-        logs.join(center, group).withColumn("dev", F.abs(F.col("log") - F.col("log_median")))
+        amounts.withColumn("log", log)
+        .where("log is not null")
+        .join(center, group)
+        .select(*group, "n", F.abs(F.col("log") - F.col("log_median")).alias("dev"))
     )
     mad = weighted_median(deviations, group, "dev", "n", "log_mad")
-    sizes = logs.groupBy(*group).agg(F.sum("n").alias("amount_n"))
-    return (
-        raw.join(center, group, "left")
-        .join(mad, group, "left")
-        .join(sizes, group, "left")
-        .select(
-            *group,
-            "raw_median",
-            F.coalesce("log_median", F.lit(0.0)).alias("log_median"),
-            F.coalesce("log_mad", F.lit(0.0)).alias("log_mad"),
-            F.coalesce("amount_n", F.lit(0)).alias("amount_n"),
-        )
+    sizes = amounts.where("number <> 0").groupBy(*group).agg(F.sum("n").alias("amount_n"))
+    return center.join(mad, group, "left").join(sizes, group, "left").select(
+        *group,
+        "raw_median",
+        F.coalesce("log_median", F.lit(0.0)).alias("log_median"),
+        F.coalesce("log_mad", F.lit(0.0)).alias("log_mad"),
+        F.coalesce("amount_n", F.lit(0)).alias("amount_n"),
     )
 
 
-def token_frequency(rows: DataFrame, sizes: DataFrame, skip: Iterable[str] = (), letters: str = "a-z") -> DataFrame:
+def token_frequency(found: DataFrame) -> DataFrame:
     """Share of a bucket's rows whose description holds the token."""
-    words = F.array_distinct(tokens(F.col("description"), letters))
-    counted = (
-        rows.select("bucket", F.explode(words).alias("token"))
-        .where(~F.col("token").isin(*skip) if skip else F.lit(True))
-        .groupBy("bucket", "token")
-        .agg(F.count(F.lit(1)).alias("n"))
+    words = found.where("field = 'token'").select("bucket", F.col("value").alias("token"), "n")
+    return words.join(bucket_sizes(found), "bucket").select(
+        "bucket", "token", (F.col("n") / F.col("bucket_size")).alias("df")
     )
-    return counted.join(sizes, "bucket").select("bucket", "token", (F.col("n") / F.col("bucket_size")).alias("df"))
 
 
 # -------------------------------------------------------------------- gates
@@ -195,31 +225,53 @@ def noisy_or(scores: Column) -> Column:
     return 1 - F.aggregate(scores, F.lit(1.0), lambda acc, s: acc * (1 - s["a"]))
 
 
-def score_rows(rows: DataFrame, filtered: dict[int, set[str]], skip: Iterable[str] = ()) -> DataFrame:
-    """Every row of the buckets large enough, with its field scores.
+@dataclass(frozen=True)
+class Profile:
+    """Stored profiles of all buckets (see ``fit``)."""
 
-    Adds ``bucket_size``, ``scores`` (array of field, a, value) and
-    ``atypicality``.
+    facts: DataFrame
+    values: DataFrame
+    amounts: DataFrame
+    buckets: DataFrame
+
+
+def fit(rows: DataFrame, filtered: dict[int, set[str]], skip: Iterable[str] = ()) -> Profile:
+    """Profile the buckets; every intermediate result is stored once.
+
+    One pass over the rows; all further steps read the stored facts.
     """
-    sizes = bucket_sizes(rows)
-    counts = categorical_counts(rows)
-    categorical = informative_categorical(categorical_profile(counts, sizes), filtered)
-    amounts = informative_amounts(amount_profile(rows))
-    core = core_tokens(token_frequency(rows, sizes, skip))
+    found = materialize(facts(rows, skip), "facts")
+    informative = informative_categorical(categorical_profile(found), filtered)
+    a = categorical_atypicality(F.col("n"), F.col("present"), F.col("p_mode"))
+    values = informative.join(categorical_counts(found), ["bucket", "field"]).select(
+        "bucket", "field", "value", a.alias("a")
+    )
+    buckets = bucket_sizes(found).join(core_tokens(token_frequency(found)), "bucket", "left")
+    return Profile(
+        found,
+        materialize(values, "values"),
+        materialize(informative_amounts(amount_profile(found)), "amounts"),
+        materialize(buckets, "buckets"),
+    )
+
+
+def score(rows: DataFrame, profile: Profile, skip: Iterable[str] = ()) -> DataFrame:
+    """Every row of the buckets large enough, with its field scores.
 
-    out = rows.join(sizes.where(F.col("bucket_size") >= MIN_BUCKET), "bucket")
+    Adds ``bucket_size``, ``scores`` (array of rank, field, a, value) and
+    ``atypicality``. The row keeps its place: all sides hold one row per key.
+    """
+    out = rows.join(profile.buckets.where(F.col("bucket_size") >= MIN_BUCKET), "bucket")
     parts: list[Column] = []
-    usable = categorical.join(counts, ["bucket", "field"]).select(
-        "bucket", "field", "value", categorical_atypicality(F.col("n"), F.col("present"), F.col("p_mode")).alias("_a")
-    )
     for f in CATEGORICAL:
-        side = usable.where(F.col("field") == f).select("bucket", F.col("value").alias(f), F.col("_a").alias(f"_a_{f}"))
+        side = profile.values.where(F.col("field") == f).select(
+            "bucket", F.col("value").alias(f), F.col("a").alias(f"_a_{f}")
+        )
         out = out.join(side, ["bucket", f], "left")
         parts.append(_score(f, F.col(f"_a_{f}"), F.col(f)))
-    out = out.join(amounts, ["bucket", "currency"], "left")
+    out = out.join(profile.amounts, ["bucket", "currency"], "left")
     a = F.when(F.col("log_mad").isNotNull(), amount_atypicality(F.col("amount"), F.col("log_median"), F.col("log_mad")))
     parts.append(_score("amount", a, amount_multiple(F.col("amount"), F.col("raw_median")).cast("string")))
-    out = out.join(core, "bucket", "left")
     words = F.array_distinct(tokens(F.col("description")))
     if skip:
         words = F.array_except(words, F.array(*[F.lit(s) for s in skip]))

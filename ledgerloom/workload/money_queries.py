@@ -460,9 +460,14 @@ def g8(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bucketed(spark: SparkSession, sf: str) -> DataFrame:
-    return ty.by_winning_rule(indexed_txn(spark, sf), RULES).select(
-        "bucket", "file_id", "row_index", F.col("src_row"), "mcc", "counterparty", "currency", "bank_category", "amount", "description"
-    ).withColumn("row_index", F.col("src_row"))
+    rows = txn(spark, sf).withColumn("row_index", F.col("src_row"))
+    return ty.by_winning_rule(rows, RULES).select(
+        "bucket", "row_index", "src_row", "mcc", "counterparty", "currency", "bank_category", "amount", "description"
+    )
+
+
+def stored_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return materialize(ty.facts(bucketed(spark, sf)), "facts")
 
 
 BUCKETED = TXN + f""",
@@ -518,8 +523,7 @@ scored AS (
     with_(BUCKETED, "SELECT bucket, field, present, mode, round(p_mode, 9) AS p_mode, round(coverage, 9) AS coverage FROM cp"),
 )
 def e13(spark: SparkSession, sf: str) -> DataFrame:
-    rows = bucketed(spark, sf)
-    prof = ty.categorical_profile(ty.categorical_counts(rows), ty.bucket_sizes(rows))
+    prof = ty.categorical_profile(ty.facts(bucketed(spark, sf)))
     return prof.withColumn("p_mode", F.round("p_mode", 9)).withColumn("coverage", F.round("coverage", 9))
 
 
@@ -531,7 +535,7 @@ def e13(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def e14(spark: SparkSession, sf: str) -> DataFrame:
-    p = ty.amount_profile(bucketed(spark, sf))
+    p = ty.amount_profile(stored_facts(spark, sf))
     return p.select(
         "bucket",
         "currency",
@@ -544,8 +548,7 @@ def e14(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("E15_token_frequency", with_(BUCKETED, "SELECT bucket, token, round(df, 9) AS df FROM df"))
 def e15(spark: SparkSession, sf: str) -> DataFrame:
-    rows = bucketed(spark, sf)
-    return ty.token_frequency(rows, ty.bucket_sizes(rows)).withColumn("df", F.round("df", 9))
+    return ty.token_frequency(ty.facts(bucketed(spark, sf))).withColumn("df", F.round("df", 9))
 
 
 def document_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -562,8 +565,7 @@ def document_rows(spark: SparkSession, sf: str) -> DataFrame:
 SELECT bucket, token, round(count(*) / any_value(n)::DOUBLE, 9) AS df FROM tok JOIN sizes USING (bucket) GROUP BY bucket, token""",
 )
 def e15_docs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = document_rows(spark, sf)
-    return ty.token_frequency(rows, ty.bucket_sizes(rows)).withColumn("df", F.round("df", 9))
+    return ty.token_frequency(ty.facts(document_rows(spark, sf))).withColumn("df", F.round("df", 9))
 
 
 @query(
@@ -576,20 +578,20 @@ UNION ALL SELECT bucket, 'description' FROM df WHERE df >= 0.5 GROUP BY bucket""
     ),
 )
 def e16(spark: SparkSession, sf: str) -> DataFrame:
-    rows = bucketed(spark, sf)
-    sizes = ty.bucket_sizes(rows)
-    fields = ty.informative_categorical(
-        ty.categorical_profile(ty.categorical_counts(rows), sizes), ty.rule_fields(RULES)
-    ).select("bucket", F.col("field").alias("what"))
-    amounts = ty.informative_amounts(ty.amount_profile(rows)).select(
+    found = stored_facts(spark, sf)
+    fields = ty.informative_categorical(ty.categorical_profile(found), ty.rule_fields(RULES)).select(
+        "bucket", F.col("field").alias("what")
+    )
+    amounts = ty.informative_amounts(ty.amount_profile(found)).select(
         "bucket", F.concat(F.lit("amount:"), "currency").alias("what")
     )
-    text = ty.core_tokens(ty.token_frequency(rows, sizes)).select("bucket", F.lit("description").alias("what"))
+    text = ty.core_tokens(ty.token_frequency(found)).select("bucket", F.lit("description").alias("what"))
     return fields.unionByName(amounts).unionByName(text)
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return ty.score_rows(bucketed(spark, sf), ty.rule_fields(RULES))
+    rows = materialize(bucketed(spark, sf), "bucketed")
+    return ty.score(rows, ty.fit(rows, ty.rule_fields(RULES)))
 
 
 def _field_score(field: str):
@@ -613,7 +615,7 @@ _REASONS = """array_to_string(list_filter([
   CASE WHEN a_amount >= 0.5 THEN 'amount=' || CAST(CAST(floor(abs(amount) / abs(raw_median) + 0.5) AS BIGINT) AS VARCHAR) END,
   CASE WHEN a_description >= 0.5 THEN 'description' END,
   CASE WHEN a_counterparty >= 0.5 THEN 'counterparty=' || counterparty END,
-  CASE WHEN a_currency >= 0.5 THEN 'currency=' || currency END,
+  CASE WHEN a_currency >= 0.5 THEN 'currency=' || s.currency END,
   CASE WHEN a_bank_category >= 0.5 THEN 'bank_category=' || bank_category END], lambda x: x IS NOT NULL), ',')"""
 
 
@@ -637,7 +639,7 @@ def e18(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("E19_buckets", with_(BUCKETED, "SELECT bucket, bucket_size FROM sizes"))
 def e19(spark: SparkSession, sf: str) -> DataFrame:
-    return ty.bucket_sizes(bucketed(spark, sf))
+    return ty.bucket_sizes(ty.facts(bucketed(spark, sf)))
 
 
 @query(
@@ -710,9 +712,10 @@ SELECT row_index AS src_row, string_agg(token, ' ' ORDER BY token) AS rare_token
     ),
 )
 def h9(spark: SparkSession, sf: str) -> DataFrame:
-    rows = bucketed(spark, sf)
-    hits = ty.flagged(ty.score_rows(rows, ty.rule_fields(RULES)))
-    words = ty.rare_tokens(hits, ty.token_frequency(rows, ty.bucket_sizes(rows)))
+    rows = materialize(bucketed(spark, sf), "bucketed")
+    profile = ty.fit(rows, ty.rule_fields(RULES))
+    hits = ty.flagged(ty.score(rows, profile))
+    words = ty.rare_tokens(materialize(hits, "flagged"), ty.token_frequency(profile.facts))
     return words.select(F.col("row_index").alias("src_row"), "rare_tokens")
 
 
@@ -733,7 +736,7 @@ def d15(spark: SparkSession, sf: str) -> DataFrame:
 )
 def i17(spark: SparkSession, sf: str) -> DataFrame:
     rows = bucketed(spark, sf)
-    p = ty.amount_profile(rows).select("bucket", "currency", "raw_median")
+    p = ty.amount_profile(materialize(ty.facts(rows), "facts")).select("bucket", "currency", "raw_median")
     return rows.join(p, ["bucket", "currency"]).select(
         "src_row", ty.amount_multiple(F.col("amount"), F.col("raw_median")).alias("multiple")
     )
