@@ -285,20 +285,22 @@ def records(lines: DataFrame) -> DataFrame:
     return single.unionByName(joined)
 
 
-def split_records(found: DataFrame) -> DataFrame:
-    """Cells of every non-empty record."""
-    return found.where("record <> ''").withColumn("cells", split_record(F.col("record"), F.col("delimiter")))
+def parse_records(found: DataFrame) -> DataFrame:
+    """Cells and problems of every record, from one pass over the text.
+
+    Empty lines get no cells and an ``empty-line`` problem.
+    """
+    record, delimiter = F.col("record"), F.col("delimiter")
+    empty = F.array(F.struct(F.lit("empty-line").alias("what"), F.lit(None).cast("string").alias("raw")))
+    problems = F.when(record == "", empty).when(record.contains('"'), quote_problems(record, delimiter))
+    cells = F.when(record != "", split_record(record, delimiter))
+    return found.select("file_id", "src_row", "row_block", cells.alias("cells"), problems.alias("problems"))
 
 
-def record_issues(found: DataFrame) -> DataFrame:
+def record_issues(parsed: DataFrame) -> DataFrame:
     """Empty lines and recovered quotes."""
-    empty = F.when(
-        F.col("record") == "",
-        F.array(F.struct(F.lit("empty-line").alias("what"), F.lit(None).cast("string").alias("raw"))),
-    )
-    quotes = F.when(F.col("record").contains('"'), quote_problems(F.col("record"), F.col("delimiter")))
     action = F.when(F.col("p.what") == "empty-line", "skipped-row").otherwise("recovered-quote")
-    return found.select("file_id", "src_row", F.explode(F.coalesce(empty, quotes)).alias("p")).select(
+    return parsed.select("file_id", "src_row", F.explode("problems").alias("p")).select(
         "file_id",
         F.col("src_row").alias("row"),
         F.lit(None).cast("int").alias("column"),

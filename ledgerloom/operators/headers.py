@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.indexing import dense_index
+from ledgerloom.functions.indexing import dense_index, in_even_sample
 from ledgerloom.functions.text import PLACEHOLDER_CELLS, trimmed
 
 # Fixed values of the scoring.
@@ -82,17 +82,23 @@ def detect_headers(rows: DataFrame) -> DataFrame:
     )
 
 
-def unique_keys(cells: Column) -> Column:
-    """Column keys: blanks become ``col_N``, repeats get ``_2``, ``_3``, ..."""
-    base = F.transform(
-        cells, lambda c, i: F.when(trimmed(c) == "", F.concat(F.lit("col_"), (i + 1).cast("string"))).otherwise(c)
-    )
-
-    def numbered(key: Column, i: Column) -> Column:
-        nth = F.size(F.filter(F.slice(base, F.lit(1), i + 1), lambda k: k == key))
-        return F.when(nth > 1, F.concat(key, F.lit("_"), nth.cast("string"))).otherwise(key)
+def unique_keys(headers: DataFrame, cells: str = "header_cells") -> DataFrame:
+    """``(file_id, keys)``: blanks become ``col_N``, repeats get ``_2``, ``_3``.
 
-    return F.transform(base, numbered)
+    Works on header rows only; occurrences are numbered by a window over the
+    exploded cells, so very wide headers stay cheap.
+    """
+    long = headers.select("file_id", F.posexplode(cells).alias("_i", "_c"))
+    blank = F.concat(F.lit("col_"), (F.col("_i") + 1).cast("string"))
+    based = long.withColumn("_base", F.when(trimmed(F.col("_c")) == "", blank).otherwise(F.col("_c")))
+    nth = F.row_number().over(W.partitionBy("file_id", "_base").orderBy("_i"))
+    key = F.when(F.col("_nth") > 1, F.concat_ws("_", "_base", F.col("_nth").cast("string"))).otherwise(F.col("_base"))
+    listed = F.array_sort(F.collect_list(F.struct("_i", key.alias("key"))))
+    return (
+        based.withColumn("_nth", nth)
+        .groupBy("file_id")
+        .agg(F.transform(listed, lambda k: k["key"]).alias("keys"))
+    )
 
 
 def positional_keys(n: Column) -> Column:
@@ -105,8 +111,13 @@ def with_keys(headers: DataFrame, rows: DataFrame) -> DataFrame:
     """Keys per file; files without a header get positions up to their widest
     row."""
     widest = rows.groupBy("file_id").agg(F.max(F.size("cells")).alias("_widest"))
-    keys = F.coalesce(unique_keys(F.col("header_cells")), positional_keys(F.col("_widest")))
-    return headers.join(widest, "file_id").withColumn("keys", keys).drop("_widest")
+    named = unique_keys(headers).withColumnRenamed("keys", "_named")
+    return (
+        headers.join(widest, "file_id")
+        .join(named, "file_id", "left")
+        .withColumn("keys", F.coalesce("_named", positional_keys(F.col("_widest"))))
+        .drop("_widest", "_named")
+    )
 
 
 def header_issues(headers: DataFrame) -> DataFrame:
@@ -248,8 +259,6 @@ def schema_errors(rows: DataFrame) -> DataFrame:
 
 def sample_cells(rows: DataFrame, at_most: int = 10) -> DataFrame:
     """Evenly spaced preview rows of each file, as cells."""
-    from ledgerloom.functions.indexing import in_even_sample
-
     sizes = rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("file_rows"))
     n = F.least(F.col("file_rows"), F.lit(at_most))
     picked = rows.join(sizes, "file_id").where(in_even_sample(F.col("row_index"), F.col("file_rows"), n))
