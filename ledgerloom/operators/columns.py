@@ -39,41 +39,50 @@ def _cell(text=None, number=None, date=None, error=None, ignore=None) -> Column:
     )
 
 
+def let(value: Column, build) -> Column:
+    """Bind a computed value once inside a cell expression."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def as_date(raw: Column, fmt: Column) -> Column:
-    value = parse_date_by(raw, fmt)
-    return _cell(date=value, error=F.when(value.isNull(), "date-parse-failed"))
+    return let(
+        parse_date_by(raw, fmt), lambda v: _cell(date=v, error=F.when(v.isNull(), F.lit("date-parse-failed")))
+    )
 
 
 def as_amount(raw: Column, kind: Column) -> Column:
     """Outcomes are kept unsigned; income and zero are labelled, not lost."""
-    value = parse_number(raw)
-    ignore = (
-        F.when(kind == "income", "income-value-ignored")
-        .when(value == 0, "zero-value-ignored")
-        .when((kind == "mixed") & (value > 0), "positive-value-ignored")
-    )
-    kept = F.when(kind.isin("outcome", "mixed"), F.abs(value)).otherwise(value)
-    return _cell(
-        number=kept,
-        error=F.when(value.isNull(), "amount-parse-failed"),
-        ignore=F.when(value.isNotNull(), ignore),
-    )
+
+    def build(value: Column) -> Column:
+        ignore = (
+            F.when(kind == "income", "income-value-ignored")
+            .when(value == 0, "zero-value-ignored")
+            .when((kind == "mixed") & (value > 0), "positive-value-ignored")
+        )
+        return _cell(
+            number=F.when(kind.isin("outcome", "mixed"), F.abs(value)).otherwise(value),
+            error=F.when(value.isNull(), "amount-parse-failed"),
+            ignore=F.when(value.isNotNull(), ignore),
+        )
+
+    return let(parse_number(raw), build)
 
 
 def as_currency(raw: Column, maps: dict | None = None) -> Column:
     """Alphabetic code, then numeric code, then symbol unless ambiguous."""
     maps = maps or lookup_maps()
-    text = trimmed(raw)
-    number = parse_number(raw)
-    numeric = F.when(number == F.floor(number), F.floor(number).cast("string"))
-    ambiguous = get(maps["ambiguous"], text).isNotNull()
-    code = F.coalesce(
-        get(maps["code"], F.upper(text)),
-        get(maps["numeric"], numeric),
-        F.when(~ambiguous, get(maps["symbol"], text)),
-    )
-    error = F.when(code.isNotNull(), F.lit(None)).when(ambiguous, "currency-ambiguous").otherwise("currency-parse-failed")
-    return _cell(text=code, error=error)
+
+    def build(x: Column) -> Column:
+        text, number = x["text"], x["number"]
+        whole = F.when(number == F.floor(number), F.floor(number).cast("string"))
+        code = F.coalesce(get(maps["code"], F.upper(text)), get(maps["numeric"], whole))
+        symbol = F.when(get(maps["ambiguous"], text).isNull(), get(maps["symbol"], text))
+        return F.coalesce(code, symbol)
+
+    seen = F.struct(trimmed(raw).alias("text"), parse_number(raw).alias("number"))
+    ambiguous = get(maps["ambiguous"], trimmed(raw)).isNotNull()
+    reason = F.when(ambiguous, "currency-ambiguous").otherwise("currency-parse-failed")
+    return let(let(seen, build), lambda code: _cell(text=code, error=F.when(code.isNull(), reason)))
 
 
 def as_text(raw: Column) -> Column:
@@ -83,8 +92,10 @@ def as_text(raw: Column) -> Column:
 def as_number(raw: Column) -> Column:
     """Null-like texts are empty cells, anything else must be a number."""
     empty = is_null_like(raw)
-    value = F.when(~empty, parse_number(raw))
-    return _cell(number=value, error=F.when(~empty & value.isNull(), "number-parse-failed"))
+    return let(
+        F.when(~empty, parse_number(raw)),
+        lambda v: _cell(number=v, error=F.when(v.isNull() & ~empty, "number-parse-failed")),
+    )
 
 
 def as_status(raw: Column, success: Column) -> Column:
@@ -116,7 +127,8 @@ def parse_cell(raw: Column, col: Column) -> Column:
 
 
 def typed_rows(rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """Add ``typed``: one struct per column, in column order.
+    """Add ``typed``: ``struct<col_id, definition, raw, v>`` per column, in
+    column order; ``v`` holds text, number, date, error and ignore.
 
     ``rows(file_id, ..., cells)`` meets its file's column list once. Cells
     beyond the described columns are not mapped and stay raw.
@@ -125,12 +137,11 @@ def typed_rows(rows: DataFrame, columns: DataFrame) -> DataFrame:
 
     def one(col: Column, i: Column) -> Column:
         raw = F.get("cells", i)
-        cell = parse_cell(raw, col)
         return F.struct(
             col["col_id"].alias("col_id"),
             col["definition"].alias("definition"),
             raw.alias("raw"),
-            *[cell[f].alias(f) for f in ("text", "number", "date", "error", "ignore")],
+            parse_cell(raw, col).alias("v"),
         )
 
     return joined.withColumn("typed", F.transform("cols", one))
@@ -144,7 +155,7 @@ def column_errors(typed: DataFrame, limit: float = m.MAX_COLUMN_ERROR_RATIO) ->
     cells = typed.select("file_id", F.explode("typed").alias("c"))
     return (
         cells.groupBy("file_id", F.col("c.col_id").alias("col_id"), F.col("c.definition").alias("definition"))
-        .agg(F.count(F.lit(1)).alias("total"), F.count("c.error").alias("errors"))
+        .agg(F.count(F.lit(1)).alias("total"), F.count("c.v.error").alias("errors"))
         .withColumn("error_ratio", F.col("errors") / F.col("total"))
         .withColumn("rejected", F.col("error_ratio") > limit)
     )
@@ -154,7 +165,7 @@ def rejection_details(typed: DataFrame, gate: DataFrame) -> DataFrame:
     """Every cell error of the rejected columns."""
     bad = gate.where("rejected").select("file_id", "col_id")
     cells = typed.select("file_id", "row_index", F.explode("typed").alias("c")).select(
-        "file_id", "row_index", "c.col_id", "c.raw", "c.error"
+        "file_id", "row_index", "c.col_id", "c.raw", "c.v.error"
     )
     return cells.where("error is not null").join(bad, ["file_id", "col_id"], "left_semi")
 

@@ -111,29 +111,29 @@ def _typed(definition: str) -> Column:
 
 def joined_text(definition: str) -> Column:
     """One column: its value. Several: the non-empty ones joined by a blank."""
-    values = F.transform(_typed(definition), lambda c: c["text"])
+    values = F.transform(_typed(definition), lambda c: c["v"]["text"])
     filled = F.filter(values, lambda v: v.isNotNull() & (v != ""))
     return F.when(F.size(values) == 1, values[0]).when(F.size(values) > 1, F.array_join(filled, " "))
 
 
 def first_text(definition: str) -> Column:
-    return _first(_typed(definition))["text"]
+    return _first(_typed(definition))["v"]["text"]
 
 
 def ignore_reason() -> Column:
     """Label of the first AMOUNT column that says the row is no expense."""
-    return _first(F.filter("typed", lambda c: (c["definition"] == m.AMOUNT) & c["ignore"].isNotNull()))["ignore"]
+    return _first(F.filter("typed", lambda c: (c["definition"] == m.AMOUNT) & c["v"]["ignore"].isNotNull()))["v"]["ignore"]
 
 
 def status_reason() -> Column:
-    return _first(F.filter("typed", lambda c: (c["definition"] == m.STATUS) & c["ignore"].isNotNull()))["ignore"]
+    return _first(F.filter("typed", lambda c: (c["definition"] == m.STATUS) & c["v"]["ignore"].isNotNull()))["v"]["ignore"]
 
 
 def _identity_texts() -> dict[str, Column]:
-    text = lambda d: many_text(F.transform(_typed(d), lambda c: c["text"]))
-    number = lambda d: many_text(F.transform(_typed(d), lambda c: number_text(c["number"])))
+    text = lambda d: many_text(F.transform(_typed(d), lambda c: c["v"]["text"]))
+    number = lambda d: many_text(F.transform(_typed(d), lambda c: number_text(c["v"]["number"])))
     return {
-        "date": many_text(F.transform(_typed(m.DATE), lambda c: c["date"].cast("string"))),
+        "date": many_text(F.transform(_typed(m.DATE), lambda c: c["v"]["date"].cast("string"))),
         "amount": number(m.AMOUNT),
         "description": text(m.DESCRIPTION),
         "counterparty": text(m.COUNTERPARTY),
@@ -153,7 +153,7 @@ def _side_operation(
     Without an amount there is none; an unreadable cell or a missing date
     becomes an error, so that no money is lost silently.
     """
-    cell, col = _first(_typed(definition)), _first(_of(definition))
+    cell, col = _first(_typed(definition))["v"], _first(_of(definition))
     iso = symbol_to_iso(F.upper(col["currency_code"]))
     currency = F.when(col["currency_mode"] == "code", iso).otherwise(F.lit(base_currency))
     error = F.coalesce(
@@ -183,14 +183,14 @@ def operations(typed: DataFrame, base_currency: str, honor_status: bool = False)
     yields its commission and cashback; an unreadable row yields nothing else.
     Files with structural errors must be removed before.
     """
-    date = _first(_typed(m.DATE))["date"]
-    amount_cell = F.get("typed", F.col("amount_col"))
-    currency_cell = F.get("typed", F.col("currency_col"))
+    date = _first(_typed(m.DATE))["v"]["date"]
+    amount_cell = F.get("typed", F.col("amount_col"))["v"]
+    currency_cell = F.get("typed", F.col("currency_col"))["v"]
     currency = F.coalesce(F.col("currency_fixed"), currency_cell["text"])
     skip = F.coalesce(ignore_reason(), status_reason()) if honor_status else ignore_reason()
     error = F.coalesce(
         F.col("choice_error"),
-        F.when(date.isNull(), F.coalesce(_first(_typed(m.DATE))["error"], F.lit("no-date"))),
+        F.when(date.isNull(), F.coalesce(_first(_typed(m.DATE))["v"]["error"], F.lit("no-date"))),
         F.when(amount_cell["number"].isNull(), F.coalesce(amount_cell["error"], F.lit("no-amount"))),
         F.when(currency.isNull(), F.coalesce(currency_cell["error"], F.lit("no-currency"))),
     )

@@ -161,7 +161,7 @@ def typed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cell(i: int, field: str) -> Column:
-    return F.get("typed", F.lit(i))[field]
+    return F.get("typed", F.lit(i))["v"][field]
 
 
 # ------------------------------------------------------------- E1-E5, H5, I1-I4
