@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import trimmed
 
-_ALLOWED = r"^[\d\s\u00a0\u2000-\u200a\u202f,.'-]*$"
+_READABLE = r"^-?[\d\s\u00a0\u2000-\u200a\u202f,.']*$"
 _PREFIX = r"^-?(?:\d+\.?\d*|\.\d+)"
 
 
-def _last(c: Column, char: str) -> Column:
-    """1-based position of the last ``char``; 0 when absent."""
-    back = F.instr(F.reverse(c), char)
-    return F.when(back == 0, F.lit(0)).otherwise(F.length(c) - back + 1)
+def _count(c: Column, char: str) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit(char), F.lit("")))
+
+
+def _from_end(c: Column, char: str) -> Column:
+    """Distance of the last ``char`` from the end; large when absent."""
+    at = F.instr(F.reverse(c), char)
+    return F.when(at == 0, F.lit(1_000_000)).otherwise(at)
 
 
 def parse_number(c: Column) -> Column:
@@ -23,20 +27,17 @@ def parse_number(c: Column) -> Column:
     One leading plus is allowed. Two or more dots make the comma the decimal
     mark, two or more commas make it the dot, otherwise the later of the two
     wins (a lone comma is a decimal comma). Blanks and apostrophes group
-    digits. A minus sign inside the number makes it unreadable.
+    digits. A minus sign inside the number makes it unreadable; the number ends
+    at the first character that cannot belong to it.
     """
-    text = F.regexp_replace(trimmed(c), r"^\+", "")
+    plain = trimmed(c)
+    text = F.when(plain.startswith("+"), F.substring(plain, 2, 1_000_000)).otherwise(plain)
     comma_decimal = (
-        F.when(F.regexp_count(text, F.lit(r"\.")) > 1, F.lit(True))
-        .when(F.regexp_count(text, F.lit(",")) > 1, F.lit(False))
-        .otherwise(_last(text, ".") <= _last(text, ","))
+        F.when(_count(text, ".") > 1, F.lit(True))
+        .when(_count(text, ",") > 1, F.lit(False))
+        .otherwise(_from_end(text, ",") <= _from_end(text, "."))
     )
-    packed = F.regexp_replace(text, r"[ ']", "")
-    dotted = F.when(
-        comma_decimal,
-        F.regexp_replace(F.regexp_replace(packed, r"\.", ""), ",", "."),
-    ).otherwise(F.regexp_replace(packed, ",", ""))
-    inner_minus = F.instr(F.substring(text, 2, 1_000_000), "-") > 0
-    readable = text.rlike(_ALLOWED) & ~inner_minus
+    # translate drops the characters that have no counterpart.
+    dotted = F.when(comma_decimal, F.translate(text, ",.' ", ".")).otherwise(F.translate(text, ",' ", ""))
     prefix = F.regexp_extract(dotted, _PREFIX, 0)
-    return F.when(readable & (prefix != ""), prefix.try_cast("double"))
+    return F.when(text.rlike(_READABLE), F.coalesce(dotted.try_cast("double"), prefix.try_cast("double")))

@@ -24,12 +24,15 @@ MIN_TOKEN_LENGTH = 3
 MAX_MATCH_INPUT = 1000
 
 # White space as the statement formats use it (includes no-break spaces).
-_SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+BLANKS = (
+    " \t\n\u000b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 
 
 def trimmed(c: Column) -> Column:
     """``trim`` that also removes tabs, line breaks and no-break spaces."""
-    return F.regexp_replace(c, f"^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def is_null_like(c: Column) -> Column:

@@ -71,18 +71,16 @@ def as_amount(raw: Column, kind: Column) -> Column:
 def as_currency(raw: Column, maps: dict | None = None) -> Column:
     """Alphabetic code, then numeric code, then symbol unless ambiguous."""
     maps = maps or lookup_maps()
-
-    def build(x: Column) -> Column:
-        text, number = x["text"], x["number"]
-        whole = F.when(number == F.floor(number), F.floor(number).cast("string"))
-        code = F.coalesce(get(maps["code"], F.upper(text)), get(maps["numeric"], whole))
-        symbol = F.when(get(maps["ambiguous"], text).isNull(), get(maps["symbol"], text))
-        return F.coalesce(code, symbol)
-
-    seen = F.struct(trimmed(raw).alias("text"), parse_number(raw).alias("number"))
-    ambiguous = get(maps["ambiguous"], trimmed(raw)).isNotNull()
+    text = trimmed(raw)
+    whole = lambda n: get(maps["numeric"], F.when(n == F.floor(n), F.floor(n).cast("string")))
+    ambiguous = get(maps["ambiguous"], text).isNotNull()
+    code = F.coalesce(
+        get(maps["code"], F.upper(text)),
+        let(parse_number(raw), whole),
+        F.when(~ambiguous, get(maps["symbol"], text)),
+    )
     reason = F.when(ambiguous, "currency-ambiguous").otherwise("currency-parse-failed")
-    return let(let(seen, build), lambda code: _cell(text=code, error=F.when(code.isNull(), reason)))
+    return let(code, lambda c: _cell(text=c, error=F.when(c.isNull(), reason)))
 
 
 def as_text(raw: Column) -> Column:
@@ -127,16 +125,17 @@ def parse_cell(raw: Column, col: Column) -> Column:
 
 
 def typed_rows(rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """Add ``typed``: ``struct<col_id, definition, raw, v>`` per column, in
-    column order; ``v`` holds text, number, date, error and ignore.
+    """Add ``typed``: ``struct<col_id, definition, raw, v>`` per described
+    column; ``v`` holds text, number, date, error and ignore. Describe only the
+    columns that are needed: no other cell is parsed.
 
     ``rows(file_id, ..., cells)`` meets its file's column list once. Cells
     beyond the described columns are not mapped and stay raw.
     """
     joined = rows.join(columns, "file_id")
 
-    def one(col: Column, i: Column) -> Column:
-        raw = F.get("cells", i)
+    def one(col: Column) -> Column:
+        raw = F.get("cells", col["col_id"])
         return F.struct(
             col["col_id"].alias("col_id"),
             col["definition"].alias("definition"),

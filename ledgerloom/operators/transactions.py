@@ -184,8 +184,8 @@ def operations(typed: DataFrame, base_currency: str, honor_status: bool = False)
     Files with structural errors must be removed before.
     """
     date = _first(_typed(m.DATE))["v"]["date"]
-    amount_cell = F.get("typed", F.col("amount_col"))["v"]
-    currency_cell = F.get("typed", F.col("currency_col"))["v"]
+    at = lambda i: _first(F.filter("typed", lambda c: c["col_id"] == F.col(i)))["v"]
+    amount_cell, currency_cell = at("amount_col"), at("currency_col")
     currency = F.coalesce(F.col("currency_fixed"), currency_cell["text"])
     skip = F.coalesce(ignore_reason(), status_reason()) if honor_status else ignore_reason()
     error = F.coalesce(

@@ -161,7 +161,14 @@ def typed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cell(i: int, field: str) -> Column:
-    return F.get("typed", F.lit(i))["v"][field]
+    return F.try_element_at(F.filter("typed", lambda c: c["col_id"] == i), F.lit(1))["v"][field]
+
+
+def typed_column(spark: SparkSession, sf: str, i: int) -> DataFrame:
+    """Typed rows with one described column."""
+    rows = materialize(raw_rows(spark, sf), "raw")
+    wanted = mapping(spark, sf).where(F.col("col_id") == i)
+    return col.typed_rows(rows, col.file_columns(detect.resolve_auto(rows, wanted)))
 
 
 # ------------------------------------------------------------- E1-E5, H5, I1-I4
@@ -322,25 +329,28 @@ def b0_details(spark: SparkSession, sf: str) -> DataFrame:
     return col.rejection_details(rows, col.column_errors(rows)).select("file_id", "row_index", "col_id", "raw")
 
 
-def _typed_query(name: str, sql: str, build) -> None:
-    query(name, with_(RAW, sql))(lambda spark, sf: build(typed(spark, sf)))
+def _typed_query(name: str, sql: str, i: int, build) -> None:
+    query(name, with_(RAW, sql))(lambda spark, sf: build(typed_column(spark, sf, i)))
 
 
 _YEAR2000 = "CASE WHEN layout < 3 OR year(c_date) >= 2000 THEN c_date WHEN c_date IS NOT NULL THEN c_date + INTERVAL 100 YEAR END::DATE"
 _typed_query(
     "B1_date_column",
     f"SELECT src_row, {_YEAR2000} AS date, CASE WHEN c_date IS NULL THEN 'date-parse-failed' END AS error FROM cells",
+    0,
     lambda d: d.select("src_row", cell(0, "date").alias("date"), cell(0, "error").alias("error")),
 )
 _typed_query(
     "B2_amount_column",
     """SELECT src_row, abs(c_amount) AS amount, CASE WHEN amount_type = 'mixed' AND c_amount > 0 THEN 'positive-value-ignored' END AS ignored,
  CASE WHEN c_amount IS NULL THEN 'amount-parse-failed' END AS error FROM cells JOIN kinds USING (file_id)""",
+    1,
     lambda d: d.select("src_row", cell(1, "number").alias("amount"), cell(1, "ignore").alias("ignored"), cell(1, "error").alias("error")),
 )
 _typed_query(
     "B3_currency_column",
     "SELECT src_row, c_currency AS currency, CASE WHEN c_currency IS NULL THEN 'currency-ambiguous' END AS error FROM cells",
+    2,
     lambda d: d.select("src_row", cell(2, "text").alias("currency"), cell(2, "error").alias("error")),
 )
 for _name, _i, _expr in (
@@ -351,6 +361,7 @@ for _name, _i, _expr in (
     _typed_query(
         _name,
         f"SELECT src_row, {_expr} AS text FROM cells",
+        _i,
         lambda d, i=_i: d.select("src_row", cell(i, "text").alias("text")),
     )
 for _name, _i, _expr in (
@@ -361,33 +372,38 @@ for _name, _i, _expr in (
     _typed_query(
         _name,
         f"SELECT src_row, round({_expr}, 4) AS number, {'CASE WHEN c_balance IS NULL THEN ' + chr(39) + 'number-parse-failed' + chr(39) + ' END' if _i == 12 else 'CAST(NULL AS VARCHAR)'} AS error FROM cells",
+        _i,
         lambda d, i=_i: d.select("src_row", F.round(cell(i, "number"), 4).alias("number"), cell(i, "error").alias("error")),
     )
 _typed_query(
     "B8_status_column",
     """SELECT src_row, CASE WHEN c_status <> 'OK' OR file_id NOT IN (SELECT file_id FROM cells GROUP BY file_id HAVING count(*) FILTER (WHERE qty <= 43) / count(*) >= 0.8)
  THEN 'status-value-ignored' END AS ignored FROM cells""",
+    8,
     lambda d: d.select("src_row", cell(8, "ignore").alias("ignored")),
 )
 _typed_query(
     "B12_merchant_column",
     "SELECT src_row, c_mcc AS mcc, CASE WHEN c_mcc IS NULL THEN 'merchant-parse-failed' END AS error FROM cells",
+    5,
     lambda d: d.select("src_row", cell(5, "text").alias("mcc"), cell(5, "error").alias("error")),
 )
 _typed_query(
     "B13_time_column_dropped",
     "SELECT file_id, count(*) AS rows_, 0::BIGINT AS kept FROM cells WHERE nation NOT IN (23, 24) GROUP BY file_id",
-    lambda d: d.where(F.get("cols", F.lit(11))["definition"] == m.TIME)
+    11,
+    lambda d: d.where(F.get("cols", F.lit(0))["definition"] == m.TIME)
     .groupBy("file_id")
     .agg(F.count(F.lit(1)).alias("rows_"), F.count(F.coalesce(cell(11, "text"), cell(11, "date").cast("string"), cell(11, "error"))).alias("kept")),
 )
 
 
-def _remapped(spark: SparkSession, sf: str, changes: dict[int, str]) -> DataFrame:
+def _remapped(spark: SparkSession, sf: str, changes: dict[int, str], also: tuple[int, ...] = ()) -> DataFrame:
     """Typed rows with some columns mapped to other definitions."""
     rows = raw_rows(spark, sf)
     changed = F.coalesce(*[F.when(F.col("col_id") == i, d) for i, d in changes.items()], F.col("definition"))
-    return col.typed_rows(rows, col.file_columns(mapping(spark, sf).withColumn("definition", changed)))
+    wanted = mapping(spark, sf).where(F.col("col_id").isin(*changes, *also))
+    return col.typed_rows(rows, col.file_columns(wanted.withColumn("definition", changed)))
 
 
 @query("B5_category_column", with_(RAW, "SELECT src_row, c_note AS bank_category FROM cells"))
@@ -500,7 +516,7 @@ def b23(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("B24_first_columns", with_(RAW, "SELECT file_id, row_index, c_mcc AS mcc, c_note AS bank_category FROM cells"))
 def b24(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _remapped(spark, sf, {4: m.CATEGORY, 10: m.CATEGORY})
+    rows = _remapped(spark, sf, {4: m.CATEGORY, 10: m.CATEGORY}, also=(5,))
     return rows.select(
         "file_id", "row_index", tr.first_text(m.MERCHANT_CATEGORY).alias("mcc"), tr.first_text(m.CATEGORY).alias("bank_category")
     )
@@ -812,7 +828,7 @@ def i12(spark: SparkSession, sf: str) -> DataFrame:
     with_(RAW, "SELECT src_row, coalesce(c_details, c_note, c_mcc, '—') AS label FROM cells"),
 )
 def i13(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _remapped(spark, sf, {4: m.CATEGORY})
+    rows = _remapped(spark, sf, {4: m.CATEGORY}, also=(3, 5))
     label = tx.display_label(cell(3, "text"), F.lit("  "), cell(4, "text"), cell(5, "text"))
     return rows.select("src_row", label.alias("label"))
 
