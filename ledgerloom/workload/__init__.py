@@ -6,7 +6,7 @@ import importlib
 
 from ledgerloom.workload.registry import ORACLES, QUERIES, Query
 
-MODULES = ("rule_queries", "money_queries", "ingest_queries", "mapping_queries")
+MODULES = ("rule_queries", "money_queries", "ingest_queries", "mapping_queries", "stream_queries")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
