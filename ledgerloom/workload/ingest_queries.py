@@ -169,7 +169,7 @@ def a2(spark: SparkSession, sf: str) -> DataFrame:
 )
 def a2_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = document_bytes(spark, sf)
-    return files.decoded_lines(lines, files.encodings(lines)).select("file_id", "src_row", "part", "line")
+    return files.decoded_lines(lines, files.encodings(lines)).select("file_id", "src_row", "line")
 
 
 @query(
