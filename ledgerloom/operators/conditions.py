@@ -170,60 +170,87 @@ def compile_conditions(conditions: Sequence[Condition]) -> Column:
 # ---------------------------------------------------------------- data form
 
 
-def matches(c: Column) -> Column:
-    """Evaluate a condition struct (see ``model.CONDITION``) on the current row."""
+TEXT_FIELDS = ("description", "counterparty", "account", "currency", "bank_category", "mcc")
+_CODES = (*dict.fromkeys((*MATCH_OPERATORS, *TEXT_OPERATORS, *BOOLEAN_OPERATORS, *NUMBER_OPERATORS, *DATE_OPERATORS)),)
+
+
+def _code(operator: str) -> int:
+    return _CODES.index(operator)
+
+
+def prepared(c: Column) -> Column:
+    """A condition with numbers for its field and operator, parsed once.
+
+    ``slot`` is the place of a text field, -1 the date, -2 the amount, -3 and
+    -4 the flags.
+    """
     field_ = c["field"]
-    op = c["operator"]
-    value = c["value"]
-    text = F.coalesce(
-        F.when(field_ == "description", F.col("description"))
-        .when(field_ == "counterparty", F.col("counterparty"))
-        .when(field_ == "account", F.col("account"))
-        .when(field_ == "currency", F.col("currency"))
-        .when(field_ == "bank_category", F.col("bank_category"))
-        .when(field_ == "mcc", F.col("mcc")),
-        F.lit(""),
+    slot = F.coalesce(
+        *[F.when(field_ == f, F.lit(i)) for i, f in enumerate(TEXT_FIELDS)],
+        F.when(field_ == "date", -1),
+        F.when(field_ == "amount", -2),
+        F.when(field_ == "is_bank_commission", -3),
+        F.when(field_ == "is_cashback", -4),
     )
-    d, x = F.col("date"), F.col("amount")
-    number = value.try_cast("double")
-    on_date = (
-        F.when(op == "firstDayOfMonth", F.dayofmonth(d) == 1)
-        .when(op == "firstMondayOfMonth", dates.is_first_weekday(d, 0))
-        .when(op == "firstSaturdayOfMonth", dates.is_first_weekday(d, 5))
-        .when(op == "firstSundayOfMonth", dates.is_first_weekday(d, 6))
-        .when(op == "lastDayOfMonth", d == F.last_day(d))
-        .when(op == "lastMondayOfMonth", dates.is_last_weekday(d, 0))
-        .when(op == "lastSaturdayOfMonth", dates.is_last_weekday(d, 5))
-        .when(op == "lastSundayOfMonth", dates.is_last_weekday(d, 6))
-        .when(op == "specificDay", F.dayofmonth(d) == number)
-        .when(op == "dayRange", F.dayofmonth(d).between(c["lo"], c["hi"]))
+    return F.struct(
+        slot.alias("slot"),
+        (F.array_position(F.array(*[F.lit(o) for o in _CODES]), c["operator"]) - 1).cast("int").alias("op"),
+        c["value"].alias("value"),
+        c["value"].try_cast("double").alias("number"),
+        c["values"].alias("values"),
+        c["lo"].alias("lo"),
+        c["hi"].alias("hi"),
+        c["currency"].alias("currency"),
+    )
+
+
+def row_texts() -> Column:
+    """The text fields of a row by slot."""
+    return F.array(*[F.coalesce(F.col(f), F.lit("")) for f in TEXT_FIELDS])
+
+
+def matches(c: Column, texts: Column) -> Column:
+    """Evaluate a prepared condition on the current row."""
+    slot, op, value, number = c["slot"], c["op"], c["value"], c["number"]
+    d, x, text = F.col("date"), F.col("amount"), F.get(texts, slot)
+    is_ = lambda name: op == _code(name)
+    on_text = (
+        F.when(is_("equals"), text == value)
+        .when(is_("oneOf"), F.array_contains(c["values"], text))
+        .when(is_("startsWith"), F.startswith(text, value))
+        .when(is_("contains"), F.contains(text, value))
+        .when(is_("endsWith"), F.endswith(text, value))
+        .when(is_("notEquals"), text != value)
+        .when(is_("notContains"), ~F.contains(text, value))
+        .when(is_("matches"), F.regexp_like(F.substring(text, 1, MAX_MATCH_INPUT), value))
     )
     on_amount = (
-        F.when(op == "equals", x == number)
-        .when(op == "notEquals", x != number)
-        .when(op == "greaterThan", x > number)
-        .when(op == "lessThan", x < number)
-        .when(op == "greaterThanOrEqual", x >= number)
-        .when(op == "lessThanOrEqual", x <= number)
-        .when(op == "between", x.between(c["lo"], c["hi"]))
+        F.when(is_("equals"), x == number)
+        .when(is_("notEquals"), x != number)
+        .when(is_("greaterThan"), x > number)
+        .when(is_("lessThan"), x < number)
+        .when(is_("greaterThanOrEqual"), x >= number)
+        .when(is_("lessThanOrEqual"), x <= number)
+        .when(is_("between"), x.between(c["lo"], c["hi"]))
     )
-    on_text = (
-        F.when(op == "equals", text == value)
-        .when(op == "notEquals", text != value)
-        .when(op == "contains", F.contains(text, value))
-        .when(op == "notContains", ~F.contains(text, value))
-        .when(op == "startsWith", F.startswith(text, value))
-        .when(op == "endsWith", F.endswith(text, value))
-        .when(op == "oneOf", F.array_contains(c["values"], text))
-        .when(op == "matches", F.regexp_like(F.substring(text, 1, MAX_MATCH_INPUT), value))
+    on_date = (
+        F.when(is_("firstDayOfMonth"), F.dayofmonth(d) == 1)
+        .when(is_("firstMondayOfMonth"), dates.is_first_weekday(d, 0))
+        .when(is_("firstSaturdayOfMonth"), dates.is_first_weekday(d, 5))
+        .when(is_("firstSundayOfMonth"), dates.is_first_weekday(d, 6))
+        .when(is_("lastDayOfMonth"), d == F.last_day(d))
+        .when(is_("lastMondayOfMonth"), dates.is_last_weekday(d, 0))
+        .when(is_("lastSaturdayOfMonth"), dates.is_last_weekday(d, 5))
+        .when(is_("lastSundayOfMonth"), dates.is_last_weekday(d, 6))
+        .when(is_("specificDay"), F.dayofmonth(d) == number)
+        .when(is_("dayRange"), F.dayofmonth(d).between(c["lo"], c["hi"]))
     )
-    on_flag = F.when(field_ == "is_bank_commission", F.col("is_bank_commission")).otherwise(F.col("is_cashback"))
+    flag = F.when(slot == -3, F.col("is_bank_commission")).otherwise(F.col("is_cashback"))
     result = (
-        F.when(field_ == "date", on_date)
-        .when(field_ == "amount", on_amount & (F.col("currency") == c["currency"]))
-        .when(op == "isTrue", on_flag.eqNullSafe(F.lit(True)))
-        .when(op == "isFalse", on_flag.eqNullSafe(F.lit(False)))
-        .otherwise(on_text)
+        F.when(slot >= 0, on_text)
+        .when(slot == -2, on_amount & (F.col("currency") == c["currency"]))
+        .when(slot == -1, on_date)
+        .otherwise(flag.eqNullSafe(is_("isTrue")))
     )
     return F.coalesce(result, F.lit(False))
 

@@ -14,6 +14,8 @@ from ledgerloom.operators.conditions import (
     compile_conditions,
     matches,
     ordered_signature,
+    prepared,
+    row_texts,
     signature,
 )
 
@@ -74,7 +76,8 @@ def rule_index(rules: DataFrame) -> DataFrame:
     keys = F.when(first.isNull(), F.array(F.lit(_ANY))).otherwise(
         F.transform(F.array_distinct(texts), lambda v: _anchor(first["field"], v))
     )
-    item = F.struct("order", "rule_id", "category_id", "conditions")
+    ready = F.transform("conditions", prepared).alias("conditions")
+    item = F.struct("order", "rule_id", "category_id", ready)
     return (
         rules.select("ruleset_id", F.explode(keys).alias("_key"), item.alias("_rule"))
         .groupBy("ruleset_id", "_key")
@@ -94,12 +97,17 @@ def with_rule_by_set(txns: DataFrame, rules: DataFrame) -> DataFrame:
     own = [_anchor(F.lit(f), F.coalesce(F.col(f), F.lit(""))) for f in ANCHOR_FIELDS]
     filed = F.transform(F.array(*own, F.lit(_ANY)), lambda k: F.try_element_at("_index", k))
     candidates = F.flatten(F.array_compact(filed))
-    hits = F.filter(candidates, lambda r: F.forall(r["conditions"], matches))
+    # Texts are bound once per row.
+    texts = F.col("_texts")
+    rank = lambda r: F.struct(r["order"], r["rule_id"], r["category_id"])
+    hits = F.filter("_candidates", lambda r: F.forall(r["conditions"], lambda c: matches(c, texts)))
     return (
-        joined.withColumn("_hit", F.array_min(F.transform(hits, lambda r: F.struct(r["order"], r["rule_id"], r["category_id"]))))
+        joined.withColumn("_candidates", candidates)
+        .withColumn("_texts", row_texts())
+        .withColumn("_hit", F.array_min(F.transform(hits, rank)))
         .withColumn("rule_id", F.col("_hit.rule_id"))
         .withColumn("rule_category", F.col("_hit.category_id"))
-        .drop("_hit", "_index")
+        .drop("_hit", "_index", "_candidates", "_texts")
     )
 
 

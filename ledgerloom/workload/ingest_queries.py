@@ -163,9 +163,15 @@ def a2(spark: SparkSession, sf: str) -> DataFrame:
     return files.encodings(document_bytes(spark, sf))
 
 
+_HIGH = [b for b in range(0x80, 0x100) if b != 0x98]
+_TO_CP1251 = f"translate(line, '{''.join(map(chr, _HIGH))}', '{bytes(_HIGH).decode('cp1251')}')"
+
+
 @query(
     "A2_decoded_lines",
-    None,
+    f"""WITH f AS (SELECT doc_id AS file_id, regexp_replace(text, '[^\\x00-\\x{{ff}}]', '?', 'g') AS t FROM documents),
+l AS (SELECT file_id, regexp_matches(t, '[^\\x00-\\x7f]') AS wide, unnest(string_split(t, chr(10))) AS line, CAST(generate_subscripts(string_split(t, chr(10)), 1) - 1 AS BIGINT) AS src_row FROM f)
+SELECT file_id, src_row, CASE WHEN wide THEN {_TO_CP1251} ELSE line END AS line FROM l""",
 )
 def a2_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = document_bytes(spark, sf)
