@@ -52,7 +52,8 @@ def with_rule(txns: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
-ANCHOR_FIELDS = ("bank_category", "mcc", "currency", "description", "counterparty", "account")
+# Text fields by how much a demanded text narrows the search, finest first.
+ANCHOR_FIELDS = ("description", "counterparty", "mcc", "account", "bank_category", "currency")
 _ANY = "*"
 
 
@@ -64,14 +65,16 @@ def rule_index(rules: DataFrame) -> DataFrame:
     """One row per rule set: its rules under the texts they require.
 
     A rule that demands an exact text (equals or one of) is filed under
-    ``field + text``, every other rule under ``*``. A row then only tests the
-    rules filed under its own texts.
+    ``field + text`` of its finest such field, every other rule under ``*``. A
+    row then only tests the rules filed under its own texts.
     """
     exact = F.filter(
         "conditions",
         lambda c: c["field"].isin(*ANCHOR_FIELDS) & c["operator"].isin("equals", "oneOf"),
     )
-    first = F.try_element_at(exact, F.lit(1))
+    fine = lambda c: F.array_position(F.array(*[F.lit(f) for f in ANCHOR_FIELDS]), c["field"])
+    ranked = F.transform(exact, lambda c: F.struct(fine(c), c["field"], c["operator"], c["value"], c["values"]))
+    first = F.array_min(ranked)
     texts = F.when(first["operator"] == "oneOf", first["values"]).otherwise(F.array(first["value"]))
     keys = F.when(first.isNull(), F.array(F.lit(_ANY))).otherwise(
         F.transform(F.array_distinct(texts), lambda v: _anchor(first["field"], v))
@@ -97,14 +100,23 @@ def with_rule_by_set(txns: DataFrame, rules: DataFrame) -> DataFrame:
     own = [_anchor(F.lit(f), F.coalesce(F.col(f), F.lit(""))) for f in ANCHOR_FIELDS]
     filed = F.transform(F.array(*own, F.lit(_ANY)), lambda k: F.try_element_at("_index", k))
     candidates = F.flatten(F.array_compact(filed))
-    # Texts are bound once per row.
     texts = F.col("_texts")
-    rank = lambda r: F.struct(r["order"], r["rule_id"], r["category_id"])
-    hits = F.filter("_candidates", lambda r: F.forall(r["conditions"], lambda c: matches(c, texts)))
+    none = F.struct(
+        F.lit(None).cast("long").alias("order"),
+        F.lit(None).cast("long").alias("rule_id"),
+        F.lit(None).cast("string").alias("category_id"),
+    )
+
+    def better(best: Column, r: Column) -> Column:
+        """The earlier rule; one behind the best so far is not evaluated."""
+        accepts = F.forall(r["conditions"], lambda c: matches(c, texts))
+        found = F.struct(r["order"].alias("order"), r["rule_id"].alias("rule_id"), r["category_id"].alias("category_id"))
+        return F.when(best["order"] <= r["order"], best).when(accepts, found).otherwise(best)
+
     return (
         joined.withColumn("_candidates", candidates)
         .withColumn("_texts", row_texts())
-        .withColumn("_hit", F.array_min(F.transform(hits, rank)))
+        .withColumn("_hit", F.aggregate("_candidates", none, better))
         .withColumn("rule_id", F.col("_hit.rule_id"))
         .withColumn("rule_category", F.col("_hit.category_id"))
         .drop("_hit", "_index", "_candidates", "_texts")
