@@ -848,11 +848,6 @@ def d14(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(titles, "mcc", "left").select("src_row", F.coalesce("title", "mcc", F.lit(tx.EM_DASH)).alias("mcc_title"))
 
 
-_SYMBOLS = """
-sym AS (SELECT DISTINCT c_mktsegment AS symbol, c_nationkey AS code FROM customer)
-"""
-
-
 def segment_currencies(spark: SparkSession, sf: str) -> DataFrame:
     """A currency-shaped dimension from customers: one code per customer, the
     nation as exact symbol and the market segment as special symbol."""

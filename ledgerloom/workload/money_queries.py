@@ -13,7 +13,7 @@ from ledgerloom.operators import typicality as ty
 from ledgerloom.session import materialize, shared_dir
 from ledgerloom.sources import rates as rt
 from ledgerloom.sources import store
-from ledgerloom.sources.tables import read_table, read_with_position
+from ledgerloom.sources.tables import read_table
 from ledgerloom.workload.adapters import (
     BASE,
     HASHED,
@@ -763,7 +763,3 @@ def i7(spark: SparkSession, sf: str) -> DataFrame:
 def i8(spark: SparkSession, sf: str) -> DataFrame:
     clamp = F.least(F.greatest(F.round(F.col("amount") / 50000, 9), F.lit(0.1)), F.lit(1.0))
     return txn(spark, sf).select("src_row", F.round(F.ln(F.abs("amount")), 9).alias("log_amount"), clamp.alias("clamped"))
-
-
-def positioned_lineitem(spark: SparkSession, sf: str) -> DataFrame:
-    return read_with_position(spark, sf, "lineitem")
