@@ -29,5 +29,12 @@ def scan_partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public vocabulary file, the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

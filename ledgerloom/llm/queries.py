@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import read
+from ledgerloom.llm.bpe import encode_documents
+from ledgerloom.llm.common import read, tokenizer_file
+from ledgerloom.llm.decontaminate import contaminated
 from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.line_dedup import line_dedup
+from ledgerloom.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +28,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op2_bpe")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return encode_documents(read(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), with_ids=False)
+
+
 @query(
     "op3_line_dedup",
     r"""
@@ -52,6 +60,16 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op7_decontamination")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminated(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts(read(spark, sf, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @query(
     "op9_exact_dedup",
     """
