@@ -11,6 +11,7 @@ from ledgerloom.llm.bpe import encode_documents
 from ledgerloom.llm.common import read, tokenizer_file
 from ledgerloom.llm.decontaminate import contaminated
 from ledgerloom.llm.exact_dedup import exact_dedup
+from ledgerloom.llm.html_text import extract_pages
 from ledgerloom.llm.line_dedup import line_dedup
 from ledgerloom.llm.token_counts import token_counts
 
@@ -79,3 +80,8 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
 )
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup(read(spark, sf, "documents"))
+
+
+@query("op10_html_text")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_pages(read(spark, sf, "pages"))
