@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import BLANKS, lower_ascii
+from ledgerloom.llm.common import BLANKS, lower_ascii, stored
 from ledgerloom.session import shared_dir
 
 KEY = ["h1", "h2"]
@@ -127,7 +127,7 @@ def line_dedup(
     runs = LineRuns(docs.sparkSession, fan_in)
     for inside in id_ranges(rows, batches):
         runs.add(key_rows(rows.where(inside), min_chars).distinct())
-    hot = runs.totals().where(F.col("docs") >= min_docs).select(*KEY, "keeper")
+    hot = stored(runs.totals().where(F.col("docs") >= min_docs).select(*KEY, "keeper"), "hot-lines")
     lost = (
         key_rows(rows, min_chars)
         .join(hot, KEY)
