@@ -13,6 +13,7 @@ from ledgerloom.llm.decontaminate import contaminated
 from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.html_text import extract_pages
 from ledgerloom.llm.line_dedup import line_dedup
+from ledgerloom.llm.quality import score, train
 from ledgerloom.llm.token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +62,12 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op5_quality")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    return score(docs, train(docs, read(spark, sf, "labels")))
+
+
 @query("op7_decontamination")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return contaminated(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
