@@ -15,6 +15,7 @@ from ledgerloom.llm.html_text import extract_pages
 from ledgerloom.llm.line_dedup import line_dedup
 from ledgerloom.llm.quality import score, train
 from ledgerloom.llm.token_counts import token_counts
+from ledgerloom.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,6 +69,11 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return score(docs, train(docs, read(spark, sf, "labels")))
 
 
+@query("op6_warc")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return archive_pages(read(spark, sf, "pages")).drop("url", "html")
+
+
 @query("op7_decontamination")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return contaminated(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
