@@ -13,6 +13,7 @@ from ledgerloom.llm.decontaminate import contaminated
 from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.html_text import extract_pages
 from ledgerloom.llm.line_dedup import line_dedup
+from ledgerloom.llm.lm_score import score_documents
 from ledgerloom.llm.quality import score, train
 from ledgerloom.llm.token_counts import token_counts
 from ledgerloom.llm.warc import archive_pages
@@ -63,6 +64,11 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op4_lm_score")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return score_documents(read(spark, sf, "documents"))
+
+
 @query("op5_quality")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents")
