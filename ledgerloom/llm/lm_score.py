@@ -22,19 +22,16 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict
-from hashlib import blake2b
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import UPPER, scan_partitions, stored
-from ledgerloom.llm.packed import PART, REPLY, SENT, added_up, answered, blocks_of, mixed, sent
+from ledgerloom.llm.common import scan_partitions, stored
+from ledgerloom.llm.packed import PART, REPLY, SENT, BlockWords, added_up, answered, blocks_of, met, mixed, packed_texts, sent
 
 BLOCK_CHARS = 8_000_000
-LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 END, START = 0, 1
 WORDS, PAIRS, TEXTS = 1, 2, 3
 BINS_PER_DOUBLING = 8
@@ -44,8 +41,8 @@ class BlockTokens:
     """The tokens of a block's texts as numbers of the block's own vocabulary."""
 
     def __init__(self, texts: list[str]) -> None:
-        ids: defaultdict[bytes, int] = defaultdict(count(2).__next__)
-        runs = [list(map(ids.__getitem__, t.encode().translate(LOWER).split())) for t in texts]
+        words = BlockWords(texts, reserved=2)
+        runs = words.runs
         self.sizes = np.array([len(r) + 1 for r in runs])
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
         self.token = np.zeros(int(self.sizes.sum()), np.int64)  # END stands last in every text
@@ -54,9 +51,8 @@ class BlockTokens:
         self.state = np.empty_like(self.token)
         self.state[1:] = self.token[:-1]
         self.state[self.starts] = START
-        hashes = [1, 2] + [int.from_bytes(blake2b(w, digest_size=8).digest(), "little") for w in ids]
-        self.hashes = np.array(hashes, np.uint64)
-        self.pairs, self.pair = np.unique(self.state * len(hashes) + self.token, return_inverse=True)
+        self.hashes = words.hashes
+        self.pairs, self.pair = np.unique(self.state * len(self.hashes) + self.token, return_inverse=True)
 
     def pair_hashes(self) -> np.ndarray:
         n = len(self.hashes)
@@ -162,19 +158,8 @@ def score_documents(
     def texts(batches):
         for block, held in blocks_of(batches, 3, block_chars):
             _, ids, flags, bodies = (list(x) for x in zip(*held, strict=True))
-            packed = pa.table({"id": pa.array(ids, pa.int64()), "held": pa.array(flags, pa.bool_()), "text": bodies})
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, packed.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(packed)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block], pa.int64()),
-                    pa.array([TEXTS], pa.int32()),
-                    pa.array([0], pa.int32()),
-                    pa.array([sink.getvalue().to_pybytes()], pa.binary()),
-                    pa.array([None], pa.string()),
-                ],
-                names=["block", "kind", "bucket", "counts", "facts"],
+            yield packed_texts(
+                block, TEXTS, id=pa.array(ids, pa.int64()), held=pa.array(flags, pa.bool_()), text=pa.array(bodies)
             )
 
     schema = (
@@ -182,11 +167,7 @@ def score_documents(
     )
 
     def traversed(table: pa.Table) -> pa.Table:
-        kinds, of, data = (table.column(c).to_pylist() for c in ("kind", "bucket", "counts"))
-        parts: dict[int, dict[int, bytes]] = {WORDS: {}, PAIRS: {}, TEXTS: {}}
-        for k, b, d in zip(kinds, of, data, strict=True):
-            parts[k][b] = d
-        held = pa.ipc.open_stream(parts[TEXTS][0]).read_all()
+        held, parts = met(table, TEXTS)
         t = BlockTokens(held.column("text").to_pylist())
         words = answered(t.hashes, parts[WORDS], buckets)
         pairs = answered(t.pair_hashes(), parts[PAIRS], buckets)
