@@ -14,6 +14,7 @@ from ledgerloom.llm.exact_dedup import exact_dedup
 from ledgerloom.llm.html_text import extract_pages
 from ledgerloom.llm.line_dedup import line_dedup
 from ledgerloom.llm.lm_score import score_documents
+from ledgerloom.llm.ngram_join import near_duplicates
 from ledgerloom.llm.quality import score, train
 from ledgerloom.llm.token_counts import token_counts
 from ledgerloom.llm.warc import archive_pages
@@ -32,6 +33,36 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Links and components of 5-word shingles, on a table ``{docs}``.
+COMPONENTS_SQL = r"""
+words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM {docs}),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
+  FROM words),
+grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n
+  GROUP BY ALL HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reach r JOIN pairs l ON r.b = l.a),
+component AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)"""
+
+
+@query(
+    "op1_ngram_join",
+    "WITH RECURSIVE "
+    + COMPONENTS_SQL.format(docs="documents")
+    + " SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN component USING (doc_id)",
+)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(read(spark, sf, "documents"))
+
+
 @query("op2_bpe")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return encode_documents(read(spark, sf, "documents"), tokenizer_file("byte_bpe_50k.json"), with_ids=False)
