@@ -190,7 +190,30 @@ def contaminated(
     return reduce(DataFrame.unionByName, found) if found else searched([])
 
 
-def without_contaminated(docs: DataFrame, hits: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that have no hit; rows with a null id are compared null-safely."""
-    found = hits.select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(found, docs[id_column].eqNullSafe(found["_hit"]), "left_anti")
+def without_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    rate: float = ERROR_RATE,
+    text_column: str = "text",
+    item_column: str = "item_id",
+    item_text: str = "text",
+    block_chars: int = BLOCK_CHARS,
+) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns; rows are judged one by one."""
+    wanted = items.select(items[item_column].cast("long"), items[item_text]).where(F.col(item_text).isNotNull())
+    at = docs.columns.index(text_column)
+
+    def clean(rows: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+        def run(batches):
+            matcher = Matcher(block, rate)
+            for batch in batches:
+                stays = [not (t and matcher.search(normal(t))) for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(stays, pa.bool_()))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    out, blocks = docs, 0
+    for block in item_blocks(wanted, block_chars):
+        out = clean(stored(out, "decontaminated") if blocks else out, block)
+        blocks += 1
+    return out

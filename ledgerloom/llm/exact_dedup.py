@@ -47,20 +47,17 @@ def exact_dedup(
     two texts share one, their rows are matched by the text as well.
     """
     body = docs[text] if isinstance(text, str) else text
-    rows = docs.select(
-        docs[id_column].alias("doc_id"), F.coalesce(body.cast("string"), F.lit("")).alias("_text")
-    ).withColumn("_digest", F.unhex(F.sha2("_text", 256)))
-    groups = stored(text_groups(rows, salts).drop("_text"), "text-groups")
-    clashing = groups.groupBy("_digest").count().where("count > 1").select("_digest")
+    rows = named(docs.select(docs[id_column].alias("doc_id"), body.alias("_text")))
+    groups, clashing = digest_groups(rows, salts)
     once = rows.select(
         "doc_id",
         "_digest",
         F.row_number().over(W.partitionBy("_digest", "doc_id").orderBy(F.lit(0))).alias("_copy"),
     )
-    if clashing.isEmpty():
+    if clashing is None:
         found = once.join(groups, "_digest")
     else:
-        found = by_text(rows, groups, clashing, salts).unionByName(
+        found = by_text(rows, clashing, salts).unionByName(
             once.join(clashing, "_digest", "left_anti").join(groups, "_digest")
         )
     return found.select(
@@ -72,7 +69,42 @@ def exact_dedup(
     )
 
 
-def by_text(rows: DataFrame, groups: DataFrame, clashing: DataFrame, salts: int) -> DataFrame:
+def named(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_text`` never null, and its ``_digest``."""
+    text = F.coalesce(F.col("_text").cast("string"), F.lit(""))
+    return rows.withColumn("_text", text).withColumn("_digest", F.unhex(F.sha2("_text", 256)))
+
+
+def digest_groups(rows: DataFrame, salts: int) -> tuple[DataFrame, DataFrame | None]:
+    """The groups by digest, stored, and the digests of several texts (None where there are none)."""
+    groups = stored(text_groups(rows, salts).drop("_text"), "text-groups")
+    clashing = groups.groupBy("_digest").count().where("count > 1").select("_digest")
+    return groups, None if clashing.isEmpty() else clashing
+
+
+def without_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Whole rows meet their group by digest and id together, so a large group
+    has one row per key.
+    """
+    columns = [docs[c].alias(f"_c{i}") for i, c in enumerate(docs.columns)]
+    rows = named(docs.select(docs[id_column].alias("doc_id"), docs[text].alias("_text"), *columns))
+    groups, clashing = digest_groups(rows.select("doc_id", "_text", "_digest"), salts)
+    stay = groups.select(F.col("_digest").alias("_d"), F.col("keep_id").alias("_k"))
+    same = (F.col("_digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_k"))
+    key = ["_digest", "doc_id"]
+    if clashing is not None:
+        stay = text_groups(rows, salts).select(
+            F.col("_digest").alias("_d"), F.col("keep_id").alias("_k"), F.col("_text").alias("_t")
+        )
+        same, key = same & (F.col("_text") == F.col("_t")), [*key, "_text"]
+    first = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0)))
+    kept = rows.join(stay, same).withColumn("_copy", first).where("_copy = 1")
+    return kept.select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def by_text(rows: DataFrame, clashing: DataFrame, salts: int) -> DataFrame:
     """The rows whose digest stands for several texts, matched by the texts."""
     unclear = rows.join(clashing, "_digest", "left_semi")
     copy = F.row_number().over(W.partitionBy("_digest", "doc_id", "_text").orderBy(F.lit(0)))

@@ -318,3 +318,14 @@ def near_duplicates(
         .select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
         .unionByName(linked.join(named, "node").select("doc_id", "n_shingles", "component_id"))
     )
+
+
+def one_of_each_group(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` with the smallest id of their component, with all their columns.
+
+    Rows that share an id are one document and stay or go together; rows
+    without an id go only where their component has one.
+    """
+    found = near_duplicates(docs, id_column, text_column)
+    lost = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost"))
+    return docs.join(lost.distinct(), docs[id_column].eqNullSafe(F.col("_lost")), "left_anti")

@@ -262,9 +262,8 @@ def score(
     meta_column: str = "n_chars",
     folds: int = 5,
     threshold: float = THRESHOLD,
-    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per input row: ``doc_id, held_out, score, predicted`` and the columns in ``keep``.
+    """One row per input row: ``doc_id, held_out, score, predicted``.
 
     Whole texts are scored. A null or empty text has a score too (it has no
     words); a null id is held out; repeated rows are scored each; a null length
@@ -281,21 +280,42 @@ def score(
                 found = [features(t, k[1], m.buckets) for k, t in zip(part, texts, strict=True)]
                 y = m.scores([f[0] for f in found], np.array([f[1] for f in found]).reshape(len(found), STATS))
                 first = part[0][0]
-                held = [batch.column(k).slice(first, len(part)) for k in range(4, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(part)),
                         batch.column(3).slice(first, len(part)),
                         pa.array(y),
                         pa.array((y >= threshold).astype(np.int32)),
-                        *held,
                     ],
-                    names=["doc_id", "held_out", "score", "predicted", *keep],
+                    names=["doc_id", "held_out", "score", "predicted"],
                 )
 
-    kept = [docs[c].alias(f"_k{i}") for i, c in enumerate(keep)]
     rows = docs.select(
-        *_rows(docs, id_column, text_column, meta_column), (fold(docs[id_column]) % folds == 0).alias("held_out"), *kept
+        *_rows(docs, id_column, text_column, meta_column), (fold(docs[id_column]) % folds == 0).alias("held_out")
     )
-    types = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int" + types)
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def good_rows(
+    docs: DataFrame,
+    machine: Machine,
+    text_column: str = "text",
+    meta_column: str = "n_chars",
+    threshold: float = THRESHOLD,
+) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    at = docs.columns.index(text_column)
+    meta_at = docs.columns.index(meta_column) if meta_column in docs.columns else None
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            meta = batch.column(meta_at).to_pylist() if meta_at is not None else [None] * batch.num_rows
+            keys = list(enumerate(meta))
+            for part, texts in chunks(keys, batch.column(at).to_pylist()):
+                found = [features(t, k[1], m.buckets) for k, t in zip(part, texts, strict=True)]
+                y = m.scores([f[0] for f in found], np.array([f[1] for f in found]).reshape(len(found), STATS))
+                yield batch.slice(part[0][0], len(part)).filter(pa.array(y >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
