@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,16 +33,44 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint location.
+#: All folders of one run lie in one folder, so that they can be removed together.
+RUN = uuid.uuid4().hex
+
+
+@cache
+def _local_root() -> tempfile.TemporaryDirectory:
+    return tempfile.TemporaryDirectory(prefix="ledgerloom-")
 
-    The location is read from ``spark.checkpoint.dir``. Only when the session
-    names none (single-machine tests) is a local folder used.
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of this run below the cluster's shared checkpoint location.
+
+    The location is read from ``spark.checkpoint.dir``. A session that runs in
+    one machine's single process (tests, the bench) may leave it unset and gets
+    a folder that goes when the process ends; on a cluster it must be set,
+    since no executor would see another one's local files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="ledgerloom-")
-    return os.path.join(root, "ledgerloom", f"{purpose}-{uuid.uuid4().hex}")
+        master = spark.conf.get("spark.master", "") or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _local_root().name
+    return os.path.join(root, "ledgerloom", RUN)
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder in this run's shared folder."""
+    return os.path.join(shared_root(spark), f"{purpose}-{uuid.uuid4().hex}")
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Remove all that this run has stored; frames that still read it are lost."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(shared_root(spark))
+    if system.get_file_info(place).type != fs.FileType.NotFound:
+        system.delete_dir(place)
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:

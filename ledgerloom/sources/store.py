@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import uuid
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.model import FOOTPRINT, FOOTPRINT_KEY
@@ -35,16 +37,33 @@ def read_rows(table: DataFrame, keys: DataFrame) -> DataFrame:
     return table.join(keys, keys.columns, "left_semi")
 
 
+def one_per_key(rows: DataFrame, key: Sequence[str], first: Sequence[str] = ()) -> DataFrame:
+    """One row per key of a batch: the greatest by ``first``, then by all other columns.
+
+    The choice depends on the rows alone, so a replay makes the same one, and
+    it is combined map-side, so a key that fills the batch is no hot spot.
+    """
+    values = [c for c in rows.columns if c not in key]
+    if not values:
+        return rows.distinct()
+    order = [*first, *(c for c in values if c not in first)]
+    best = rows.groupBy(*key).agg(F.max(F.struct(*order)).alias("_best"))
+    return best.select(*[F.col(c) if c in key else F.col(f"_best.{c}").alias(c) for c in rows.columns])
+
+
 def update_rows(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """Replace rows that exist; keys without a row are ignored."""
     values = [c for c in table.columns if c not in key]
+    rows = one_per_key(rows, key)
     new = rows.select(*key, *[F.col(c).alias(f"_new_{c}") for c in values], F.lit(True).alias("_hit"))
     joined = table.join(new, list(key), "left")
     pick = {c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) for c in values}
     return joined.select(*[pick.get(c, F.col(c)) for c in table.columns])
 
 
-def upsert_rows(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
+def upsert_rows(table: DataFrame, rows: DataFrame, key: Sequence[str], first: Sequence[str] = ()) -> DataFrame:
+    """Keyed union: a row with a known key replaces the stored one; a key twice in the batch is one row."""
+    rows = one_per_key(rows, key, first)
     return table.join(rows, list(key), "left_anti").unionByName(rows)
 
 
@@ -94,23 +113,70 @@ def footprint_of(txns: DataFrame) -> DataFrame:
 
 
 def merge_footprints(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Keyed union: a record with a known key replaces the stored one."""
-    return upsert_rows(existing, new, FOOTPRINT_KEY)
+    """Keyed union: a record with a known key replaces the stored one. Of equal
+    keys in one batch (overlapping files) a manual decision stays."""
+    return upsert_rows(existing, new, FOOTPRINT_KEY, first=("is_manual",))
+
+
+# The store is a set of month folders and a list of which folder is valid for a
+# month. A commit writes its months to folders of its own and then appends one
+# file to the list; until that file is there, readers see the state before.
+_BATCHES, _LIST = "months", "list"
+_LIST_SCHEMA = "version long, year int, month int, batch string"
+
+
+def _folders(spark: SparkSession, path: str) -> list[Row]:
+    """The valid folder of every month: at most twelve rows a year."""
+    try:
+        listed = spark.read.schema(_LIST_SCHEMA).parquet(f"{path}/{_LIST}")
+        return (
+            listed.groupBy("year", "month")
+            .agg(F.max(F.struct("version", "batch")).alias("m"))
+            .select("year", "month", "m.version", "m.batch")
+            .collect()
+        )
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def read_store(spark: SparkSession, path: str, periods: Iterable[tuple[int, int]] | None = None) -> DataFrame:
+    """The store with its fixed schema; an absent store reads as empty.
+
+    With ``periods`` only the folders of those months are read.
+    """
+    wanted = None if periods is None else set(periods)
+    places = [
+        f"{path}/{_BATCHES}/batch={m['batch']}/year={m['year']}/month={m['month']}"
+        for m in _folders(spark, path)
+        if wanted is None or (m["year"], m["month"]) in wanted
+    ]
+    if not places:
+        return spark.createDataFrame([], FOOTPRINT)
+    rows = spark.read.schema(FOOTPRINT).option("basePath", f"{path}/{_BATCHES}").parquet(*places)
+    return rows.select(*FOOTPRINT.names)
 
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The store with its fixed schema; an absent store reads as empty."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(jvm_path):
-        return spark.createDataFrame([], FOOTPRINT)
-    return spark.read.schema(FOOTPRINT).option("basePath", path).parquet(path)
+def months_of(rows: DataFrame) -> list[tuple[int, int]]:
+    """The months in a batch, a set bounded by the calendar."""
+    return [(r["year"], r["month"]) for r in rows.select("year", "month").distinct().collect()]
 
 
 def of_periods(footprints: DataFrame, wanted: DataFrame, manual_only: bool = False) -> DataFrame:
-    """Footprints of the wanted months; partitions are pruned at run time."""
+    """Footprints of the wanted months.
+
+    The months, a set bounded by the calendar, become a filter on the partition
+    columns, so the scan reads only their folders.
+    """
     rows = footprints.where("is_manual = 1") if manual_only else footprints
-    return rows.join(wanted.select("year", "month").distinct(), ["year", "month"], "left_semi")
+    years: dict[int, list[int]] = {}
+    for year, month in months_of(wanted):
+        years.setdefault(year, []).append(month)
+    test = F.lit(False)
+    for year, months in sorted(years.items()):
+        test = test | ((F.col("year") == year) & F.col("month").isin(sorted(months)))
+    return rows.where(test)
 
 
 def mark_duplicates(txns: DataFrame, existing: DataFrame) -> DataFrame:
@@ -126,29 +192,27 @@ class RatesMissing(RuntimeError):
     """A batch holds rows that cannot be valued; nothing was written."""
 
 
-def put_batch(spark: SparkSession, path: str, new: DataFrame, writers: int | None = None) -> None:
-    """All-or-nothing upsert of one batch.
+def put_batch(spark: SparkSession, path: str, new: DataFrame) -> None:
+    """All-or-nothing upsert of one batch; one writer at a time.
 
-    Only the months of the batch are read, merged and replaced. The merged
-    months are written to the shared folder first: the store is never read
-    while it is being overwritten, and a retry after a lost executor starts
-    from files. Months are spread over tasks by hash, so one large month is
-    written by many tasks.
+    Only the months of the batch are read and merged. The merged months are
+    written to folders of their own and become valid together when the list
+    gets its one new file, so a failure in between changes nothing. Rows are
+    rebalanced by month, and a large month is written by several tasks.
     """
-    wanted = new.select("year", "month").distinct()
-    current = of_periods(read_store(spark, path), wanted)
-    merged = materialize(merge_footprints(current, new.select(*FOOTPRINT.names)), "footprints")
-    spread = F.pmod(F.xxhash64("hash"), F.lit(writers or 16))
-    (
-        merged.repartition("year", "month", spread)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("year", "month")
-        .parquet(path)
-    )
-
-
-def commit(spark: SparkSession, path: str, priced: DataFrame, writers: int | None = None) -> None:
+    new = materialize(new.select(*FOOTPRINT.names), "batch")
+    periods = months_of(new)
+    if not periods:
+        return
+    merged = merge_footprints(read_store(spark, path, periods), new)
+    batch = uuid.uuid4().hex
+    merged.hint("rebalance", "year", "month").write.partitionBy("year", "month").parquet(f"{path}/{_BATCHES}/batch={batch}")
+    version = max((m["version"] for m in _folders(spark, path)), default=0) + 1
+    rows = [(version, year, month, batch) for year, month in periods]
+    spark.createDataFrame(rows, _LIST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/{_LIST}")
+
+
+def commit(spark: SparkSession, path: str, priced: DataFrame) -> None:
     """Check that every row has a USD value, then write the batch.
 
     ``priced`` is read twice, by the check and by the write.
@@ -156,4 +220,4 @@ def commit(spark: SparkSession, path: str, priced: DataFrame, writers: int | Non
     missing = priced.where("rate_missing").select("currency", "date").limit(1).collect()
     if missing:
         raise RatesMissing(f"no USD rate for {missing[0]['currency']} on {missing[0]['date']}")
-    put_batch(spark, path, footprint_of(priced), writers)
+    put_batch(spark, path, footprint_of(priced))

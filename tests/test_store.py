@@ -52,6 +52,49 @@ def test_missing_rate_writes_nothing(spark):
     assert store.read_store(spark, path).count() == 0
 
 
+def test_key_twice_in_a_batch_is_one_record(spark):
+    """Two overlapping files of one commit give the same hashes."""
+    path = shared_dir(spark, "test-store")
+    first, second = rows(1, 1, 2), [("g", *r[1:]) for r in rows(1, 1, 2, 3, 3, 3)]
+    store.commit(spark, path, with_usd(batch(spark, first + second), rates(spark)))
+    assert store.read_store(spark, path).count() == 6
+    table = spark.createDataFrame([(1, "a")], "id long, v string")
+    twice = spark.createDataFrame([(1, "b"), (1, "c"), (2, "d"), (2, "d")], "id long, v string")
+    assert sorted(map(tuple, store.upsert_rows(table, twice, ["id"]).collect())) == [(1, "c"), (2, "d")]
+    assert [tuple(r) for r in store.update_rows(table, twice, ["id"]).collect()] == [(1, "c")]
+
+
+def test_manual_decision_stays_among_equal_keys(spark):
+    priced = with_usd(batch(spark, rows(1)), rates(spark))
+    manual = priced.withColumn("is_manual", F.lit(1)).withColumn("category_id", F.lit("a"))
+    merged = store.merge_footprints(store.footprint_of(priced).limit(0), store.footprint_of(priced.unionByName(manual)))
+    assert [(r["category_id"], r["is_manual"]) for r in merged.collect()] == [("a", 1)]
+
+
+def test_periods_reach_the_scan(spark):
+    path = shared_dir(spark, "test-store")
+    stored = spark.createDataFrame(
+        [(y, m, 1, 1.0, "x", f"h{y}{m}", 0) for y in (2023, 2024) for m in range(1, 13)], store.FOOTPRINT
+    )
+    store.put_batch(spark, path, stored)
+    wanted = spark.createDataFrame([(2024, 3), (2023, 5)], "year int, month int")
+    found = store.of_periods(store.read_store(spark, path), wanted)
+    assert sorted(r["hash"] for r in found.collect()) == ["h20235", "h20243"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [((" in plan and "month" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert len(store.read_store(spark, path, [(2024, 3)]).inputFiles()) == 1
+
+
+def test_failed_commit_changes_nothing(spark, monkeypatch):
+    path = shared_dir(spark, "test-store")
+    store.commit(spark, path, with_usd(batch(spark, rows(1, 2)), rates(spark)))
+    monkeypatch.setattr(store, "_LIST_SCHEMA", "version long")
+    with pytest.raises(Exception):  # noqa: B017
+        store.put_batch(spark, path, store.footprint_of(with_usd(batch(spark, rows(3)), rates(spark))))
+    monkeypatch.undo()
+    assert store.read_store(spark, path).count() == 2
+
+
 def test_hash_set_ignores_row_order(spark):
     one = {r["hash"] for r in batch(spark, rows(1, 2, 1, 3, 1)).collect()}
     two = {r["hash"] for r in batch(spark, rows(3, 1, 1, 2, 1)).collect()}
