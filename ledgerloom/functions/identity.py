@@ -25,8 +25,12 @@ NULL_MARK = "~"
 
 
 def number_text(c: Column) -> Column:
-    """A text form that does not depend on a float printer."""
-    return c.cast("decimal(38,10)").cast("string")
+    """A text form that does not depend on a float printer.
+
+    Numbers that ten places and 28 digits before them cannot hold keep their
+    own text, so one huge cell does not end the job.
+    """
+    return F.coalesce(c.try_cast("decimal(38,10)").cast("string"), c.cast("string"))
 
 
 def many_text(values: Column) -> Column:

@@ -18,7 +18,7 @@ def _count(c: Column, char: str) -> Column:
 def _from_end(c: Column, char: str) -> Column:
     """Distance of the last ``char`` from the end; large when absent."""
     at = F.instr(F.reverse(c), char)
-    return F.when(at == 0, F.lit(1_000_000)).otherwise(at)
+    return F.when(at == 0, F.length(c) + 1).otherwise(at)
 
 
 def parse_number(c: Column) -> Column:
@@ -31,7 +31,7 @@ def parse_number(c: Column) -> Column:
     at the first character that cannot belong to it.
     """
     plain = trimmed(c)
-    text = F.when(plain.startswith("+"), F.substring(plain, 2, 1_000_000)).otherwise(plain)
+    text = F.when(plain.startswith("+"), F.substring(plain, F.lit(2), F.length(plain))).otherwise(plain)
     comma_decimal = (
         F.when(_count(text, ".") > 1, F.lit(True))
         .when(_count(text, ",") > 1, F.lit(False))

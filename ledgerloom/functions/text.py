@@ -21,7 +21,6 @@ PLACEHOLDER_CELLS = ("", "-", "—", "N/A")
 
 EM_DASH = "—"
 MIN_TOKEN_LENGTH = 3
-MAX_MATCH_INPUT = 1000
 
 # White space as the statement formats use it (includes no-break spaces).
 BLANKS = (

@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates
-from ledgerloom.functions.text import MAX_MATCH_INPUT
+from ledgerloom.functions.text import trimmed
 
 # Legal operators per field.
 DATE_OPERATORS = (
@@ -132,7 +132,7 @@ def _text(c: Condition, x: Column) -> Column:
     value = str(c.value)
     if c.operator == "matches":
         check_pattern(value)
-        return F.substring(x, 1, MAX_MATCH_INPUT).rlike(value)
+        return x.rlike(value)
     return {
         "equals": x == value,
         "notEquals": x != value,
@@ -204,6 +204,54 @@ def prepared(c: Column) -> Column:
     )
 
 
+def nests_quantifiers(pattern: Column) -> Column:
+    """``check_pattern`` for patterns that are data.
+
+    Literals are blanked, then the innermost groups are closed one level per
+    step.
+    """
+    plain = F.regexp_replace(pattern, r"\\.|\[(?:\\.|[^\]\\])*\]", "x")
+    nested = r"\([^()]*[*+{][^()]*\)[*+?{]"
+    depth = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(plain, F.lit(r"\("))))
+    walked = F.aggregate(
+        depth,
+        F.struct(plain.alias("text"), F.lit(False).alias("bad")),
+        lambda acc, _: F.struct(
+            F.regexp_replace(acc["text"], r"\([^()]*\)", "x").alias("text"),
+            (acc["bad"] | acc["text"].rlike(nested)).alias("bad"),
+        ),
+    )
+    return walked["bad"]
+
+
+def condition_problem(c: Column) -> Column:
+    """Why a condition that is data is outside the grammar; null where it is not.
+
+    These are the conditions that the literal form refuses to compile.
+    """
+    field_, operator, value = c["field"], c["operator"], c["value"]
+    known = F.coalesce(field_.isin(*FIELD_OPERATORS), F.lit(False))
+    legal = reduce(
+        lambda a, b: a | b, [(field_ == f) & operator.isin(*ops) for f, ops in FIELD_OPERATORS.items()]
+    )
+    pattern = operator == "matches"
+    reads = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), value, F.lit("")).isNotNull()
+    numeric = field_.isin("date", "amount")
+    bounded = operator.isin("between", "dayRange")
+    needs_number = numeric & operator.isin(*(o for o in NUMBER_OPERATORS if o != "between"), "specificDay")
+    needs_text = ~numeric & ~operator.isin("oneOf", *BOOLEAN_OPERATORS)
+    return (
+        F.when(~known, "unknown-field")
+        .when(~F.coalesce(legal, F.lit(False)), "unsupported-operator")
+        .when((field_ == "amount") & (trimmed(F.coalesce(c["currency"], F.lit(""))) == ""), "amount-without-currency")
+        .when(bounded & (c["lo"].isNull() | c["hi"].isNull()), "missing-value")
+        .when(needs_number & value.try_cast("double").isNull(), "missing-value")
+        .when((needs_text & value.isNull()) | ((operator == "oneOf") & c["values"].isNull()), "missing-value")
+        .when(pattern & ~reads, "invalid-pattern")
+        .when(pattern & nests_quantifiers(value), "unsafe-pattern")
+    )
+
+
 def row_texts() -> Column:
     """The text fields of a row by slot."""
     return F.array(*[F.coalesce(F.col(f), F.lit("")) for f in TEXT_FIELDS])
@@ -222,7 +270,7 @@ def matches(c: Column, texts: Column) -> Column:
         .when(is_("endsWith"), F.endswith(text, value))
         .when(is_("notEquals"), text != value)
         .when(is_("notContains"), ~F.contains(text, value))
-        .when(is_("matches"), F.regexp_like(F.substring(text, 1, MAX_MATCH_INPUT), value))
+        .when(is_("matches"), F.regexp_like(text, value))
     )
     on_amount = (
         F.when(is_("equals"), x == number)

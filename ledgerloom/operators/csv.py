@@ -20,7 +20,6 @@ from ledgerloom.functions.indexing import block_of
 DELIMITERS = (";", "\t", ",")
 SNIFF_LINES = 20
 SPAN_LINES = 10
-RAW_LIMIT = 200
 
 _QUOTED = '"[^"]*+(?:""[^"]*+)*+"'
 
@@ -105,7 +104,7 @@ def quote_problems(record: Column, delimiter: Column) -> Column:
     """
 
     def problem(what: str, raw: Column) -> Column:
-        return F.struct(F.lit(what).alias("what"), F.substring(raw, 1, RAW_LIMIT).alias("raw"))
+        return F.struct(F.lit(what).alias("what"), raw.alias("raw"))
 
     def strays(before: Column, text: Column) -> Column:
         parts = F.split(text, '"')

@@ -52,7 +52,9 @@ def header_score(cells: Column, next_widths: Column) -> Column:
 def leading_rows(rows: DataFrame) -> DataFrame:
     """The rows a header is searched in, plus the ones looked ahead to."""
     order = W.partitionBy("file_id").orderBy("src_row")
-    return rows.withColumn("_at", F.row_number().over(order) - 1).where(F.col("_at") < SCAN_ROWS + LOOK_AHEAD)
+    # The filter on the plain number lets every task keep only its first rows of a file.
+    first = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SCAN_ROWS + LOOK_AHEAD)
+    return first.withColumn("_at", F.col("_n") - 1).drop("_n")
 
 
 def scored_rows(rows: DataFrame) -> DataFrame:
@@ -145,7 +147,7 @@ def _issue(row: Column, what: str, raw: Column | None, action: str, column: Colu
         row.cast("long").alias("row"),
         (F.lit(None) if column is None else column).cast("int").alias("column"),
         F.lit(what).alias("what"),
-        (F.lit(None) if raw is None else F.substring(raw, 1, 200)).cast("string").alias("raw"),
+        (F.lit(None) if raw is None else raw).cast("string").alias("raw"),
         F.lit(action).alias("action"),
     )
 
@@ -224,7 +226,7 @@ def keying_issues(classified: DataFrame) -> DataFrame:
         F.col("src_row").alias("row"),
         F.lit(None).cast("int").alias("column"),
         what.alias("what"),
-        F.when(skipped, F.substring(F.array_join("cells", "|"), 1, 200)).alias("raw"),
+        F.when(skipped, F.array_join("cells", "|")).alias("raw"),
         action.alias("action"),
     )
 

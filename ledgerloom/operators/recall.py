@@ -41,11 +41,23 @@ def collisions(incoming: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def save_new(pool: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Remember unknown keys; known ones are never overwritten here."""
-    fresh = incoming.select(F.col("key").alias("column_name"), "definition", "params").dropDuplicates(["column_name"])
+    """Remember unknown keys; known ones are never overwritten here.
+
+    Of several definitions of one key the first in text order is saved;
+    ``conflicts`` reports such keys.
+    """
+    named = incoming.select(F.col("key").alias("column_name"), "definition", "params")
+    fresh = named.groupBy("column_name").agg(F.min(F.struct("definition", "params")).alias("d"))
+    fresh = fresh.select("column_name", "d.definition", "d.params")
     return pool.unionByName(fresh.join(pool, "column_name", "left_anti"))
 
 
+def conflicts(incoming: DataFrame) -> DataFrame:
+    """Keys that come with more than one definition, and how many."""
+    n = F.count_distinct(F.struct("definition", "params"))
+    return incoming.groupBy("key").agg(n.alias("definitions")).where("definitions > 1")
+
+
 def confirm(pool: DataFrame, writes: DataFrame) -> DataFrame:
     """Last confirmed write per key wins over the pool."""
     newest = latest(writes, ["column_name"], "updated_at").drop("updated_at")

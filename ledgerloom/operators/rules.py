@@ -12,7 +12,9 @@ from ledgerloom.operators.conditions import (
     Rule,
     compile_condition,
     compile_conditions,
+    condition_problem,
     matches,
+    nests_quantifiers,
     ordered_signature,
     prepared,
     row_texts,
@@ -30,15 +32,16 @@ def ordered(rules: Sequence[Rule]) -> list[Rule]:
 
 def first_match(rules: Sequence[Rule], pick=lambda r: r.rule_id) -> Column:
     """``pick`` of the first rule that accepts the row, else null."""
+    # The value is wrapped, so that a winner with a null value ends the search too.
     chunks: list[Column] = []
     todo = ordered(rules)
     for i in range(0, len(todo), CHUNK):
         case = None
         for rule in todo[i : i + CHUNK]:
-            test, value = compile_conditions(rule.conditions), F.lit(pick(rule))
+            test, value = compile_conditions(rule.conditions), F.struct(F.lit(pick(rule)).alias("v"))
             case = F.when(test, value) if case is None else case.when(test, value)
         chunks.append(case)
-    return F.coalesce(*chunks) if chunks else F.lit(None)
+    return F.coalesce(*chunks)["v"] if chunks else F.lit(None)
 
 
 def with_rule(txns: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -61,6 +64,32 @@ def _anchor(field: Column, value: Column) -> Column:
     return F.concat(field, F.lit("\u0001"), value)
 
 
+def _judged(rules: DataFrame) -> DataFrame:
+    problems = F.filter(
+        F.transform("conditions", lambda c, i: F.struct(condition_problem(c).alias("reason"), i.alias("condition"))),
+        lambda p: p["reason"].isNotNull(),
+    )
+    return rules.withColumn("_problems", problems)
+
+
+def rule_errors(rules: DataFrame) -> DataFrame:
+    """``(ruleset_id, rule_id, condition, reason)`` of conditions outside the grammar."""
+    return (
+        _judged(rules)
+        .select("ruleset_id", "rule_id", F.explode("_problems").alias("p"))
+        .select("ruleset_id", "rule_id", "p.condition", "p.reason")
+    )
+
+
+def valid_rules(rules: DataFrame) -> DataFrame:
+    """The rules without errors; one tenant's faulty rule touches nobody else's.
+
+    A rule without a condition list matches every row, like an empty list.
+    """
+    good = F.size(F.coalesce("_problems", F.array().cast("array<struct<reason:string,condition:int>>"))) == 0
+    return _judged(rules).where(good).drop("_problems")
+
+
 def rule_index(rules: DataFrame) -> DataFrame:
     """One row per rule set: its rules under the texts they require.
 
@@ -77,7 +106,7 @@ def rule_index(rules: DataFrame) -> DataFrame:
     first = F.array_min(ranked)
     texts = F.when(first["operator"] == "oneOf", first["values"]).otherwise(F.array(first["value"]))
     keys = F.when(first.isNull(), F.array(F.lit(_ANY))).otherwise(
-        F.transform(F.array_distinct(texts), lambda v: _anchor(first["field"], v))
+        F.transform(F.array_distinct(F.array_compact(texts)), lambda v: _anchor(first["field"], v))
     )
     ready = F.transform("conditions", prepared).alias("conditions")
     item = F.struct("order", "rule_id", "category_id", ready)
@@ -95,8 +124,9 @@ def with_rule_by_set(txns: DataFrame, rules: DataFrame) -> DataFrame:
 
     Each row meets its rule set once (a one-to-one join on ``ruleset_id``) and
     the set is searched inside the row, so rows are never multiplied by rules.
+    Rules with an error (``rule_errors``) are left out.
     """
-    joined = txns.join(rule_index(rules), "ruleset_id", "left")
+    joined = txns.join(rule_index(valid_rules(rules)), "ruleset_id", "left")
     own = [_anchor(F.lit(f), F.coalesce(F.col(f), F.lit(""))) for f in ANCHOR_FIELDS]
     filed = F.transform(F.array(*own, F.lit(_ANY)), lambda k: F.try_element_at("_index", k))
     candidates = F.flatten(F.array_compact(filed))
@@ -108,10 +138,11 @@ def with_rule_by_set(txns: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
     def better(best: Column, r: Column) -> Column:
-        """The earlier rule; one behind the best so far is not evaluated."""
-        accepts = F.forall(r["conditions"], lambda c: matches(c, texts))
+        """The earlier rule by order, then id; one behind the best so far is not evaluated."""
+        accepts = F.coalesce(F.forall(r["conditions"], lambda c: matches(c, texts)), F.lit(True))
         found = F.struct(r["order"].alias("order"), r["rule_id"].alias("rule_id"), r["category_id"].alias("category_id"))
-        return F.when(best["order"] <= r["order"], best).when(accepts, found).otherwise(best)
+        behind = (best["order"] < r["order"]) | ((best["order"] == r["order"]) & (best["rule_id"] <= r["rule_id"]))
+        return F.when(behind, best).when(accepts, found).otherwise(best)
 
     return (
         joined.withColumn("_candidates", candidates)
@@ -159,28 +190,12 @@ def next_order(rules: DataFrame) -> DataFrame:
 
 
 def unsafe_patterns(rules: DataFrame) -> DataFrame:
-    """``matches`` conditions whose pattern nests quantifiers.
-
-    Works on pattern text as data: literals are blanked, then the innermost
-    groups are closed one level per step.
-    """
+    """``matches`` conditions whose pattern nests quantifiers."""
     conditions = rules.select("ruleset_id", "rule_id", F.explode("conditions").alias("c")).where(
         "c.operator = 'matches'"
     )
-    plain = F.regexp_replace(F.col("c.value"), r"\\.|\[(?:\\.|[^\]\\])*\]", "x")
-    nested = r"\([^()]*[*+{][^()]*\)[*+?{]"
-    depth = F.sequence(F.lit(1), F.greatest(F.lit(1), F.regexp_count(plain, F.lit(r"\("))))
-    start = F.struct(plain.alias("text"), F.lit(False).alias("bad"))
-    walked = F.aggregate(
-        depth,
-        start,
-        lambda acc, _: F.struct(
-            F.regexp_replace(acc["text"], r"\([^()]*\)", "x").alias("text"),
-            (acc["bad"] | acc["text"].rlike(nested)).alias("bad"),
-        ),
-    )
     return conditions.select(
-        "ruleset_id", "rule_id", F.col("c.value").alias("pattern"), walked["bad"].alias("unsafe")
+        "ruleset_id", "rule_id", F.col("c.value").alias("pattern"), nests_quantifiers(F.col("c.value")).alias("unsafe")
     )
 
 

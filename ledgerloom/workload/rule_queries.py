@@ -260,6 +260,79 @@ def d1_sets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "E6_applied_counts_by_rule_set",
+    with_(
+        _BRANDED,
+        """SELECT r.ruleset_id, r.rule_id, count(w.id) AS applied_count
+FROM prules r LEFT JOIN won w ON w.ruleset_id = r.ruleset_id AND w.rule_id = r.rule_id GROUP BY ALL""",
+    ),
+)
+def e6_sets(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.applied_counts_by_set(branded_txn(spark, sf), part_rules(spark, sf))
+
+
+def faulty_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """One rule per part; seven of nine have a condition outside the grammar."""
+    part = read_table(spark, sf, "part")
+    shape = "field string, operator string, value string, values array<string>, lo double, hi double, currency string"
+    kinds = [
+        '{"field": "description", "operator": "matches", "value": "gear$"}',
+        '{"field": "nope", "operator": "isFalse"}',
+        '{"field": "mcc", "operator": "contains", "value": "5"}',
+        '{"field": "amount", "operator": "greaterThan", "value": "5"}',
+        '{"field": "description", "operator": "equals"}',
+        '{"field": "currency", "operator": "oneOf"}',
+        '{"field": "description", "operator": "matches", "value": "("}',
+        '{"field": "description", "operator": "matches", "value": "(a+)+"}',
+    ]
+    text = F.get(F.array(*[F.lit(k) for k in kinds]), (F.col("p_partkey") % 9).cast("int"))
+    return part.select(
+        F.col("p_brand").alias("ruleset_id"),
+        F.col("p_partkey").alias("rule_id"),
+        F.lit(0).cast("long").alias("order"),
+        F.lit("faulty").alias("category_id"),
+        F.when(text.isNotNull(), F.array(F.from_json(text, shape))).alias("conditions"),
+    )
+
+
+@query(
+    "D1_rule_errors",
+    """
+SELECT p_brand AS ruleset_id, p_partkey AS rule_id, 0 AS condition,
+       ['unknown-field', 'unsupported-operator', 'amount-without-currency', 'missing-value', 'missing-value',
+        'invalid-pattern', 'unsafe-pattern'][p_partkey % 9] AS reason
+FROM part WHERE p_partkey % 9 BETWEEN 1 AND 7
+""",
+)
+def d1_errors(spark: SparkSession, sf: str) -> DataFrame:
+    return ops.rule_errors(faulty_rules(spark, sf))
+
+
+@query(
+    "D1_faulty_rules_are_left_out",
+    with_(
+        _BRANDED,
+        """, own AS (
+  SELECT ruleset_id, rule_id, "order" + 1 AS pos, id FROM won JOIN prules USING (ruleset_id, rule_id)),
+rest AS (
+  SELECT t.id, t.ruleset_id, min(p.p_partkey) AS rule_id
+  FROM btxn t JOIN part p ON p.p_brand = t.ruleset_id AND (p.p_partkey % 9 = 8 OR p.p_partkey % 9 = 0 AND t.description LIKE '%gear')
+  GROUP BY t.id, t.ruleset_id)
+SELECT ruleset_id, rule_id, count(*) AS applied
+FROM (SELECT t.ruleset_id, coalesce(r.rule_id, o.rule_id) AS rule_id
+      FROM btxn t LEFT JOIN rest r ON r.id = t.id LEFT JOIN own o ON o.id = t.id)
+WHERE rule_id IS NOT NULL GROUP BY ALL""",
+    ),
+)
+def d1_faulty(spark: SparkSession, sf: str) -> DataFrame:
+    """Faulty rules in front of each set: the valid ones among them win, then the set's own."""
+    own = part_rules(spark, sf).withColumn("order", F.col("order") + 1)
+    rules = faulty_rules(spark, sf).unionByName(own)
+    won = ops.with_rule_by_set(branded_txn(spark, sf), rules).where("rule_id is not null")
+    return won.groupBy("ruleset_id", "rule_id").agg(F.count(F.lit(1)).alias("applied"))
+
+
 # -------------------------------------------------------------- C26, D11, D12 …
 
 
