@@ -18,6 +18,7 @@ from ledgerloom.functions.numbers import parse_number
 from ledgerloom.operators import columns as col
 from ledgerloom.operators import detect, recall, review
 from ledgerloom.operators import transactions as tr
+from ledgerloom.plans.generation import Generated, generate
 from ledgerloom.session import materialize
 from ledgerloom.sources.tables import read_table, read_with_position
 from ledgerloom.workload.adapters import BASE, TXN, txn
@@ -81,14 +82,14 @@ def raw_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RAW = """
-li AS (SELECT *, row_number() OVER () - 1 AS src_row FROM lineitem),
-raw AS (
+li AS MATERIALIZED (SELECT *, row_number() OVER () - 1 AS src_row FROM lineitem),
+raw AS MATERIALIZED (
   SELECT l_suppkey AS file_id, src_row, row_number() OVER (PARTITION BY l_suppkey ORDER BY src_row) - 1 AS row_index,
          CAST(l_shipdate AS DATE) AS day, l_extendedprice AS price, l_quantity AS qty, l_returnflag AS flag, l_linenumber AS line,
          l_discount AS disc, l_tax AS tax, s_nationkey // 4 % 4 AS layout, s_nationkey AS nation, s_name, p_name, p_type, p_size, l_orderkey,
          (['UAH','USD','EUR','GBP'])[s_nationkey % 4 + 1] AS code, l_returnflag <> 'A' OR s_nationkey // 4 % 4 = 3 AS outgoing
   FROM li JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
-cells AS (
+cells AS MATERIALIZED (
   SELECT *, CASE WHEN qty = 50 THEN NULL ELSE day END AS c_date,
     CASE WHEN qty = 49 THEN NULL WHEN outgoing THEN -price ELSE price END AS c_amount,
     CASE WHEN line = 3 AND code = 'USD' THEN NULL ELSE code END AS c_currency,
@@ -101,7 +102,7 @@ cells AS (
     CASE WHEN layout = 1 AND flag <> 'R' THEN NULL ELSE price END AS c_balance,
     'ACC' || (l_orderkey % 50) AS c_account
   FROM raw),
-kinds AS (
+kinds AS MATERIALIZED (
   SELECT file_id, CASE WHEN bool_or(c_amount > 0) AND bool_or(c_amount < 0) THEN 'mixed'
                        WHEN bool_or(c_amount <> 0) THEN 'outcome' ELSE 'income' END AS amount_type FROM cells GROUP BY file_id)
 """
@@ -443,15 +444,21 @@ def b17(spark: SparkSession, sf: str) -> DataFrame:
 
 # ------------------------------------------------------- B20-B28, E23, reviews
 
-OPS = RAW + f""",
-good AS (
+OPS = RAW + ", " + _ERRORS + f""",
+refused AS MATERIALIZED (
+  SELECT file_id, col_id, 'column-rejected' AS reason FROM errs WHERE errors / total > 0.3
+  UNION ALL SELECT s_suppkey, 11, 'column-unmapped' FROM supplier WHERE s_nationkey = 23
+  UNION ALL SELECT s_suppkey, NULL, 'structural-multiple-date-columns' FROM supplier WHERE s_nationkey = 24
+  UNION ALL SELECT file_id, 8, 'no-dominant-status-value' FROM cells GROUP BY file_id
+    HAVING greatest(count(*) FILTER (WHERE qty <= 43), count(*) FILTER (WHERE qty > 43)) / count(*) < 0.8),
+good AS MATERIALIZED (
   SELECT c.*, k.amount_type, CASE WHEN nation = 22 THEN 'EUR' ELSE c_currency END AS currency
-  FROM cells c JOIN kinds k USING (file_id) WHERE nation <> 24),
-main AS (
+  FROM cells c JOIN kinds k USING (file_id) WHERE file_id NOT IN (SELECT file_id FROM refused)),
+main AS MATERIALIZED (
   SELECT *, CASE WHEN amount_type = 'mixed' AND c_amount > 0 THEN 'positive-value-ignored' END AS skip,
     CASE WHEN c_date IS NULL THEN 'date-parse-failed' WHEN c_amount IS NULL THEN 'amount-parse-failed' WHEN currency IS NULL THEN 'currency-ambiguous' END AS err
   FROM good),
-ops AS (
+ops AS MATERIALIZED (
   SELECT file_id, row_index AS source_row, 'main' AS kind, 0 AS kind_order, CASE WHEN skip IS NOT NULL THEN 'skipped' WHEN err IS NOT NULL THEN 'error' ELSE 'ok' END AS state,
          coalesce(skip, err) AS reason, abs(c_amount) AS amount, currency, nullif(concat_ws(' ', c_details, c_note), '') AS description_, c_account AS account, {_YEAR2000} AS date, c_mcc AS mcc,
          concat_ws(' ', c_details, c_note) AS description FROM main
@@ -469,12 +476,13 @@ def choices(spark: SparkSession, sf: str) -> DataFrame:
     return materialize(tr.with_amount_choice(col.file_columns(resolved), BASE), "choices")
 
 
-def typed_choice(spark: SparkSession, sf: str) -> DataFrame:
+def generated(spark: SparkSession, sf: str) -> Generated:
     rows = materialize(raw_rows(spark, sf), "raw")
-    resolved = materialize(detect.resolve_auto(rows, mapping(spark, sf)), "mapping")
-    cols = tr.with_amount_choice(col.file_columns(resolved), BASE)
-    cols = materialize(cols.join(tr.structural_errors(cols), "file_id", "left_anti"), "choices")
-    return col.typed_rows(rows, cols)
+    return generate(rows, mapping(spark, sf), BASE)
+
+
+def typed_choice(spark: SparkSession, sf: str) -> DataFrame:
+    return generated(spark, sf).typed
 
 
 def operations(spark: SparkSession, sf: str) -> DataFrame:
@@ -504,6 +512,12 @@ def b21(spark: SparkSession, sf: str) -> DataFrame:
     return tr.structural_errors(col.file_columns(mapping(spark, sf)))
 
 
+@query("B16_refused_files", with_(OPS, "SELECT * FROM refused"))
+def b16_refused(spark: SparkSession, sf: str) -> DataFrame:
+    """Every reason that keeps a file from generating rows."""
+    return generated(spark, sf).refused
+
+
 @query("B22_skipped_rows", with_(OPS, "SELECT file_id, source_row, reason FROM ops WHERE state = 'skipped'"))
 def b22(spark: SparkSession, sf: str) -> DataFrame:
     return tr.skipped_rows(operations(spark, sf))

@@ -106,3 +106,21 @@ def test_weighted_median_is_exact(spark):
     got = dict(stats.weighted_median(df, ["g"], "v", "n", "m").collect())
     flat = sorted(v for g, v, n in rows if g == "a" for _ in range(n))
     assert got == {"a": flat[len(flat) // 2], "b": 4.0}
+
+
+def test_huge_number_keeps_its_text(spark):
+    from ledgerloom.functions.identity import number_text
+
+    rows = spark.createDataFrame([(1e31,), (1.5,)], "x double").select(number_text(F.col("x")).alias("t")).collect()
+    assert [r["t"] for r in rows] == ["1.0E31", "1.5000000000"]
+
+
+def test_first_definition_is_saved_and_conflicts_are_told(spark):
+    from ledgerloom.operators import recall
+
+    kind = "key string, definition string, params struct<format:string>"
+    pool = spark.createDataFrame([], kind.replace("key", "column_name"))
+    new = spark.createDataFrame([("k", "TIME", ("b",)), ("k", "DATE", ("a",)), ("l", "DATE", ("a",)), ("l", "DATE", ("a",))], kind)
+    saved = sorted((r["column_name"], r["definition"]) for r in recall.save_new(pool, new).collect())
+    assert saved == [("k", "DATE"), ("l", "DATE")]
+    assert [tuple(r) for r in recall.conflicts(new).collect()] == [("k", 2)]

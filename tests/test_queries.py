@@ -12,7 +12,8 @@ NAMES = (
     "C25_text_matches", "D1_first_match_by_rule_set", "D4_category_ladder", "D6_conversion_chain",
     "D12_rule_set_diff", "E1_date_formats", "E6_applied_counts", "E14_amount_profile", "E18_flagged_rows",
     "G1_duplicate_counter", "A4_csv_records", "A11_issue_log", "A18_footprint_upsert", "B20_generated_operations",
-    "E10_review_summary", "K2_why_tree",
+    "E10_review_summary", "K2_why_tree", "D1_rule_errors", "D1_faulty_rules_are_left_out", "E6_applied_counts_by_rule_set",
+    "B16_refused_files", "B30_review_echo", "C36_review_filter", "D9_recall_save_new", "I6_row_hash", "S1_incremental_import",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
