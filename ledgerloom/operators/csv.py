@@ -18,7 +18,6 @@ from ledgerloom.functions.indexing import block_of
 
 # Candidates in tie-break order, and limits.
 DELIMITERS = (";", "\t", ",")
-SNIFF_LINES = 20
 SPAN_LINES = 10
 
 _QUOTED = '"[^"]*+(?:""[^"]*+)*+"'
@@ -39,11 +38,16 @@ def _outside_quotes(line: Column) -> Column:
     return F.regexp_replace(line, '"[^"]*(?:"|$)', "")
 
 
-def sniff_delimiters(lines: DataFrame) -> DataFrame:
-    """Delimiter with the highest median count outside quotes; comma if none."""
+def sniff_delimiters(lines: DataFrame, first: int | None = None) -> DataFrame:
+    """Delimiter with the highest median count outside quotes; comma if none.
+
+    All non-empty lines count, or only the ``first`` of each file. The median
+    is exact and built from counts of counts, so it is combined map-side.
+    """
+    lines = lines.where("line <> ''") if first is None else first_lines(lines, first)
     bare = _outside_quotes(F.col("line"))
     counts = [F.percentile(F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))), F.lit(0.5)) for d in DELIMITERS]
-    medians = first_lines(lines, SNIFF_LINES).groupBy("file_id").agg(*[c.alias(f"_m{i}") for i, c in enumerate(counts)])
+    medians = lines.groupBy("file_id").agg(*[c.alias(f"_m{i}") for i, c in enumerate(counts)])
     ranked = F.array_max(
         F.array(*[F.struct(F.col(f"_m{i}").alias("m"), F.lit(-i).alias("rank"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)])
     )

@@ -10,7 +10,6 @@ from ledgerloom.functions.indexing import dense_index, in_even_sample
 from ledgerloom.functions.text import PLACEHOLDER_CELLS, trimmed
 
 # Fixed values of the scoring.
-SCAN_ROWS = 25
 LOOK_AHEAD = 3
 SCORE_FLOOR = 0.30
 EMPTY_DISCOUNT = 0.05
@@ -29,58 +28,97 @@ _DATE = r"^\d{1,2}[./-]\d{1,2}[./-]\d{2,4}"
 _AMOUNT = r"^[-+]?\d[\d\s.,]*"
 
 
-def header_score(cells: Column, next_widths: Column) -> Column:
-    """Header likeness of a row.
-
-    Distinct texts over filled cells, mildly discounted for empty cells; times
-    the share of following rows at least as wide; times a bonus for mostly
-    text; times a penalty for dates and amounts; plus a little for width.
-    """
+def _likeness(cells: Column) -> Column:
+    """What a row's own cells say: distinct texts, mostly text, dates and amounts, width."""
     width = F.size(cells)
     filled = F.filter(F.transform(cells, trimmed), lambda t: t != "")
     texts = F.filter(filled, lambda t: ~F.regexp_replace(t, "^([^,]*),", "$1.").rlike(_NUMBER))
     data_like = F.size(F.filter(texts, lambda t: t.rlike(_DATE) | t.rlike(_AMOUNT)))
     raw = F.coalesce(F.try_divide(F.size(F.array_distinct(texts)), F.size(filled)), F.lit(0.0))
-    soft = raw * (1 - F.lit(EMPTY_DISCOUNT) * (width - F.size(filled)) / width)
+    return F.struct(
+        (raw * (1 - F.lit(EMPTY_DISCOUNT) * (width - F.size(filled)) / width)).alias("soft"),
+        F.when(raw >= 0.5, TEXT_BONUS).otherwise(1.0).alias("bonus"),
+        F.greatest(F.lit(DATA_FLOOR), 1 - F.lit(DATA_PENALTY) * data_like).alias("penalty"),
+    )
+
+
+def steadiness(width: Column, next_widths: Column) -> Column:
+    """The share of the following rows that are at least as wide."""
     wide = F.size(F.filter(next_widths, lambda w: w >= width))
-    steady = F.coalesce(F.try_divide(wide, F.size(next_widths)), F.lit(1.0))
-    bonus = F.when(raw >= 0.5, TEXT_BONUS).otherwise(1.0)
-    penalty = F.greatest(F.lit(DATA_FLOOR), 1 - F.lit(DATA_PENALTY) * data_like)
-    return soft * steady * bonus * penalty + width * F.lit(WIDTH_BONUS)
+    return F.coalesce(F.try_divide(wide, F.size(next_widths)), F.lit(1.0))
+
 
+def leading_rows(rows: DataFrame, scan_rows: int) -> DataFrame:
+    """The first rows of each file, plus the ones looked ahead to.
 
-def leading_rows(rows: DataFrame) -> DataFrame:
-    """The rows a header is searched in, plus the ones looked ahead to."""
+    The filter on the plain number lets every task keep only its first rows of
+    a file.
+    """
     order = W.partitionBy("file_id").orderBy("src_row")
-    # The filter on the plain number lets every task keep only its first rows of a file.
-    first = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= SCAN_ROWS + LOOK_AHEAD)
+    first = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= scan_rows + LOOK_AHEAD)
     return first.withColumn("_at", F.col("_n") - 1).drop("_n")
 
 
-def scored_rows(rows: DataFrame) -> DataFrame:
-    order = W.partitionBy("file_id").orderBy("_at")
-    ahead = F.array_compact(F.array(*[F.lead(F.size("cells"), i).over(order) for i in range(1, LOOK_AHEAD + 1)]))
-    return (
-        leading_rows(rows)
-        .withColumn("_widths", ahead)
-        .where(F.col("_at") < SCAN_ROWS)
-        .withColumn("score", header_score(F.col("cells"), F.col("_widths")))
-        .select("file_id", "src_row", F.col("_at").alias("position"), "cells", "score")
+def with_next_widths(rows: DataFrame) -> DataFrame:
+    """Add ``_widths``, the widths of the next rows of the file.
+
+    ``rows`` has ``file_id, src_row, row_block, width``. Widths are looked up
+    inside bounded blocks; what a block needs from behind its end comes from
+    the first rows of the blocks that follow, one row per block.
+    """
+    inside = W.partitionBy("file_id", "row_block").orderBy("src_row")
+    heads = (
+        rows.withColumn("_n", F.row_number().over(inside))
+        .where(F.col("_n") <= LOOK_AHEAD)
+        .groupBy("file_id", "row_block")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "width"))), lambda x: x["width"]).alias("_head"))
+    )
+    behind = W.partitionBy("file_id").orderBy("row_block").rowsBetween(1, LOOK_AHEAD)
+    ends = heads.select("file_id", "row_block", F.flatten(F.collect_list("_head").over(behind)).alias("_behind"))
+    own = F.array_compact(F.array(*[F.lead("width", i).over(inside) for i in range(1, LOOK_AHEAD + 1)]))
+    met = rows.withColumn("_own", own).join(ends, ["file_id", "row_block"])
+    return met.withColumn("_widths", F.slice(F.concat("_own", "_behind"), 1, LOOK_AHEAD)).drop("_own", "_behind")
+
+
+def scored_rows(rows: DataFrame, scan_rows: int | None = None) -> DataFrame:
+    """``(file_id, src_row, score)``: the header likeness of every row.
+
+    Distinct texts over filled cells, mildly discounted for empty cells; times
+    the share of following rows at least as wide; times a bonus for mostly
+    text; times a penalty for dates and amounts; plus a little for width. All
+    rows are scored, or only the first ``scan_rows`` of each file. The cells
+    themselves are not shuffled.
+    """
+    if scan_rows is not None:
+        rows = leading_rows(rows, scan_rows)
+    kept = ["_at"] if scan_rows is not None else []
+    own = rows.select("file_id", "src_row", "row_block", *kept, F.size("cells").alias("width"), _likeness(F.col("cells")).alias("_like"))
+    scored = with_next_widths(own)
+    if scan_rows is not None:
+        scored = scored.where(F.col("_at") < scan_rows)
+    score = (
+        F.col("_like.soft") * steadiness(F.col("width"), F.col("_widths")) * F.col("_like.bonus") * F.col("_like.penalty")
+        + F.col("width") * F.lit(WIDTH_BONUS)
     )
+    return scored.select("file_id", "src_row", score.alias("score"))
 
 
-def detect_headers(rows: DataFrame) -> DataFrame:
+def detect_headers(rows: DataFrame, scan_rows: int | None = None) -> DataFrame:
     """``(file_id, header_row, score, header_cells)``; the best row, the first
     among equals. Row -1 and no cells when nothing reaches the floor."""
-    best = scored_rows(rows).groupBy("file_id").agg(
-        F.max_by(F.struct("src_row", "score", "cells"), F.struct(F.col("score"), -F.col("position"))).alias("b")
+    best = (
+        scored_rows(rows, scan_rows)
+        .groupBy("file_id")
+        .agg(F.max(F.struct(F.col("score"), (-F.col("src_row")).alias("back"))).alias("b"))
+        .select("file_id", F.col("b.score").alias("score"), (-F.col("b.back")).alias("_row"))
     )
-    ok = F.col("b.score") >= SCORE_FLOOR
-    return best.select(
+    cells = rows.select("file_id", F.col("src_row").alias("_row"), F.col("cells").alias("_cells"))
+    ok = F.col("score") >= SCORE_FLOOR
+    return cells.join(best, ["file_id", "_row"]).select(
         "file_id",
-        F.when(ok, F.col("b.src_row")).otherwise(F.lit(-1)).cast("long").alias("header_row"),
-        F.col("b.score").alias("score"),
-        F.when(ok, F.col("b.cells")).alias("header_cells"),
+        F.when(ok, F.col("_row")).otherwise(F.lit(-1)).cast("long").alias("header_row"),
+        "score",
+        F.when(ok, F.col("_cells")).alias("header_cells"),
     )
 
 

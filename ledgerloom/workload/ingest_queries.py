@@ -207,7 +207,7 @@ def a3(spark: SparkSession, sf: str) -> DataFrame:
 WITH l AS (SELECT doc_id AS file_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 t AS (SELECT file_id, regexp_replace(line, '"[^"]*("|$)', '', 'g') AS line, row_number() OVER (PARTITION BY file_id ORDER BY n) AS k FROM l WHERE line <> ''),
 m AS (SELECT file_id, median(length(line) - length(replace(line, ';', ''))) AS a, median(length(line) - length(replace(line, chr(9), ''))) AS b,
-             median(length(line) - length(replace(line, ',', ''))) AS c FROM t WHERE k <= 20 GROUP BY file_id)
+             median(length(line) - length(replace(line, ',', ''))) AS c FROM t GROUP BY file_id)
 SELECT file_id, CASE WHEN a > 0 AND a >= b AND a >= c THEN ';' WHEN b > 0 AND b >= c THEN chr(9) ELSE ',' END AS delimiter FROM m
 """,
 )
@@ -273,7 +273,7 @@ l0 AS (SELECT doc_id AS file_id, unnest(string_split(text, chr(10))) AS line, ge
 l AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY src_row) - 1 AS pos, string_split(line, ',') AS cells FROM l0 WHERE line <> ''),
 w AS (SELECT *, list_filter([lead(len(cells), 1) OVER o, lead(len(cells), 2) OVER o, lead(len(cells), 3) OVER o], lambda x: x IS NOT NULL) AS nxt FROM l
       WINDOW o AS (PARTITION BY file_id ORDER BY src_row)),
-c AS (SELECT *, len(cells) AS width, list_filter(list_transform(cells, lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(160))), lambda x: (x <> '')) AS filled FROM w WHERE pos < 25),
+c AS (SELECT *, len(cells) AS width, list_filter(list_transform(cells, lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(160))), lambda x: (x <> '')) AS filled FROM w),
 t AS (SELECT *, list_filter(filled, lambda x: NOT regexp_full_match(regexp_replace(x, '^([^,]*),', '\\1.'), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')) AS texts FROM c),
 s AS (SELECT file_id, src_row, pos, width, coalesce(len(list_distinct(texts)) / nullif(len(filled), 0)::DOUBLE, 0) AS raw, len(filled) AS nf,
         CASE WHEN len(nxt) = 0 THEN 1 ELSE len(list_filter(nxt, lambda x: (x >= width))) / len(nxt)::DOUBLE END AS steady,
@@ -312,16 +312,10 @@ def g3(spark: SparkSession, sf: str) -> DataFrame:
 )
 def g2(spark: SparkSession, sf: str) -> DataFrame:
     """Share of the next three rows that are at least as wide."""
-    from pyspark.sql import Window as W
-
-    lines = document_lines(spark, sf).where("line <> ''").withColumn("cells", F.split("line", ","))
-    rows = headers.leading_rows(lines).withColumn("w", F.size("cells"))
-    nxt = F.array_compact(F.array(*[F.lead("w", i).over(W.partitionBy("file_id").orderBy("_at")) for i in (1, 2, 3)]))
-    wide = F.size(F.filter(F.col("nxt"), lambda x: x >= F.col("w")))
-    share = F.coalesce(F.try_divide(wide, F.size("nxt")), F.lit(1.0))
-    return rows.withColumn("nxt", nxt).where(F.col("_at") < headers.SCAN_ROWS).select(
-        "file_id", "src_row", F.round(share, 9).alias("steady")
-    )
+    lines = document_lines(spark, sf).where("line <> ''")
+    rows = headers.with_next_widths(lines.select("file_id", "src_row", "row_block", F.size(F.split("line", ",")).alias("width")))
+    share = headers.steadiness(F.col("width"), F.col("_widths"))
+    return rows.select("file_id", "src_row", F.round(share, 9).alias("steady"))
 
 
 _KEYS = """
