@@ -128,6 +128,15 @@ def lookup_maps(currencies: tuple = CURRENCIES) -> dict[str, dict]:
     return {"code": codes, "numeric": numeric, "symbol": owners, "ambiguous": ambiguous}
 
 
+def frame_maps(currencies: DataFrame) -> dict[str, dict]:
+    """``lookup_maps`` of a table shaped like ``currency_frame``, in order of ``pos``.
+
+    The table is the currency standard, a bounded dimension, and is read once.
+    """
+    *fields, pos = (c.split()[0] for c in _SCHEMA.split(", "))
+    return lookup_maps(tuple(tuple(r) for r in currencies.orderBy(pos).select(*fields).collect()))
+
+
 def literal_map(mapping: dict) -> Column:
     pairs: list[Column] = []
     for k, v in mapping.items():

@@ -109,13 +109,13 @@ def as_merchant(raw: Column) -> Column:
     )
 
 
-def parse_cell(raw: Column, col: Column) -> Column:
+def parse_cell(raw: Column, col: Column, currencies: dict | None = None) -> Column:
     """Dispatch on the column's definition; dropped columns yield empty cells."""
     d = col["definition"]
     return (
         F.when(d == m.DATE, as_date(raw, col["date_format"]))
         .when(d == m.AMOUNT, as_amount(raw, col["amount_type"]))
-        .when(d == m.CURRENCY, as_currency(raw))
+        .when(d == m.CURRENCY, as_currency(raw, currencies))
         .when(d.isin(*m.TEXT_DEFINITIONS), as_text(raw))
         .when(d.isin(*m.NUMBER_DEFINITIONS), as_number(raw))
         .when(d == m.STATUS, as_status(raw, col["success_value"]))
@@ -124,13 +124,14 @@ def parse_cell(raw: Column, col: Column) -> Column:
     )
 
 
-def typed_rows(rows: DataFrame, columns: DataFrame) -> DataFrame:
+def typed_rows(rows: DataFrame, columns: DataFrame, currencies: dict | None = None) -> DataFrame:
     """Add ``typed``: ``struct<col_id, definition, raw, v>`` per described
     column; ``v`` holds text, number, date, error and ignore. Describe only the
     columns that are needed: no other cell is parsed.
 
     ``rows(file_id, ..., cells)`` meets its file's column list once. Cells
-    beyond the described columns are not mapped and stay raw.
+    beyond the described columns are not mapped and stay raw. ``currencies``
+    is ``lookup_maps`` of a fuller list (``frame_maps`` reads it from a table).
     """
     joined = rows.join(columns, "file_id")
 
@@ -140,7 +141,7 @@ def typed_rows(rows: DataFrame, columns: DataFrame) -> DataFrame:
             col["col_id"].alias("col_id"),
             col["definition"].alias("definition"),
             raw.alias("raw"),
-            parse_cell(raw, col).alias("v"),
+            parse_cell(raw, col, currencies).alias("v"),
         )
 
     return joined.withColumn("typed", F.transform("cols", one))

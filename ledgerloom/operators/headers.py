@@ -287,14 +287,18 @@ def file_meta(classified: DataFrame, delimiters: DataFrame, headers: DataFrame,
     return meta if encodings is None else meta.join(encodings, "file_id")
 
 
-def schema_errors(rows: DataFrame) -> DataFrame:
-    """Files without rows of one common key set.
+def schema_errors(rows: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Files without rows of one common key set; of ``files``, also those without any row.
 
     Keyed rows always hold the header's keys, so the key sets differ exactly
     when the widths do.
     """
     widths = rows.groupBy("file_id").agg(F.min(F.size("keys")).alias("lo"), F.max(F.size("keys")).alias("hi"))
-    return widths.where("lo <> hi").select("file_id", F.lit("different-columns").alias("reason"))
+    mixed = widths.where("lo <> hi").select("file_id", F.lit("different-columns").alias("reason"))
+    if files is None:
+        return mixed
+    empty = files.select("file_id").distinct().join(widths, "file_id", "left_anti")
+    return mixed.unionByName(empty.select("file_id", F.lit("no-rows").alias("reason")))
 
 
 def sample_cells(rows: DataFrame, at_most: int = 10) -> DataFrame:

@@ -124,3 +124,22 @@ def test_first_definition_is_saved_and_conflicts_are_told(spark):
     saved = sorted((r["column_name"], r["definition"]) for r in recall.save_new(pool, new).collect())
     assert saved == [("k", "DATE"), ("l", "DATE")]
     assert [tuple(r) for r in recall.conflicts(new).collect()] == [("k", 2)]
+
+
+def test_currencies_from_a_table(spark):
+    from ledgerloom.operators import columns
+
+    baht = ("THB", 764, 2, "฿", "THB", "Baht", "бат", [], 100)
+    maps = cur.frame_maps(cur.currency_frame(spark).union(spark.createDataFrame([baht], cur._SCHEMA)))
+    rows = spark.createDataFrame([("thb",), ("764",), ("฿",), ("USD",)], "raw string")
+    assert [r["c"] for r in rows.select(columns.as_currency(F.col("raw"), maps)["text"].alias("c")).collect()] == ["THB"] * 3 + ["USD"]
+    assert rows.where("raw = 'thb'").select(columns.as_currency(F.col("raw"))["text"].alias("c")).first()["c"] is None
+
+
+def test_files_without_rows_are_schema_errors(spark):
+    from ledgerloom.operators import headers
+
+    rows = spark.createDataFrame([(1, ["a", "b"]), (1, ["a", "b"]), (2, ["a"]), (2, ["a", "b"])], "file_id long, keys array<string>")
+    files = spark.createDataFrame([(1,), (2,), (3,)], "file_id long")
+    found = {(r["file_id"], r["reason"]) for r in headers.schema_errors(rows, files).collect()}
+    assert found == {(2, "different-columns"), (3, "no-rows")}
