@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 #: The pre-token pattern of byte-level BPE vocabularies.
 PRE_TOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 CACHE_WORD_CHARS = 64
 #: Symbols laid out at once; longer single words are laid out alone.
 LAYOUT_SYMBOLS = 1_000_000
@@ -173,6 +173,13 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that only their texts become Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(ids: list, texts: list, most_chars: int = 4_000_000) -> Iterator[tuple[list, list[str]]]:
     """Consecutive rows with about ``most_chars`` characters of text; null is empty."""
     a: list = []
@@ -204,7 +211,7 @@ def encode_documents(
 
     def run(batches):
         vocab = vocabulary(path)
-        for batch in batches:
+        for batch in slices(batches):
             for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 packed = list(vocab.encode(texts))
                 out = [

@@ -20,7 +20,7 @@ Groups of candidates are linked through hubs first: every text of a group is
 verified against the group's hub, and linked texts become one component. Only
 pairs that are still in different components are then verified one by one, so a
 large group of copies costs a few comparisons per text and no link between
-components is missed.
+components is missed (``open_pairs``).
 """
 
 from __future__ import annotations
@@ -29,9 +29,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.bpe import slices
 from ledgerloom.llm.common import scan_partitions, stored
 from ledgerloom.llm.components import components
 from ledgerloom.llm.packed import PART, REPLY, SENT, BlockWords, added_up, answered, blocks_of, met, mixed, packed_texts, sent
@@ -44,7 +45,7 @@ FREQUENT = 32
 #: Frequent tokens of a text per sub-class, about.
 PER_CLASS = 8
 BLOCK_CHARS = 4_000_000
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 TOKENS, TEXTS = 1, 2
 #: Bytes of a token's key in counting; a clash only makes a token look less rare.
 COUNT_KEY = 4
@@ -169,7 +170,7 @@ def document_sets(docs: DataFrame, words: int, threshold: tuple[int, int], frequ
 
 
 def index_entries(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """``entry, node, n``: the prefix entries of every node that some other node shares."""
+    """``entry, node, n, s``: every node's prefix entries, its tokens, and how many of them others hold too."""
 
     def run(batches):
         for batch in batches:
@@ -182,8 +183,9 @@ def index_entries(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
                         pa.array(found, pa.int64()),
                         pa.array(np.full(len(found), node), pa.int64()),
                         pa.array(np.full(len(found), n), pa.int64()),
+                        pa.array(np.full(len(found), len(tokens)), pa.int64()),
                     ],
-                    names=["entry", "node", "n"],
+                    names=["entry", "node", "n", "s"],
                 )
 
     def gathered(batches):
@@ -199,14 +201,14 @@ def index_entries(sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     wanted = sets.select("node", F.col("n_shingles").alias("n"), "rare", "tokens")
-    return wanted.mapInArrow(gathered, "entry long, node long, n long")
+    return wanted.mapInArrow(gathered, "entry long, node long, n long, s long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """The pairs ``a, b`` of nodes whose sets are similar enough."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             a, b, na, nb, ta, tb = (c.to_pylist() for c in batch.columns)
             good = []
             for i in range(len(a)):
@@ -218,50 +220,141 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> D
                 [pa.array([x for x, g in zip(c, good, strict=True) if g], pa.int64()) for c in (a, b)], names=["a", "b"]
             )
 
+    return with_sets(pairs, sets).mapInArrow(run, "a long, b long")
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b, na, nb, ta, tb``: pairs with both nodes' sizes and tokens."""
     left = sets.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("tokens").alias("tb"))
-    met_pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb")
-    return met_pairs.mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb")
 
 
-def alike_in_size(a: str, b: str, threshold: tuple[int, int]):
-    return (F.col(a) * threshold[1] >= F.col(b) * threshold[0]) & (F.col(b) * threshold[1] >= F.col(a) * threshold[0])
+def compared_with_hubs(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """``a, b, common, similar, rest``: how node ``a`` compares with its hub ``b``, and its tokens that the hub lacks."""
+
+    def run(batches):
+        for batch in slices(batches):
+            a, b, na, nb, ta, tb = (c.to_pylist() for c in batch.columns)
+            common, similar, rest = [], [], []
+            for i in range(len(a)):
+                own = np.frombuffer(ta[i], "<u8")
+                shared = np.isin(own, np.frombuffer(tb[i], "<u8"), assume_unique=True)
+                n = int(shared.sum())
+                common.append(n)
+                similar.append(threshold[1] * n >= threshold[0] * (na[i] + nb[i] - n))
+                rest.append(own[~shared].astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(a, pa.int64()),
+                    pa.array(b, pa.int64()),
+                    pa.array(common, pa.int64()),
+                    pa.array(similar, pa.bool_()),
+                    pa.array(rest, pa.list_(pa.int64())),
+                ],
+                names=["a", "b", "common", "similar", "rest"],
+            )
+
+    return with_sets(pairs, sets).mapInArrow(run, "a long, b long, common long, similar boolean, rest array<long>")
+
+
+def could_be_similar(common: Column, threshold: tuple[int, int]) -> Column:
+    """Whether ``common`` tokens in common make sets of ``n`` and ``nb`` tokens similar."""
+    return threshold[1] * common >= threshold[0] * (F.col("n") + F.col("nb") - common)
+
+
+def hub_order(turn: int) -> Column:
+    """Which text of a group the others are verified against first.
+
+    The source of a group of edited copies has few tokens of its own, so the
+    least such share comes first; later rounds take texts without a link, the
+    last of them in a random order.
+    """
+    own = (F.col("n") - F.col("s")) / F.col("n")
+    mark = F.xxhash64(F.lit(turn), "node")
+    return [F.struct(own, mark), F.struct("linked", own, mark), F.struct("linked", mark)][min(turn, 2)]
+
+
+def ordered_pairs(rows: DataFrame) -> DataFrame:
+    return rows.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
+def other_side(rows: DataFrame, *key: str) -> DataFrame:
+    """The same rows as the second node of a pair."""
+    return rows.select(*key, *(F.col(c).alias("b" if c == "node" else f"{c}b") for c in rows.columns if c not in key))
+
+
+def open_pairs(placed: DataFrame, hubs: DataFrame, tested: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """All pairs ``a, b`` of different components that may still be similar.
+
+    Nodes that share an entry have been compared with the entry's first hub.
+    What two of them have in common lies in the hub, at most the smaller of
+    their overlaps with it, or outside. So either those overlaps alone could
+    make them similar, or they share a token that the hub lacks: the first kind
+    is met in the entries, the second in the tokens that the hub lacks, which
+    are few and rare among edited copies.
+    """
+    overlap = tested.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("common").alias("i"))
+    rows = placed.select("entry", "node", "n", "s", "c").join(hubs.select("entry", F.col("b").alias("hub")), "entry")
+    rows = rows.join(overlap, ["node", "hub"], "left")
+    rows = stored(rows.withColumn("i", F.when(F.col("node") == F.col("hub"), F.col("s")).otherwise(F.col("i"))), "open-entries")
+    by_size = could_be_similar(F.least("s", "sb"), threshold)
+    in_hub = F.coalesce(could_be_similar(F.least("i", "ib"), threshold), F.lit(True))  # true where not compared
+    met = rows.join(other_side(rows.drop("hub"), "entry"), "entry").where(F.col("c") < F.col("cb"))
+    first = ordered_pairs(met.where(by_size & in_hub))
+    nodes = rows.select("node", "n", "c").distinct()
+    outside = (
+        nodes.join(tested.where(F.size("rest") > 0), nodes["node"] == tested["a"])
+        .select("node", "n", "c", F.col("b").alias("hub"), F.col("common").alias("i"), F.size("rest").cast("long").alias("o"), F.explode("rest").alias("token"))
+    )
+    outside = stored(outside, "tokens-outside-hubs")
+    met = outside.join(other_side(outside, "hub", "token"), ["hub", "token"]).where(F.col("c") < F.col("cb"))
+    most = F.least("i", "ib") + F.least("o", "ob")
+    counted = (
+        met.where(could_be_similar(most, threshold))
+        .groupBy("hub", "node", "b", "n", "nb", F.least("i", "ib").alias("i"))
+        .agg(F.count(F.lit(1)).alias("more"))
+    )
+    second = ordered_pairs(counted.where(could_be_similar(F.col("i") + F.col("more"), threshold)))
+    return first.unionByName(second).distinct()
 
 
 def node_components(sets: DataFrame, threshold: tuple[int, int], rounds: int) -> DataFrame:
     """``node, component`` of all nodes that have a link."""
     entries = stored(index_entries(sets, threshold), "index-entries")
-    known: DataFrame | None = None  # node, component
-    for turn in range(rounds + 1):
-        placed = entries
-        if known is not None:
-            placed = entries.join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+    known: DataFrame | None = None
+    first_hubs: DataFrame | None = None
+    tested: DataFrame | None = None
+    for turn in range(max(1, rounds) + 1):
+        if known is None:
+            placed = entries.withColumn("c", F.col("node")).withColumn("linked", F.lit(False))
         else:
-            placed = entries.withColumn("c", F.col("node"))
-        hubs = (
-            placed.groupBy("entry")
-            .agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.xxhash64(F.lit(turn), "node")).alias("o"))
-            .where("low < high")
-        )
-        hubs = stored(hubs, "entry-hubs")
+            placed = (
+                entries.join(known, "node", "left")
+                .withColumn("c", F.coalesce("component", "node"))
+                .withColumn("linked", F.col("component").isNotNull())
+                .drop("component")
+            )
+        ranked = placed.withColumn("o", hub_order(turn))
+        hub = F.min(F.struct("o", "node", "n", "s", "c")).alias("hub")
+        hubs = ranked.groupBy("entry").agg(F.min("c").alias("low"), F.max("c").alias("high"), hub).where("low < high")
+        named = (("node", "b"), ("n", "nb"), ("s", "sb"), ("c", "cb"))
+        hubs = stored(hubs.select("entry", *(F.col(f"hub.{x}").alias(y) for x, y in named)), "entry-hubs")
         if hubs.isEmpty():
             break
-        placed = stored(placed.join(hubs.select("entry", "o"), "entry"), "open-entries")
-        if turn < rounds:
-            hub = placed.where(F.xxhash64(F.lit(turn), "node") == F.col("o")).select(
-                "entry", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb")
-            )
-            pairs = placed.join(hub, "entry").where(F.col("c") != F.col("cb"))
-            pairs = pairs.where(alike_in_size("n", "nb", threshold)).select(F.col("node").alias("a"), "b")
+        by_size = could_be_similar(F.least("s", "sb"), threshold)
+        with_hub = placed.join(hubs, "entry").where(F.col("c") != F.col("cb")).where(by_size)
+        if turn == 0:
+            pairs = with_hub.select(F.col("node").alias("a"), "b").distinct()
+            first_hubs, tested = hubs, stored(compared_with_hubs(pairs, sets, threshold), "compared")
+            links = tested.where("similar").select("a", "b")
+        elif turn < rounds:
+            links = stored(verified(ordered_pairs(with_hub), sets, threshold), "links")
         else:
-            other = placed.select("entry", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = placed.join(other, "entry").where((F.col("c") < F.col("cb")))
-            pairs = pairs.where(alike_in_size("n", "nb", threshold)).select(F.col("node").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = stored(verified(pairs, sets, threshold), "links")
-        if links.isEmpty():
-            continue
-        known = stored(joined(known, links), "node-components")
+            still = placed.join(hubs.select("entry"), "entry", "left_semi")
+            links = stored(verified(open_pairs(still, first_hubs, tested, threshold), sets, threshold), "links")
+        if not links.isEmpty():
+            known = stored(joined(known, links), "node-components")
     return known if known is not None else sets.sparkSession.createDataFrame([], "node long, component long")
 
 
