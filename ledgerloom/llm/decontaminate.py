@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.bpe import chunks
+from ledgerloom.llm.bpe import chunks, slices
 from ledgerloom.llm.common import stored
 
 ERROR_RATE = 0.08
@@ -172,7 +172,7 @@ def contaminated(
     def searched(block: list[tuple[int, str]]) -> DataFrame:
         def run(batches):
             matcher = Matcher(block, rate)
-            for batch in batches:
+            for batch in slices(batches):
                 for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     hits = [(i, *h) for i, t in zip(ids, texts, strict=True) for h in matcher.search(normal(t))]
                     yield pa.RecordBatch.from_arrays(
@@ -206,7 +206,7 @@ def without_contaminated(
     def clean(rows: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
         def run(batches):
             matcher = Matcher(block, rate)
-            for batch in batches:
+            for batch in slices(batches):
                 stays = [not (t and matcher.search(normal(t))) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(stays, pa.bool_()))
 

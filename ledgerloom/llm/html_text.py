@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.bpe import chunks
+from ledgerloom.llm.bpe import chunks, slices
 
 # Frequent function words of the languages that pages are in.
 STOP_WORDS = frozenset(
@@ -233,7 +233,7 @@ def extract_pages(
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             for part, texts in chunks(keys, batch.column(2).to_pylist()):
                 found = [main_text(t, rules) for t in texts]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.bpe import chunks
+from ledgerloom.llm.bpe import chunks, slices
 
 BUCKETS = 1 << 15
 RANK = 8
@@ -66,7 +66,7 @@ def statistics(text: str, words: list[str], counts: Counter, meta: float) -> lis
     ]
 
 
-@lru_cache(maxsize=300_000)
+@lru_cache(maxsize=100_000)
 def bucket(word: str, buckets: int) -> int:
     return zlib.crc32(word.encode("utf-8", "replace")) % buckets
 
@@ -117,7 +117,7 @@ class Machine:
         begin = held = 0
         for k in range(len(ids)):  # bounded pieces, so that gathered factors stay small
             held += len(ids[k]) + STATS
-            if held >= 500_000 or k + 1 == len(ids):
+            if held >= 100_000 or k + 1 == len(ids):
                 y, _ = self.raw(*self.inputs(ids[begin : k + 1], stats[begin : k + 1]))
                 out[begin : k + 1] = 1 / (1 + np.exp(-np.clip(y, -30, 30)))
                 begin, held = k + 1, 0
@@ -213,7 +213,7 @@ def train(
     taught = rows.join(F.broadcast(sample), rows["doc_id"] == sample["_id"]).select("_id", "_label", "text", "meta")
 
     def featured(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keys = list(zip(*(batch.column(k).to_pylist() for k in (0, 1, 3)), strict=True))
             for part, texts in chunks(keys, batch.column(2).to_pylist()):
                 found = [features(t, k[2], buckets) for k, t in zip(part, texts, strict=True)]
@@ -245,7 +245,7 @@ def train(
 
     params = (
         taught.mapInArrow(featured, "id long, label int, words binary, stats binary")
-        .coalesce(1)
+        .repartition(1)  # a shuffle: the texts are still read by all tasks
         .mapInArrow(fitted, ", ".join(f"{c} binary" for c in "abcde"))
     ).first()
     if params is None:
@@ -274,7 +274,7 @@ def score(
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             keys = list(zip(range(batch.num_rows), batch.column(2).to_pylist(), strict=True))
             for part, texts in chunks(keys, batch.column(1).to_pylist()):
                 found = [features(t, k[1], m.buckets) for k, t in zip(part, texts, strict=True)]
@@ -310,7 +310,7 @@ def good_rows(
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             meta = batch.column(meta_at).to_pylist() if meta_at is not None else [None] * batch.num_rows
             keys = list(enumerate(meta))
             for part, texts in chunks(keys, batch.column(at).to_pylist()):

@@ -19,9 +19,10 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.bpe import CACHE_WORD_CHARS, CACHE_WORDS, chunks
+from ledgerloom.llm.bpe import CACHE_WORD_CHARS, chunks, slices
 
 SPACE = "▁"
+CACHE_WORDS = 400_000
 UNKNOWN_PENALTY = 10.0
 
 
@@ -108,7 +109,7 @@ def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_col
 
     def run(batches):
         count = counter(path)
-        for batch in batches:
+        for batch in slices(batches):
             for ids, texts in chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield pa.RecordBatch.from_arrays(
                     [
