@@ -287,19 +287,21 @@ def other_side(rows: DataFrame, *key: str) -> DataFrame:
 def open_pairs(placed: DataFrame, hubs: DataFrame, tested: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """All pairs ``a, b`` of different components that may still be similar.
 
-    Nodes that share an entry have been compared with the entry's first hub.
-    What two of them have in common lies in the hub, at most the smaller of
-    their overlaps with it, or outside. So either those overlaps alone could
-    make them similar, or they share a token that the hub lacks: the first kind
-    is met in the entries, the second in the tokens that the hub lacks, which
-    are few and rare among edited copies.
+    Nodes that share an entry have been compared with the entry's first hub,
+    unless its size rules that out; a pair with a node that was not compared
+    stays when its own sizes fit. What two compared nodes have in common lies
+    in the hub, at most the smaller of their overlaps with it, or outside. So
+    either those overlaps alone could make them similar, or they share a token
+    that the hub lacks: the first kind is met in the entries, the second in the
+    tokens that the hub lacks, which are few and rare among edited copies.
     """
     overlap = tested.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("common").alias("i"))
     rows = placed.select("entry", "node", "n", "s", "c").join(hubs.select("entry", F.col("b").alias("hub")), "entry")
     rows = rows.join(overlap, ["node", "hub"], "left")
     rows = stored(rows.withColumn("i", F.when(F.col("node") == F.col("hub"), F.col("s")).otherwise(F.col("i"))), "open-entries")
     by_size = could_be_similar(F.least("s", "sb"), threshold)
-    in_hub = F.coalesce(could_be_similar(F.least("i", "ib"), threshold), F.lit(True))  # true where not compared
+    compared = F.col("i").isNotNull() & F.col("ib").isNotNull()  # least() skips nulls
+    in_hub = F.when(compared, could_be_similar(F.least("i", "ib"), threshold)).otherwise(True)
     met = rows.join(other_side(rows.drop("hub"), "entry"), "entry").where(F.col("c") < F.col("cb"))
     first = ordered_pairs(met.where(by_size & in_hub))
     nodes = rows.select("node", "n", "c").distinct()

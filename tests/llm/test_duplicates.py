@@ -157,6 +157,42 @@ def test_near_copies(spark, tmp_path, seed, frequent, rounds):
     assert sorted(str(tuple(r)) for r in got) == brute_components(rows)
 
 
+def test_hub_that_fits_one_of_two_similar_texts(spark, tmp_path):
+    """Texts 1 and 2 are similar and meet in the passage's entries alone; its hub, text 3, is too long for text 1."""
+    some = lambda name, n: [f"{name}{i}" for i in range(n)]
+    passage, common, more, hub = some("p", 25), some("c", 54), some("m", 20), some("h", 105)
+    rows = [(1, passage + common + some("x", 1)), (2, passage + common + more + some("y", 1)), (3, passage + hub)]
+    rows += [(10 + i, common + more + hub + some(f"u{i}x", 400)) for i in range(5)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(stored(df, tmp_path / "d"), words=1).collect()}
+    assert got == {d: 1 if d == 2 else d for d, _ in rows}
+
+
+def shared_passages(seed, texts=90):
+    """Texts of mixed lengths from passages that many of them hold, few of which are similar."""
+    rng = random.Random(seed)
+    passages = [[f"s{k}w{i}" for i in range(rng.choice([8, 20, 45]))] for k in range(14)]
+    rows = []
+    for d in range(texts):
+        if rows and rng.random() < 0.3:
+            words = rng.choice(rows)[1].split()
+            at = rng.randrange(len(words))
+            words[at:at] = [f"e{d}w{i}" for i in range(rng.randrange(1, 2 + len(words) // 4))]
+        else:
+            words = [w for p in rng.sample(passages, rng.randrange(1, 6)) for w in p]
+            words += [f"o{d}w{i}" for i in range(rng.randrange(1 + len(words) // 4))]
+        rows.append((d, " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "frequent"), [(2, 4)])
+def test_texts_of_shared_passages(spark, tmp_path, seed, frequent):
+    rows = shared_passages(seed)
+    df = stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tmp_path / "d")
+    got = ngram_join.near_duplicates(df, frequent=frequent).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_components(rows)
+
+
 def test_near_copies_edges(spark, docs):
     rows = [(r.doc_id, r.text) for r in documents(spark).collect()]
     assert sorted(str(tuple(r)) for r in ngram_join.near_duplicates(docs).collect()) == brute_components(rows)
