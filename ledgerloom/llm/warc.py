@@ -61,8 +61,13 @@ def url_key(url: str | None) -> str:
 
 
 def sort_key(key: str, page_id: int | None) -> str:
-    """One string that orders entries by URL key, then page."""
-    return f"{key} {'-' if page_id is None else f'{page_id + 2**63:020d}'}"
+    """One string that orders entries by URL key, then page, no page first.
+
+    The key ends in two zero characters, and a zero inside it is followed by a
+    one, so a key stands in front of every longer one that starts with it.
+    """
+    closed = key.replace("\0", "\0\1") + "\0\0"
+    return f"{closed}{'-' if page_id is None else f'{page_id + 2**63:020d}'}"
 
 
 def digest(payload: bytes) -> str:
@@ -224,13 +229,8 @@ def write_index(entries: DataFrame, folder: str, parts: int, block_entries: int
 
     fs_, place = fs.FileSystem.from_uri(folder)
     fs_.create_dir(place, recursive=True)
-    page = F.coalesce("page_id", F.lit(-1))
-    placed = (
-        entries.withColumn("_page", page)
-        .repartitionByRange(parts, "key", "_page")
-        .sortWithinPartitions("key", F.col("page_id").isNotNull(), "page_id", "file", "offset")
-        .select(*ENTRY)
-    )
+    order = F.asc("key"), F.asc_nulls_first("page_id")  # that of sort_key
+    placed = entries.repartitionByRange(parts, *order).sortWithinPartitions(*order, "file", "offset").select(*ENTRY)
     schema = "index string, first string, last string, keys array<string>, offsets array<long>, lengths array<long>"
     return stored(placed.mapInArrow(run, schema), "warc-directory")
 

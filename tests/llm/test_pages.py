@@ -93,6 +93,26 @@ def test_lookup_finds_every_capture_across_blocks(spark, tmp_path):
     assert got == Counter(entries)
 
 
+def test_lookup_finds_keys_that_start_with_other_keys(spark, tmp_path):
+    rng = random.Random(5)
+    paths = ["doc", "doc (2)", "doc - copy", "doc 0", "doc 9", "doc\x01", "doc\x00", "doc\x00\x01", "doc  ", "docs"]
+    urls = [f"http://x.com/{p}-end" if p.endswith(" ") else f"http://x.com/{p}" for p in paths]
+    pairs = [(u, p) for u in urls for p in [None, -7, -1, *rng.sample(range(2**40), 30)]]
+    entries = [(warc.url_key(u), p, f"f{i % 4}", i, 1) for i, (u, p) in enumerate(pairs)]
+    folder = f"file://{tmp_path}/index"
+    directory = warc.write_index(spark.createDataFrame(entries, warc.ENTRY_SCHEMA), folder, 5, block_entries=7)
+    wanted = spark.createDataFrame(pairs, "url string, page_id long")
+    got = Counter(map(tuple, warc.find_entries(directory, wanted, folder).collect()))
+    assert got == Counter(entries)
+
+
+def test_pages_of_neighbouring_urls_all_come_back(spark, tmp_path):
+    urls = ["http://x.com/doc", "http://x.com/doc (2)", "http://x.com/doc - copy"]
+    pages = spark.createDataFrame([(3 * i + k, u, f"page {i} {k}") for i in range(40) for k, u in enumerate(urls)], PAGES)
+    got = warc.archive_pages(pages, f"file://{tmp_path}/archives").select("page_id", "html").collect()
+    assert sorted(map(tuple, got)) == sorted((r.page_id, r.html) for r in pages.collect())
+
+
 def test_url_keys():
     assert warc.url_key("https://www.Example.org:443/A?b=1#c") == "org,example,www)/a?b=1"
     assert warc.url_key("http://example.org:8080") == "org,example:8080)/"
