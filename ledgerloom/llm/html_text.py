@@ -28,8 +28,8 @@ STOP_WORDS = frozenset(
 )
 # Elements whose content is never text of the page, containers that
 # frame it, and words in class, id or role that name such containers.
-RAW = "script style noscript template textarea title svg select iframe object math canvas audio video button head".split()
-FRAMES = frozenset("nav header footer aside form menu dialog fieldset figcaption".split())
+RAW = "script style noscript template textarea title svg select iframe object canvas audio video button head".split()
+FRAMES = frozenset("nav header footer aside form menu dialog fieldset".split())
 BODIES = frozenset("article main".split())
 BLOCKS = frozenset(
     "p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr caption blockquote pre section article main nav header footer aside form fieldset "
@@ -40,6 +40,9 @@ HINTS = frozenset(
     "dialog disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related remark remarks reply replies respond "
     "responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar tooltip widget".split()
 )
+# First and last words of a class or id that tell a state, such as has-sidebar or comments-open.
+STATES_BEFORE = frozenset("has no not with without is show hide enable disable".split())
+STATES_AFTER = frozenset("open closed enabled disabled allowed on off".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 TOKEN = re.compile(
@@ -79,7 +82,7 @@ class Block:
 
 def blocks(page: str) -> Iterator[Block]:
     """The page's blocks in order, with what encloses each of them."""
-    stack: list[tuple[str, bool, int]] = []  # element, framed, number of the enclosing body
+    stack: list[tuple[str, bool, int, bool]] = []  # element, framed and number of the enclosing body before it, hidden
     framed, inside, bodies, links = False, 0, 0, 0
     block = Block()
     heading = False
@@ -110,7 +113,7 @@ def blocks(page: str) -> Iterator[Block]:
                 yield block
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
-                        _, framed, inside = stack[k]
+                        _, framed, inside, _ = stack[k]
                         del stack[k:]
                         break
                 heading = False
@@ -125,15 +128,20 @@ def blocks(page: str) -> Iterator[Block]:
             yield block
             links = 0
             if name not in VOID and name != "p":
-                stack.append((name, framed, inside))
-                if name in BODIES and not (hinted := marked(attrs)):
+                stack.append((name, framed, inside, hidden(attrs)))
+                if name in BODIES and not marked(attrs):
                     # an open menu or header that was never closed ends here
                     while any(s[0] in FRAMES for s in stack[:-1]):
                         k = max(i for i, s in enumerate(stack[:-1]) if s[0] in FRAMES)
                         framed = stack[k][1]
                         del stack[k]
+                    # words that hint at a frame do not hold where they wrap a body, but they do within an article
+                    if not any(s[0] == "article" for s in stack[:-1]):
+                        framed = any(s[3] for s in stack[:-1])
                     bodies += 1
                     inside = bodies
+                elif name in ("body", "html"):
+                    framed = framed or stack[-1][3]
                 elif name in FRAMES or marked(attrs):
                     framed = True
             heading = name in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -144,17 +152,25 @@ def blocks(page: str) -> Iterator[Block]:
     yield block
 
 
+def hidden(attrs: str) -> bool:
+    return bool(attrs and HIDDEN.search(attrs))
+
+
+def names_frame(name: str) -> bool:
+    """Whether one class, id or role names a frame, and not a state of what surrounds or follows it."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) if w]
+    if not HINTS.intersection(words):
+        return False
+    return len(words) == 1 or not (words[0] in STATES_BEFORE or words[-1] in STATES_AFTER)
+
+
 def marked(attrs: str) -> bool:
     """Whether class, id or role name a frame, or the element is hidden."""
     if not attrs:
         return False
-    if HIDDEN.search(attrs):
+    if hidden(attrs):
         return True
-    for groups in MARKED.findall(attrs):
-        words = re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", "".join(groups)).lower())
-        if HINTS.intersection(words):
-            return True
-    return False
+    return any(names_frame(name) for groups in MARKED.findall(attrs) for name in "".join(groups).split())
 
 
 def first_label(b: Block, rules: Rules) -> int:

@@ -158,6 +158,27 @@ def test_main_text(page):
     assert main_text(page) == TEXT
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html class='no-sidebar'><body class='right-sidebar'><article>{ARTICLE}</article></body></html>",
+        f"<body class='no-sidebar'><div id=content>{ARTICLE}</div></body>",
+        f"<div class='container has-sidebar'><div>{ARTICLE}</div></div>",
+        f"<div class='sidebar-layout'><main><div class='social'><article>{ARTICLE}</article></div></main><p>{FRAME}</p></div>",
+        f"<article class='post comments-open'>{ARTICLE}</article>",
+        f"<article>{ARTICLE}<div class='comments'><article><p>{FRAME}</p></article></div></article>",
+        f"<div style='display:none'><article><p>{FRAME}</p></article></div><article>{ARTICLE}</article>",
+    ],
+)
+def test_hint_words_of_wrappers_and_states(page):
+    assert main_text(page) == TEXT
+
+
+def test_captions_and_formulas_are_text():
+    caption = "<figure><img src=x><figcaption>A caption of the figure, with <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</figcaption></figure>"
+    assert main_text(f"<article>{ARTICLE}{caption}</article>") == f"{TEXT}\nA caption of the figure, with x=2."
+
+
 def test_short_blocks_follow_their_neighbours():
     bad = "".join("<p>" + "zzz qqq xxx " * 30 + "</p>" for _ in range(2))
     assert main_text(f"<div>{ARTICLE}<h2>Next</h2>{ARTICLE}{bad}<p>Tiny</p>{bad}</div>") == f"{TEXT}\nNext\n{TEXT}"
