@@ -16,9 +16,8 @@ from pyspark.sql import types as T
 
 from ledgerloom.functions.indexing import block_of
 
-# Candidates in tie-break order, and limits.
+# Candidates in tie-break order.
 DELIMITERS = (";", "\t", ",")
-SPAN_LINES = 10
 
 _QUOTED = '"[^"]*+(?:""[^"]*+)*+"'
 
@@ -163,48 +162,37 @@ def _flags(lines: DataFrame) -> DataFrame:
     return lines.select("file_id", block_of(F.col("src_row"), STITCH_LINES).alias("_block"), "src_row", flag.alias("_flag"))
 
 
-def _near_close(flags: list[int], halo: list[int]) -> list[bool]:
-    """Whether a closing line follows within the span a field may cover."""
-    n = len(flags)
-    near, next_close = [False] * n, None
-    for i, flag in reversed(list(enumerate([*flags, *halo]))):
-        if i < n:
-            near[i] = next_close is not None and next_close - i < SPAN_LINES
-        if flag & _CLOSES:
-            next_close = i
-    return near
-
-
-def _follow(text: str, halo: str, inside: bool) -> tuple[bool, list[int]]:
+def _follow(text: str, beyond: bool, inside: bool) -> tuple[bool, list[int]]:
     """Walk a block from a start state: end state and record start per line.
 
-    A field only runs on when a closing line is near, so "inside" always ends
-    at the next closing line and two states describe a block completely.
-    Starts are positions in the block; -1 belongs to an earlier block.
+    A field only runs on when a closing line follows in the file, in this block
+    or ``beyond`` it, so "inside" always ends at the next closing line and two
+    states describe a block completely. Starts are positions in the block; -1
+    belongs to an earlier block.
     """
     flags = [int(c) for c in text]
-    near = _near_close(flags, [int(c) for c in halo])
+    last = max((i for i, flag in enumerate(flags) if flag & _CLOSES), default=-1)
     start, starts = -1, []
     for i, flag in enumerate(flags):
         if not inside:
             start = i
-            inside = bool(flag & _OPENS) and near[i]
+            inside = bool(flag & _OPENS) and (beyond or i < last)
         elif flag & _CLOSES:
-            inside = bool(flag & _REOPENS) and near[i]
+            inside = bool(flag & _REOPENS) and (beyond or i < last)
         starts.append(start)
     return inside, starts
 
 
 @F.pandas_udf(T.IntegerType())
-def _block_map(flags: pd.Series, halo: pd.Series) -> pd.Series:
+def _block_map(flags: pd.Series, beyond: pd.Series) -> pd.Series:
     """End states as bits: 1 for start outside, 2 for start inside."""
-    pairs = zip(flags, halo, strict=True)
-    return pd.Series([_follow(f, h, False)[0] + 2 * _follow(f, h, True)[0] for f, h in pairs], dtype="int32")
+    pairs = zip(flags, beyond, strict=True)
+    return pd.Series([_follow(f, bool(b), False)[0] + 2 * _follow(f, bool(b), True)[0] for f, b in pairs], dtype="int32")
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _block_starts(flags: pd.Series, halo: pd.Series, inside: pd.Series) -> pd.Series:
-    return pd.Series([_follow(f, h, bool(i))[1] for f, h, i in zip(flags, halo, inside, strict=True)])
+def _block_starts(flags: pd.Series, beyond: pd.Series, inside: pd.Series) -> pd.Series:
+    return pd.Series([_follow(f, bool(b), bool(i))[1] for f, b, i in zip(flags, beyond, inside, strict=True)])
 
 
 def continued_lines(lines: DataFrame) -> DataFrame:
@@ -219,21 +207,24 @@ def continued_lines(lines: DataFrame) -> DataFrame:
     flags = _flags(lines)
     suspects = flags.where(F.col("_flag").bitwiseAND(_OPENS) > 0).select("file_id").distinct()
     listed = F.array_sort(F.collect_list(F.struct("src_row", "_flag")))
+    closes = F.bool_or(F.col("_flag").bitwiseAND(_CLOSES) > 0)
     blocks = (
         flags.join(suspects, "file_id", "left_semi")
         .groupBy("file_id", "_block")
-        .agg(listed.alias("_l"))
+        .agg(listed.alias("_l"), closes.alias("_closes"))
         .select(
             "file_id",
             "_block",
+            "_closes",
             F.transform("_l", lambda x: x["src_row"]).alias("_rows"),
             F.array_join(F.transform("_l", lambda x: x["_flag"].cast("string")), "").alias("_flags"),
         )
     )
     along = W.partitionBy("file_id").orderBy("_block")
-    ahead = F.collect_list(F.substring("_flags", 1, SPAN_LINES - 1)).over(along.rowsBetween(1, SPAN_LINES - 1))
-    blocks = blocks.withColumn("_halo", F.substring(F.array_join(ahead, ""), 1, SPAN_LINES - 1))
-    mapped = blocks.withColumn("_map", _block_map("_flags", "_halo"))
+    # backwards along the file, so that the flag of all later blocks is a running one
+    later = W.partitionBy("file_id").orderBy(F.desc("_block")).rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_beyond", F.coalesce(F.bool_or("_closes").over(later), F.lit(False)))
+    mapped = blocks.withColumn("_map", _block_map("_flags", "_beyond"))
     # 0 and 3 set the state, 1 swaps it, 2 keeps it.
     before = along.rowsBetween(W.unboundedPreceding, -1)
     swaps = mapped.withColumn("_swaps", F.sum((F.col("_map") == 1).cast("int")).over(along))
@@ -242,7 +233,7 @@ def continued_lines(lines: DataFrame) -> DataFrame:
     since = F.coalesce(F.max("_swaps").over(before), F.lit(0)) - F.coalesce(last["_swaps"], F.lit(0))
     state = F.coalesce(last["state"], F.lit(False))
     entered = swaps.withColumn("_inside", state != (since % 2 == 1))
-    placed = entered.withColumn("_starts", _block_starts("_flags", "_halo", "_inside"))
+    placed = entered.withColumn("_starts", _block_starts("_flags", "_beyond", "_inside"))
     own = F.element_at("_starts", -1)
     carry = F.last(F.when(own >= 0, F.get("_rows", own)), ignorenulls=True).over(before)
     placed = placed.select("file_id", "_rows", "_starts", carry.alias("_carry"))

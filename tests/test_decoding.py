@@ -156,6 +156,21 @@ def test_records_over_line_ends(spark, monkeypatch, block):
     assert got == {f: by_hand(x) for f, x in texts.items()}
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_quoted_fields_of_many_lines(spark, monkeypatch, block):
+    monkeypatch.setattr(csv, "STITCH_LINES", block)
+    texts = {
+        1: ['a,"one', *["mid"] * 40, 'end","two', *["mid"] * 25, 'end"', "x,y"],
+        2: ["a,b", 'c,"never closed', *["filler"] * 30, "last,row"],
+    }
+    rows = [(f, i, line) for f, lines in texts.items() for i, line in enumerate(lines)]
+    lines = spark.createDataFrame(rows, "file_id long, src_row long, line string").withColumn("row_block", block_of(F.col("src_row")))
+    found = csv.records(lines.withColumn("delimiter", F.lit(","))).collect()
+    starts = {f: sorted(r["src_row"] for r in found if r["file_id"] == f) for f in texts}
+    assert starts == {1: [0, len(texts[1]) - 1], 2: list(range(len(texts[2])))}
+    assert max((r["record"] for r in found), key=len) == "\n".join(texts[1][:-1])
+
+
 def test_field_splitting(spark):
     cases = {
         'a,b,"c,d",': ["a", "b", "c,d", ""],
