@@ -32,10 +32,13 @@ def cells_of(rows: DataFrame) -> DataFrame:
 def date_formats(cells: DataFrame, accept: float = m.MIN_DATE_PARSE_PERCENT) -> DataFrame:
     """Best format per column when it fits at least ``accept`` percent.
 
-    All formats are counted in one aggregation; ties go to list order.
+    Equal cells are counted first, so every different one is parsed once. All
+    formats are counted in one aggregation; ties go to list order.
     """
-    hits = [F.count(parse_date(F.col("raw"), f)).alias(f"_f{i}") for i, f in enumerate(DATE_FORMATS)]
-    counted = cells.groupBy("file_id", "col_id").agg(F.count(F.lit(1)).alias("_n"), *hits)
+    values = cells.groupBy("file_id", "col_id", "raw").agg(F.count(F.lit(1)).alias("_k"))
+    hit = lambda f: F.when(parse_date(F.col("raw"), f).isNotNull(), F.col("_k")).otherwise(0)
+    hits = [F.sum(hit(f)).alias(f"_f{i}") for i, f in enumerate(DATE_FORMATS)]
+    counted = values.groupBy("file_id", "col_id").agg(F.sum("_k").alias("_n"), *hits)
     ranked = F.array_max(
         F.array(
             *[
@@ -104,8 +107,7 @@ def auto_detect(cells: DataFrame, sampled: DataFrame) -> DataFrame:
 def resolve_auto(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """Fill the automatic parameters of a mapping from the data.
 
-    Only the columns that ask for it are looked at: date formats on the even
-    sample, signs and status values on all rows.
+    Only the columns that ask for it are looked at, on all rows.
     """
     ask = F.when(
         ((F.col("definition") == m.DATE) & F.col("date_format").eqNullSafe("auto"))
@@ -124,7 +126,7 @@ def resolve_auto(rows: DataFrame, mapping: DataFrame) -> DataFrame:
             .select("file_id", "row_index", "c.col_id", "c.raw")
         )
 
-    formats = date_formats(cells(even_sample(rows), m.DATE)).select("file_id", "col_id", F.col("date_format").alias("_fmt"))
+    formats = date_formats(cells(rows, m.DATE)).select("file_id", "col_id", F.col("date_format").alias("_fmt"))
     signs = sign_census(cells(rows, m.AMOUNT)).select("file_id", "col_id", F.col("amount_type").alias("_sign"))
     status = dominant_status(cells(rows, m.STATUS)).select("file_id", "col_id", F.col("value").alias("_value"))
     key = ["file_id", "col_id"]

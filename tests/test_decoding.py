@@ -3,8 +3,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import model as m
 from ledgerloom.functions.indexing import block_of
-from ledgerloom.operators import csv
+from ledgerloom.operators import csv, detect
 from ledgerloom.plans.decoding import decode_files
 
 MONO = """"Дата i час операції","Деталі операції","MCC","Сума","Валюта","Комісія","Кешбек"
@@ -171,6 +172,19 @@ def test_quoted_fields_of_many_lines(spark, monkeypatch, block):
     assert max((r["record"] for r in found), key=len) == "\n".join(texts[1][:-1])
 
 
+def test_date_formats_are_counted_over_all_cells(spark):
+    rows = spark.range(20_000).selectExpr("1L AS file_id", "id AS row_index", "array('15.01.2024') AS cells")
+    bad = detect.even_sample(rows).select("row_index", F.lit(True).alias("bad"))
+    assert bad.count() == 1000
+    cells = F.when(F.col("bad"), F.array(F.lit("none"))).otherwise(F.col("cells"))
+    rows = rows.join(bad, "row_index", "left").select("file_id", "row_index", cells.alias("cells"))
+    mapping = spark.createDataFrame(
+        [(1, 0, m.DATE, "auto", None, None)],
+        "file_id long, col_id int, definition string, date_format string, amount_type string, success_value string",
+    )
+    assert detect.undetected(detect.resolve_auto(rows, mapping)).count() == 0
+
+
 def test_field_splitting(spark):
     cases = {
         'a,b,"c,d",': ["a", "b", "c,d", ""],
