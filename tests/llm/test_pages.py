@@ -215,3 +215,50 @@ def test_extraction_of_random_markup():
     parts = ["<p>", "</p>", "<div class=nav>", "</div>", "<a href=x>", "</a>", "text of the page. ", "&amp;", "<br/>", "<!--", "-->", "<script>", "</script>", "<", ">", '"']
     for _ in range(300):
         main_text("".join(rng.choice(parts) for _ in range(60)))
+
+
+ONE = "The first paragraph of the article is here and it is long enough to be read as text of its own by anyone."
+TWO = "The second paragraph of it follows at once, and it is as long as the first one was, or longer than that."
+BODY = f"<article><p>{ONE}</p><p>{TWO}</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>t</title><meta charset=x>{BODY}</html>",
+        f"<html><head><title>t</title><body>{BODY}</html>",
+        f"<body><svg width='1' />{BODY}",
+        f"<body><svg><title>a</title><svg></svg><path></svg>{BODY}",
+        f"<body><svg><path>{BODY}",
+        f"<body><button>Menu{BODY}<button>x</button>",
+        f"<body><button><div>Menu</div></button>{BODY}",
+        f"<body><select><option>a<option>b{BODY}",
+        f"<body><iframe src='a>b'>{BODY}",
+        f"<body>{BODY}<section class='comments'><article><p>{TWO} Said a reader.</p></article></section>",
+        f"<body>{BODY}<aside><article><p>{TWO} Related.</p></article></aside>",
+        f"<body><div class='has-sidebar sidebar'>{BODY}</div>",
+        f"<body><noscript><p>On.</p></noscript>{BODY}<template><p>{TWO}</p></template>",
+    ],
+)
+def test_articles_are_not_lost(page):
+    assert main_text(page) == f"{ONE}\n{TWO}"
+
+
+def test_lists_and_links_inside_an_article():
+    mixed = f"<ul><li><a href=x>linked item</a></li><li>plain item</li></ul><p><a href=y>{TWO}</a></p>"
+    assert main_text(f"<article><p>{ONE}</p>{mixed}<p>{ONE}</p></article>") == f"{ONE}\nlinked item\nplain item\n{TWO}\n{ONE}"
+    menu = "<ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul>"
+    assert main_text(f"<article><p>{ONE}</p>{menu}<p>{TWO}</p></article>") == f"{ONE}\n{TWO}"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Это первый абзац статьи, и он достаточно длинный, чтобы его можно было прочитать как самостоятельный текст.",
+        "これは記事の最初の段落であり、それ自体がひとつの文章として読めるほど十分に長いものです。次の段落もすぐに続きます。",
+        ("Pierwszy akapit tego artykułu jest tutaj i wystarczająco długi, żeby czytać go jako samodzielny tekst. " * 3).strip(),
+    ],
+)
+def test_pages_beyond_the_stop_words(text):
+    menu = "<nav><a href=x>Меню メニュー</a></nav><div><a href=y>Дальше</a></div>"
+    assert main_text(f"<body>{menu}<div><p>{text}</p><p>{text}</p></div></body>") == f"{text}\n{text}"
