@@ -11,6 +11,16 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt out by ``key`` where they are read in fewer tasks than there are cores.
+
+    A small table in one piece would otherwise keep all work of its rows in one
+    task; a table of many pieces is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_with_position(spark: SparkSession, folder: str, name: str, position: str = "src_row") -> DataFrame:
     """A parquet table with the physical row position of every row.
 
@@ -21,7 +31,7 @@ def read_with_position(spark: SparkSession, folder: str, name: str, position: st
     df = read_table(spark, folder, name)
     row = F.col("_metadata.row_index")
     if len(df.inputFiles()) <= 1:
-        return df.select("*", row.cast("long").alias(position))
+        return spread(df.select("*", row.cast("long").alias(position)), position)
     located = df.select("*", row.cast("long").alias("_row"), F.col("_metadata.file_path").alias("_file"))
     sizes = df.select(row.alias("_row"), F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(
         (F.max("_row") + 1).alias("_size")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as tx
 from ledgerloom.functions.indexing import block_of
 from ledgerloom.operators import csv, headers
-from ledgerloom.plans.decoding import Decoded, decode_lines
+from ledgerloom.plans.decoding import Decoded, decode_lines, parse_lines
 from ledgerloom.session import materialize
 from ledgerloom.sources import statement_files as files
 from ledgerloom.sources.tables import read_table, read_with_position
@@ -89,17 +89,12 @@ recs AS (
 """
 
 
-def sniffed(lines: DataFrame) -> DataFrame:
-    return lines.join(csv.sniff_delimiters(lines), "file_id")
-
-
 def statements(spark: SparkSession, sf: str) -> Decoded:
     return decode_lines(statement_lines(spark, sf))
 
 
 def statement_rows(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = csv.parse_records(csv.records(sniffed(statement_lines(spark, sf))))
-    return parsed.where("cells is not null")
+    return parse_lines(statement_lines(spark, sf))[0].where("cells is not null")
 
 
 def document_bytes(spark: SparkSession, sf: str) -> DataFrame:
@@ -234,8 +229,7 @@ UNION ALL SELECT file_id, 1, 'empty-line', NULL FROM users""",
     ),
 )
 def a4_issues(spark: SparkSession, sf: str) -> DataFrame:
-    parsed = csv.parse_records(csv.records(sniffed(statement_lines(spark, sf))))
-    return csv.record_issues(parsed).select("file_id", "row", "what", "raw")
+    return csv.record_issues(parse_lines(statement_lines(spark, sf))[0]).select("file_id", "row", "what", "raw")
 
 
 @query(

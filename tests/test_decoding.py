@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 from ledgerloom import model as m
 from ledgerloom.functions.indexing import block_of
 from ledgerloom.operators import csv, detect
-from ledgerloom.plans.decoding import decode_files
+from ledgerloom.plans import decoding
+from ledgerloom.plans.decoding import decode_files, decode_lines
 
 MONO = """"Дата i час операції","Деталі операції","MCC","Сума","Валюта","Комісія","Кешбек"
 "15.01.2024 08:23:14","TEST COFFEE 1","5814","-42,00","UAH","—","0,42"
@@ -97,7 +99,7 @@ def test_issues(decoded):
     assert issues["book.csv"] == ["spreadsheet-container"]
 
 
-def by_hand(lines, d=","):
+def by_hand(lines, d=",", far=10):
     """Record starts found by reading character by character."""
     starts, i = [], 0
     while i < len(lines):
@@ -119,7 +121,7 @@ def by_hand(lines, d=","):
             if not inside:
                 break
             closes = None
-            for n in range(line + 1, min(line + 10, len(lines))):
+            for n in range(line + 1, min(line + far, len(lines))):
                 runs = [len(r) for r in re.findall(r'"+', lines[n])]
                 if any(r % 2 for r in runs):
                     closes = n
@@ -172,6 +174,43 @@ def test_quoted_fields_of_many_lines(spark, monkeypatch, block):
     assert max((r["record"] for r in found), key=len) == "\n".join(texts[1][:-1])
 
 
+def test_maps_compose_over_a_tree_of_blocks(spark, monkeypatch):
+    """Blocks of two lines in groups of two: five levels, against reading line by line."""
+    monkeypatch.setattr(csv, "STITCH_LINES", 2)
+    monkeypatch.setattr(csv, "FAN", 2)
+    rng = random.Random(4)
+    pieces = ["a,b", 'x,"open', 'close"', 'close","again', '"q",z', 'bare "quote', "", '""', 'e,"d""']
+    texts = {f: [rng.choice(pieces) for _ in range(rng.randrange(1, 60))] for f in range(25)}
+    rows = [(f, i, line) for f, lines in texts.items() for i, line in enumerate(lines)]
+    lines = spark.createDataFrame(rows, "file_id long, src_row long, line string").withColumn("row_block", block_of(F.col("src_row")))
+    for given in (lines, csv.line_table(lines)):
+        found = csv.records(given.withColumn("delimiter", F.lit(","))).collect()
+        for f, held in texts.items():
+            # a field stays open only where a later line of the file closes one
+            assert sorted(r["src_row"] for r in found if r["file_id"] == f) == by_hand(held, far=len(held)), held
+
+
+def test_a_decode_reads_the_text_three_times(spark, monkeypatch):
+    """The line table is made in one scan; single and joined lines are read once each."""
+    lines = spark.createDataFrame([(1, i, f'a,"b{i}') for i in range(9)], "file_id long, src_row long, line string")
+    lines = lines.withColumn("row_block", F.lit(0).cast("long"))
+    plans = []
+    kept = csv.materialize
+
+    def seen(df, purpose):
+        plans.append((purpose, df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df, purpose)
+
+    monkeypatch.setattr(csv, "materialize", seen)
+    monkeypatch.setattr(decoding, "materialize", seen)
+    decode_lines(lines)
+    scans = [p for _, plan in plans for p in re.findall(r"Scan (?:parquet|ExistingRDD)[^\n]*", plan) if re.search(r"\bline(?:#|:string)", p)]
+    assert len(scans) == 3
+    windows = [w for _, plan in plans for w in re.findall(r"windowspecdefinition\(([^)]*)", plan)]
+    assert [p for p, _ in plans][:5] == ["lines", "delimiters", "walked", "block-maps", "continued"]
+    assert windows and all("_block" in w for p, plan in plans[:6] for w in re.findall(r"windowspecdefinition\(([^)]*)", plan))
+
+
 def test_date_formats_are_counted_over_all_cells(spark):
     rows = spark.range(20_000).selectExpr("1L AS file_id", "id AS row_index", "array('15.01.2024') AS cells")
     bad = detect.even_sample(rows).select("row_index", F.lit(True).alias("bad"))
