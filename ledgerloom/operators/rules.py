@@ -20,6 +20,7 @@ from ledgerloom.operators.conditions import (
     row_texts,
     signature,
 )
+from ledgerloom.session import materialize
 
 # Rules per CASE expression; longer lists are chained so that generated
 # methods stay below the JVM's size limit.
@@ -55,13 +56,19 @@ def with_rule(txns: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
 
 
-# Text fields by how much a demanded text narrows the search, finest first.
-ANCHOR_FIELDS = ("description", "counterparty", "mcc", "account", "bank_category", "currency")
-_ANY = "*"
-
-
-def _anchor(field: Column, value: Column) -> Column:
-    return F.concat(field, F.lit("\u0001"), value)
+# What a rule can be filed under, most selective first: a demanded text, the
+# first or last three characters of one, or three characters inside one.
+GRAM = 3
+ANCHORS = (
+    ("exact", "description"), ("exact", "counterparty"), ("exact", "mcc"),
+    ("head", "description"), ("head", "counterparty"), ("tail", "description"), ("tail", "counterparty"),
+    ("exact", "account"), ("head", "account"), ("tail", "account"), ("exact", "bank_category"), ("exact", "currency"),
+    ("gram", "description"), ("gram", "counterparty"), ("gram", "account"),
+)
+#: Under no text at all.
+ANY = ("any", "")
+#: Rules that a row meets at once under one anchor; further ones are met in chunks of as many.
+CHUNK_RULES = 500
 
 
 def _judged(rules: DataFrame) -> DataFrame:
@@ -90,70 +97,149 @@ def valid_rules(rules: DataFrame) -> DataFrame:
     return _judged(rules).where(good).drop("_problems")
 
 
+def _grams(text: Column) -> Column:
+    """All stretches of three characters of a text."""
+    n = F.char_length(text) - (GRAM - 1)
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(text, i, F.lit(GRAM)))))
+
+
+def _demands(c: Column) -> Column:
+    """What a condition demands of a text: ``struct<rank, kind, field, texts>``, or null."""
+    op, long = c["operator"], F.char_length(c["value"]) >= GRAM
+    kind = (
+        F.when(op.isin("equals", "oneOf"), "exact")
+        .when((op == "startsWith") & long, "head")
+        .when((op == "endsWith") & long, "tail")
+        .when((op == "contains") & long, "gram")
+    )
+    texts = (
+        F.when(op == "oneOf", F.array_distinct(F.array_compact(c["values"])))
+        .when(kind == "exact", F.array(c["value"]))
+        .when(kind == "head", F.array(F.substring(c["value"], F.lit(1), F.lit(GRAM))))
+        .when(kind == "tail", F.array(F.substring(c["value"], F.char_length(c["value"]) - (GRAM - 1), F.lit(GRAM))))
+        .otherwise(_grams(c["value"]))
+    )
+    ranks = F.create_map(*[F.lit(x) for i, (k, f) in enumerate(ANCHORS) for x in (f"{k} {f}", i)])
+    rank = F.try_element_at(ranks, F.concat_ws(" ", kind, c["field"]))
+    found = F.struct(rank.alias("rank"), kind.alias("kind"), c["field"].alias("field"), texts.alias("texts"))
+    return F.when(kind.isNotNull() & rank.isNotNull(), found)
+
+
 def rule_index(rules: DataFrame) -> DataFrame:
-    """One row per rule set: its rules under the texts they require.
+    """The rules under the texts they demand: ``(ruleset_id, kind, field, text, chunk, rules)``.
 
-    A rule that demands an exact text (equals or one of) is filed under
-    ``field + text`` of its finest such field, every other rule under ``*``. A
-    row then only tests the rules filed under its own texts.
+    A rule is filed under its most selective demand (``ANCHORS``); of the
+    stretches inside a demanded text it is the one that the fewest rules of its
+    set share. A row can only be accepted by rules filed under its own texts.
+    One row holds at most ``CHUNK_RULES`` rules, in order.
     """
-    exact = F.filter(
-        "conditions",
-        lambda c: c["field"].isin(*ANCHOR_FIELDS) & c["operator"].isin("equals", "oneOf"),
-    )
-    fine = lambda c: F.array_position(F.array(*[F.lit(f) for f in ANCHOR_FIELDS]), c["field"])
-    ranked = F.transform(exact, lambda c: F.struct(fine(c), c["field"], c["operator"], c["value"], c["values"]))
-    first = F.array_min(ranked)
-    texts = F.when(first["operator"] == "oneOf", first["values"]).otherwise(F.array(first["value"]))
-    keys = F.when(first.isNull(), F.array(F.lit(_ANY))).otherwise(
-        F.transform(F.array_distinct(F.array_compact(texts)), lambda v: _anchor(first["field"], v))
+    best = F.array_min(F.array_compact(F.transform("conditions", _demands)))
+    item = F.struct("order", "rule_id", "category_id", F.transform("conditions", prepared).alias("conditions"))
+    filed = rules.select("ruleset_id", item.alias("rule"), best.alias("best")).select(
+        "ruleset_id",
+        "rule",
+        F.coalesce("best.kind", F.lit(ANY[0])).alias("kind"),
+        F.coalesce("best.field", F.lit(ANY[1])).alias("field"),
+        F.explode(F.when(F.col("best").isNull(), F.array(F.lit(""))).otherwise(F.col("best.texts"))).alias("text"),
     )
-    ready = F.transform("conditions", prepared).alias("conditions")
-    item = F.struct("order", "rule_id", "category_id", ready)
+    shared = F.count(F.lit(1)).over(W.partitionBy("ruleset_id", "kind", "field", "text"))
+    rarest = W.partitionBy("ruleset_id", "rule.rule_id").orderBy("_shared", "text")
+    grams = filed.where("kind = 'gram'").withColumn("_shared", shared).withColumn("_n", F.row_number().over(rarest)).where("_n = 1")
+    filed = filed.where("kind <> 'gram'").unionByName(grams.drop("_shared", "_n"))
+    key = ("ruleset_id", "kind", "field", "text")
+    place = F.row_number().over(W.partitionBy(*key).orderBy("rule.order", "rule.rule_id")) - 1
     return (
-        rules.select("ruleset_id", F.explode(keys).alias("_key"), item.alias("_rule"))
-        .groupBy("ruleset_id", "_key")
-        .agg(F.array_sort(F.collect_list("_rule")).alias("_rules"))
-        .groupBy("ruleset_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("_key", "_rules"))).alias("_index"))
+        filed.withColumn("chunk", F.floor(place / CHUNK_RULES))
+        .groupBy(*key, "chunk")
+        .agg(F.array_sort(F.collect_list("rule")).alias("rules"))
     )
 
 
-def with_rule_by_set(txns: DataFrame, rules: DataFrame) -> DataFrame:
-    """First match where every row belongs to one of many rule sets.
+def _own_text(kind: str, field: str) -> Column:
+    """The text of a row that rules of a kind are filed under."""
+    text = F.coalesce(F.col(field), F.lit("")) if field else F.lit("")
+    if kind == "head":
+        return F.substring(text, F.lit(1), F.lit(GRAM))
+    if kind == "tail":
+        return F.substring(text, F.greatest(F.lit(1), F.char_length(text) - (GRAM - 1)), F.lit(GRAM))
+    return text
 
-    Each row meets its rule set once (a one-to-one join on ``ruleset_id``) and
-    the set is searched inside the row, so rows are never multiplied by rules.
-    Rules with an error (``rule_errors``) are left out.
-    """
-    joined = txns.join(rule_index(valid_rules(rules)), "ruleset_id", "left")
-    own = [_anchor(F.lit(f), F.coalesce(F.col(f), F.lit(""))) for f in ANCHOR_FIELDS]
-    filed = F.transform(F.array(*own, F.lit(_ANY)), lambda k: F.try_element_at("_index", k))
-    candidates = F.flatten(F.array_compact(filed))
+
+_FOUND = "struct<order:bigint,rule_id:bigint,category_id:string>"
+
+
+def _first_of(candidates: Column, found: Column | None = None) -> Column:
+    """The first of the candidate rules that accepts the row; ``found`` is an earlier find to beat."""
     texts = F.col("_texts")
-    none = F.struct(
-        F.lit(None).cast("long").alias("order"),
-        F.lit(None).cast("long").alias("rule_id"),
-        F.lit(None).cast("string").alias("category_id"),
-    )
 
     def better(best: Column, r: Column) -> Column:
         """The earlier rule by order, then id; one behind the best so far is not evaluated."""
         accepts = F.coalesce(F.forall(r["conditions"], lambda c: matches(c, texts)), F.lit(True))
-        found = F.struct(r["order"].alias("order"), r["rule_id"].alias("rule_id"), r["category_id"].alias("category_id"))
+        hit = F.struct(r["order"].alias("order"), r["rule_id"].alias("rule_id"), r["category_id"].alias("category_id"))
         behind = (best["order"] < r["order"]) | ((best["order"] == r["order"]) & (best["rule_id"] <= r["rule_id"]))
-        return F.when(behind, best).when(accepts, found).otherwise(best)
+        return F.when(behind, best).when(accepts, hit.cast(_FOUND)).otherwise(best)
+
+    none = F.struct(F.lit(None).alias("order"), F.lit(None).alias("rule_id"), F.lit(None).alias("category_id")).cast(_FOUND)
+    return F.aggregate(candidates, none if found is None else found, better)
+
 
+def with_rule_by_set(txns: DataFrame, rules: DataFrame) -> DataFrame:
+    """First match where every row belongs to one of many rule sets.
+
+    Rows meet the rules filed under their own texts by equi-joins on the rule
+    set and the text, one for each kind of anchor that the rules use; no rule
+    set is held in a row, and rows are not multiplied. What is filed under a
+    stretch inside a text, and what a crowded anchor holds beyond its first
+    chunk, is met in a second pass over one row per such stretch or chunk, whose
+    earliest accepted rule comes back by row. Rules with an error
+    (``rule_errors``) are left out.
+    """
+    index = materialize(rule_index(valid_rules(rules)), "rule-index")
+    deep = (F.col("kind") == "gram") | (F.col("chunk") > 0)
+    used = index.select("kind", "field", deep.alias("deep")).distinct().collect()  # as many as there are kinds of anchors
+    rows = txns.withColumn("_texts", row_texts())
+    if any(u.deep for u in used):
+        rows = materialize(rows.withColumn("_id", F.monotonically_increasing_id()), "rule-rows")
+    joined, lists = rows, []
+    for n, (kind, field) in enumerate(sorted({(u.kind, u.field) for u in used if not u.deep})):
+        met = index.where((F.col("kind") == kind) & (F.col("field") == field) & ~deep)
+        met = met.select(F.col("ruleset_id").alias(f"_set{n}"), F.col("text").alias(f"_text{n}"), F.col("rules").alias(f"_rules{n}"))
+        on = (F.col("ruleset_id") == F.col(f"_set{n}")) & (_own_text(kind, field) == F.col(f"_text{n}"))
+        joined = joined.join(met, on, "left").drop(f"_set{n}", f"_text{n}")
+        lists.append(f"_rules{n}")
+    none = F.array().cast(index.schema["rules"].dataType)
+    candidates = F.flatten(F.array_compact(F.array(*lists))) if lists else none
+    hit = joined.withColumn("_hit", _first_of(candidates)).drop(*lists)
+    if any(u.deep for u in used):
+        hit = _deeper(hit, rows, index.where(deep), [(u.kind, u.field) for u in used if u.deep])
     return (
-        joined.withColumn("_candidates", candidates)
-        .withColumn("_texts", row_texts())
-        .withColumn("_hit", F.aggregate("_candidates", none, better))
-        .withColumn("rule_id", F.col("_hit.rule_id"))
+        hit.withColumn("rule_id", F.col("_hit.rule_id"))
         .withColumn("rule_category", F.col("_hit.category_id"))
-        .drop("_hit", "_index", "_candidates", "_texts")
+        .drop("_hit", "_texts", "_id")
     )
 
 
+def _filed_as(kind: str, field: str):
+    return lambda t: F.struct(F.lit(kind).alias("kind"), F.lit(field).alias("field"), t.alias("text"))
+
+
+def _deeper(hit: DataFrame, rows: DataFrame, index: DataFrame, used: list[tuple[str, str]]) -> DataFrame:
+    """The finds of ``hit`` or earlier ones among rules that are met by stretch or by chunk."""
+    anchors = []
+    for kind, field in used:
+        own = _own_text(kind, field)
+        texts = F.coalesce(_grams(own), F.array().cast("array<string>")) if kind == "gram" else F.array(own)
+        anchors.append(F.transform(texts, _filed_as(kind, field)))
+    sets = index.select("ruleset_id").distinct()
+    spread = rows.join(sets, "ruleset_id", "left_semi").withColumn("_a", F.explode(F.concat(*anchors)))
+    spread = spread.select("*", "_a.kind", "_a.field", "_a.text").drop("_a")
+    met = spread.join(index, ["ruleset_id", "kind", "field", "text"])
+    found = met.select("_id", _first_of(F.col("rules")).alias("_deep")).where("_deep.rule_id is not null")
+    found = found.groupBy("_id").agg(F.min("_deep").alias("_deep"))
+    best = F.array_min(F.array_compact(F.array(F.when(F.col("_hit.rule_id").isNotNull(), F.col("_hit")), F.col("_deep"))))
+    return hit.join(found, "_id", "left").withColumn("_hit", best).drop("_deep")
+
+
 def live_rules(rules: DataFrame, categories: DataFrame) -> DataFrame:
     """Rules whose category exists."""
     return rules.join(categories.select(F.col("id").alias("category_id")), "category_id", "left_semi")

@@ -11,14 +11,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """The rows dealt out by ``key`` where they are read in fewer tasks than there are cores.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt out by ``keys`` where they are read in fewer tasks than there are cores.
 
     A small table in one piece would otherwise keep all work of its rows in one
     task; a table of many pieces is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_with_position(spark: SparkSession, folder: str, name: str, position: str = "src_row") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import categorize as cat
 from ledgerloom.operators import rules as ops
 from ledgerloom.operators.conditions import Condition, compile_conditions
-from ledgerloom.sources.tables import read_table, read_with_position
+from ledgerloom.sources.tables import read_table, read_with_position, spread
 from ledgerloom.workload.adapters import (
     BASE,
     CATEGORIES,
@@ -200,7 +200,8 @@ prules AS (
 
 def branded_txn(spark: SparkSession, sf: str) -> DataFrame:
     """Transactions that belong to the rule set of their part's brand."""
-    li = read_table(spark, sf, "lineitem").select("l_partkey", "l_extendedprice", "l_shipdate")
+    li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate")
+    li = spread(li, "l_orderkey")
     p = read_table(spark, sf, "part")
     return li.join(p, li.l_partkey == p.p_partkey).select(
         F.col("p_brand").alias("ruleset_id"),

@@ -1,4 +1,7 @@
 import datetime as dt
+import random
+
+import pytest
 
 from ledgerloom.operators import rules as ops
 from ledgerloom.operators.conditions import Condition, Rule
@@ -73,3 +76,49 @@ def test_a_winner_with_a_null_value_ends_the_search(spark, monkeypatch):
     rules = [Rule(1, 0, "x", ()), Rule(2, 1, "y", ())]
     picked = ops.first_match(rules, lambda r: None if r.rule_id == 1 else "later")
     assert {r["p"] for r in txns(spark).select(picked.alias("p")).collect()} == {None}
+
+
+def random_rules(rng, n):
+    """Rules of every kind of anchor, as rows and as literal rules."""
+    words = ["shop", "one", "cafe", "food", "end", "x", "sho", "ne", "", "shop one", "54"]
+    rows, literal = [], []
+    for i in range(n):
+        found = []
+        for _ in range(rng.randrange(4)):
+            field, op = rng.choice(
+                [(f, o) for f in ("description", "counterparty", "account") for o in ("equals", "contains", "startsWith", "endsWith", "notContains")]
+                + [("mcc", "oneOf"), ("bank_category", "equals"), ("currency", "equals"), ("is_cashback", "isTrue"), ("amount", "greaterThan")]
+            )
+            value = rng.choice(words) if field not in ("amount", "mcc") else "15" if field == "amount" else None
+            values = [rng.choice(["5411", "5814", ""]), "1"] if op == "oneOf" else None
+            found.append((field, op, None if op == "isTrue" else value, values, None, None, "UAH" if field == "amount" else None))
+        order = rng.randrange(n)
+        rows.append(("a", i, order, "c", found))
+        literal.append(Rule(i, order, "c", tuple(Condition(f, o, v, tuple(vs or ()), currency=c) for f, o, v, vs, _, _, c in found)))
+    return rows, literal
+
+
+@pytest.mark.parametrize(("seed", "chunk"), [(1, 500), (2, 1), (3, 2)])
+def test_rules_under_every_anchor_equal_literal_rules(spark, monkeypatch, seed, chunk):
+    monkeypatch.setattr(ops, "CHUNK_RULES", chunk)
+    rng = random.Random(seed)
+    rows, literal = random_rules(rng, 40)
+    literal, rows = literal[: 40 - 5 * seed], rows[: 40 - 5 * seed]
+    text = lambda: rng.choice([None, "", "shop", "shop one", "a shop", "cafe end", "xx one x", "no", "ne"])
+    made = [
+        ("a", i, dt.date(2024, 1, 1), float(rng.randrange(30)), rng.choice(["UAH", "USD"]), text(), text(), text(), text(), rng.choice(["5411", "5814", None]), False, rng.random() < 0.3)
+        for i in range(80)
+    ]
+    frame = spark.createDataFrame([*made, ("other", 99, None, None, None, None, None, None, None, None, None, None)], TXN)
+    got = {r["id"]: r["rule_id"] for r in ops.with_rule_by_set(frame, spark.createDataFrame(rows, RULES)).collect()}
+    want = {r["id"]: r["rule_id"] for r in ops.with_rule(frame.where("id < 99"), literal).collect()}
+    assert got == {**want, 99: None}
+
+
+def test_no_rule_set_travels_in_a_row(spark):
+    """A row meets the few rules under its own texts, however many its set has."""
+    rows = [("a", i, i, "c", [condition("description", "startsWith", f"w{i} shop")]) for i in range(400)]
+    rows += [("a", 900, 900, "c", [condition("description", "contains", "hop o")])]
+    index = ops.rule_index(spark.createDataFrame(rows, RULES)).collect()
+    assert max(len(r["rules"]) for r in index) <= 111 and {r["kind"] for r in index} == {"head", "gram"}
+    assert winners(spark, rows)[1] == 900
