@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.conditions import FIELD_OPERATORS, VALUE_KINDS, Condition, Rule, compile_conditions
-from ledgerloom.operators.rules import with_rule
+from ledgerloom.operators.rules import with_rule, with_rule_by_set
 
 
 def with_period(txns: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def effective_category(dump: Column | None = None) -> Column:
 
 def categorize(
     txns: DataFrame,
-    rules: Sequence[Rule],
+    rules: Sequence[Rule] | DataFrame,
     overrides: DataFrame,
     categories: DataFrame,
     dump_category: str | None = None,
@@ -58,13 +58,15 @@ def categorize(
 
     A stored override counts as manual even when its category is gone; the
     category then comes from the rules. ``dump_category`` sweeps what is left
-    (a name that is no category sweeps nothing).
+    (a name that is no category sweeps nothing). ``rules`` is a literal list, or
+    a table of rule sets for rows with a ``ruleset_id``.
     """
     base = txns
     for name, default in (("picked_category", F.lit(None).cast("string")), ("is_manually_set", F.lit(False))):
         if name not in base.columns:
             base = base.withColumn(name, default)
-    resolved = with_override(with_rule(base, rules), overrides, categories)
+    ruled = with_rule_by_set(base, rules) if isinstance(rules, DataFrame) else with_rule(base, rules)
+    resolved = with_override(ruled, overrides, categories)
     dump = None
     if dump_category is not None and not categories.where(F.col("id") == dump_category).isEmpty():
         dump = F.lit(dump_category)
@@ -111,6 +113,13 @@ def changed_rows(rows: DataFrame, current: Column, proposed: Column) -> DataFram
     return both.where(~F.col("old_category").eqNullSafe(F.col("new_category")))
 
 
+def changed_rows_by_set(rows: DataFrame, current: DataFrame, proposed: DataFrame) -> DataFrame:
+    """``changed_rows`` for rows that belong to one of many rule sets, stored and proposed."""
+    for name, table in (("old_category", current), ("new_category", proposed)):
+        rows = with_rule_by_set(rows, table).withColumnRenamed("rule_category", name).drop("rule_id")
+    return rows.where(~F.col("old_category").eqNullSafe(F.col("new_category")))
+
+
 OPTIONAL_FIELDS = ("description", "counterparty", "account", "bank_category", "mcc")
 
 

@@ -165,14 +165,18 @@ def _own_text(kind: str, field: str) -> Column:
     return text
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with the value computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 _FOUND = "struct<order:bigint,rule_id:bigint,category_id:string>"
 
 
 def _first_of(candidates: Column, found: Column | None = None) -> Column:
     """The first of the candidate rules that accepts the row; ``found`` is an earlier find to beat."""
-    texts = F.col("_texts")
 
-    def better(best: Column, r: Column) -> Column:
+    def better(texts: Column, best: Column, r: Column) -> Column:
         """The earlier rule by order, then id; one behind the best so far is not evaluated."""
         accepts = F.coalesce(F.forall(r["conditions"], lambda c: matches(c, texts)), F.lit(True))
         hit = F.struct(r["order"].alias("order"), r["rule_id"].alias("rule_id"), r["category_id"].alias("category_id"))
@@ -180,7 +184,8 @@ def _first_of(candidates: Column, found: Column | None = None) -> Column:
         return F.when(behind, best).when(accepts, hit.cast(_FOUND)).otherwise(best)
 
     none = F.struct(F.lit(None).alias("order"), F.lit(None).alias("rule_id"), F.lit(None).alias("category_id")).cast(_FOUND)
-    return F.aggregate(candidates, none if found is None else found, better)
+    start = none if found is None else found
+    return _let(row_texts(), lambda texts: F.aggregate(candidates, start, lambda best, r: better(texts, best, r)))
 
 
 def with_rule_by_set(txns: DataFrame, rules: DataFrame) -> DataFrame:
@@ -197,7 +202,7 @@ def with_rule_by_set(txns: DataFrame, rules: DataFrame) -> DataFrame:
     index = materialize(rule_index(valid_rules(rules)), "rule-index")
     deep = (F.col("kind") == "gram") | (F.col("chunk") > 0)
     used = index.select("kind", "field", deep.alias("deep")).distinct().collect()  # as many as there are kinds of anchors
-    rows = txns.withColumn("_texts", row_texts())
+    rows = txns
     if any(u.deep for u in used):
         rows = materialize(rows.withColumn("_id", F.monotonically_increasing_id()), "rule-rows")
     joined, lists = rows, []
@@ -215,7 +220,7 @@ def with_rule_by_set(txns: DataFrame, rules: DataFrame) -> DataFrame:
     return (
         hit.withColumn("rule_id", F.col("_hit.rule_id"))
         .withColumn("rule_category", F.col("_hit.category_id"))
-        .drop("_hit", "_texts", "_id")
+        .drop("_hit", "_id")
     )
 
 
@@ -440,8 +445,69 @@ def with_trace(txns: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return txns.withColumn("_won", winner).withColumn("trace", F.array(*out)).drop("_won")
 
 
-def why(txns: DataFrame, rules: Sequence[Rule], manual: Column) -> DataFrame:
-    """The trace with manual decisions on top: they leave no rule winner."""
-    traced = with_trace(txns, rules).withColumn("manual_category", manual)
+def condition_dictionary(rules: DataFrame) -> DataFrame:
+    """One row per rule set: its different conditions, and its rules as places among them.
+
+    ``_conditions`` holds each different condition once, prepared; ``_rules`` the
+    rules in order, each with the places of its conditions (``at``). Rules with
+    an error (``rule_errors``) are left out.
+    """
+    good = valid_rules(rules).select("ruleset_id", "rule_id", "order", "category_id", "conditions")
+    long = good.select("ruleset_id", "rule_id", F.posexplode("conditions").alias("_i", "_c")).withColumn("_text", F.to_json("_c"))
+    number = F.row_number().over(W.partitionBy("ruleset_id").orderBy("_text")) - 1
+    different = long.groupBy("ruleset_id", "_text").agg(F.first("_c").alias("_c")).withColumn("_at", number)
+    listed = different.groupBy("ruleset_id").agg(F.array_sort(F.collect_list(F.struct("_at", prepared(F.col("_c")).alias("c")))).alias("_c"))
+    listed = listed.select("ruleset_id", F.transform("_c", lambda x: x["c"]).alias("_conditions"))
+    places = (
+        long.join(different.select("ruleset_id", "_text", "_at"), ["ruleset_id", "_text"])
+        .groupBy("ruleset_id", "rule_id")
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_at"))), lambda x: x["_at"]).alias("at"))
+    )
+    at = F.coalesce("at", F.array().cast("array<int>")).alias("at")
+    sets = (
+        good.join(places, ["ruleset_id", "rule_id"], "left")
+        .groupBy("ruleset_id")
+        .agg(F.array_sort(F.collect_list(F.struct("order", "rule_id", "category_id", at))).alias("_rules"))
+    )
+    return sets.join(listed, "ruleset_id", "left")
+
+
+def with_trace_by_set(txns: DataFrame, rules: DataFrame) -> DataFrame:
+    """``with_trace`` where every row belongs to one of many rule sets.
+
+    Each different condition of the row's set is evaluated once; which rules
+    accept the row, and what the trace shows of them, is read from these bits.
+    A row without a rule set has an empty trace.
+    """
+    joined = txns.join(condition_dictionary(rules), "ruleset_id", "left")
+
+    def shown(r: Column, i: Column, won: Column, bits: Column) -> Column:
+        flags = F.transform(r["at"], lambda k: F.get(bits, k))
+        stop = F.array_position(flags, F.lit(False))  # evaluation ends with the first condition that is not met
+        met = _let(stop, lambda stop: F.transform(flags, lambda b, j: F.when((i <= won) & ((stop == 0) | (j < stop)), b)))
+        status = F.when(won == i, "win").when(won > i, "miss").otherwise("neutral")
+        return F.struct(r["rule_id"].alias("rule_id"), r["category_id"].alias("category_id"), status.alias("status"), met.alias("met"))
+
+    def traced(bits: Column) -> Column:
+        accepts = F.transform("_rules", lambda r: F.forall(r["at"], lambda k: F.get(bits, k)))
+        at = F.array_position(accepts, F.lit(True)) - 1
+        return _let(at, lambda at: _let(F.when(at >= 0, at).otherwise(F.size("_rules")), lambda won: F.transform("_rules", lambda r, i: shown(r, i, won, bits))))
+
+    conditions = F.coalesce("_conditions", F.array().cast(joined.schema["_conditions"].dataType))
+    bits = _let(row_texts(), lambda texts: F.transform(conditions, lambda c: matches(c, texts)))
+    trace = F.coalesce(_let(bits, traced).cast(_TRACE), F.array().cast(_TRACE))
+    return joined.withColumn("trace", trace).drop("_rules", "_conditions")
+
+
+_TRACE = "array<struct<rule_id:bigint,category_id:string,status:string,met:array<boolean>>>"
+
+
+def why(txns: DataFrame, rules: Sequence[Rule] | DataFrame, manual: Column) -> DataFrame:
+    """The trace with manual decisions on top: they leave no rule winner.
+
+    ``rules`` is a literal list, or a table of rule sets for rows with a ``ruleset_id``.
+    """
+    traced = with_trace_by_set(txns, rules) if isinstance(rules, DataFrame) else with_trace(txns, rules)
+    traced = traced.withColumn("manual_category", manual)
     winner = F.try_element_at(F.filter("trace", lambda r: r["status"] == "win"), F.lit(1))["rule_id"]
     return traced.withColumn("winner_rule_id", F.when(F.col("manual_category").isNull(), winner))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.stats import weighted_median
 from ledgerloom.functions.text import tokens
 from ledgerloom.operators.conditions import Condition, Rule, compile_conditions
-from ledgerloom.operators.rules import first_match
+from ledgerloom.operators.rules import first_match, with_rule_by_set
 from ledgerloom.session import materialize
 
 # Fixed values of the method.
@@ -51,6 +51,23 @@ def by_winning_rule(txns: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return txns.withColumn("bucket", first_match(rules).cast("long")).where("bucket is not null")
 
 
+def _bucket_of_set() -> Column:
+    return F.concat_ws("/", F.col("ruleset_id").cast("string"), F.col("rule_id").cast("string"))
+
+
+def rule_fields_by_set(rules: DataFrame) -> DataFrame:
+    """``(bucket, field)``: the profiled fields each rule of many sets already filters on."""
+    long = rules.select(_bucket_of_set().alias("bucket"), F.explode("conditions.field").alias("field"))
+    also = long.where("field = 'amount'").withColumn("field", F.lit("currency"))
+    return long.unionByName(also).where(F.col("field").isin(*FIELD_RANK)).distinct()
+
+
+def by_winning_rule_by_set(txns: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows with ``bucket`` = rule set and winning rule; rows no rule accepts drop out."""
+    won = with_rule_by_set(txns, rules).where("rule_id is not null")
+    return won.withColumn("bucket", _bucket_of_set()).drop("rule_id", "rule_category")
+
+
 def by_draft(txns: DataFrame, conditions: Sequence[Condition]) -> DataFrame:
     return txns.where(compile_conditions(conditions)).withColumn("bucket", F.lit(0).cast("long"))
 
@@ -165,7 +182,11 @@ def token_frequency(found: DataFrame) -> DataFrame:
 # -------------------------------------------------------------------- gates
 
 
-def informative_categorical(profile: DataFrame, filtered: dict[int, set[str]]) -> DataFrame:
+def informative_categorical(profile: DataFrame, filtered: dict[int, set[str]] | DataFrame) -> DataFrame:
+    """Fields that are mostly filled and mostly one value, and not ``filtered`` by the bucket's rule."""
+    if isinstance(filtered, DataFrame):
+        open_ = profile.join(filtered, ["bucket", "field"], "left_anti")
+        return open_.where((F.col("coverage") >= COVERAGE_GATE) & (F.col("p_mode") >= MODE_GATE))
     used = F.lit(False)
     for bucket, names in filtered.items():
         if names:
@@ -235,7 +256,7 @@ class Profile:
     buckets: DataFrame
 
 
-def fit(rows: DataFrame, filtered: dict[int, set[str]], skip: Iterable[str] = ()) -> Profile:
+def fit(rows: DataFrame, filtered: dict[int, set[str]] | DataFrame, skip: Iterable[str] = ()) -> Profile:
     """Profile the buckets; every intermediate result is stored once.
 
     One pass over the rows; all further steps read the stored facts.

@@ -200,11 +200,13 @@ prules AS (
 
 def branded_txn(spark: SparkSession, sf: str) -> DataFrame:
     """Transactions that belong to the rule set of their part's brand."""
-    li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_shipdate")
+    li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
     li = spread(li, "l_orderkey")
     p = read_table(spark, sf, "part")
     return li.join(p, li.l_partkey == p.p_partkey).select(
         F.col("p_brand").alias("ruleset_id"),
+        "l_orderkey",
+        "l_linenumber",
         F.col("l_shipdate").cast("date").alias("date"),
         F.col("l_extendedprice").alias("amount"),
         F.lit("UAH").alias("currency"),
@@ -901,3 +903,126 @@ def k2(spark: SparkSession, sf: str) -> DataFrame:
     met = F.transform(F.get("trace", F.lit(2))["met"], lambda b: F.coalesce(b.cast("string"), F.lit("-")))
     return told.select("src_row", "manual_category", "winner_rule_id", F.array_join(met, ",").alias("rule3_met"))
 
+
+
+# ------------------------------------------------- by rule set, rules as data
+
+_PER_PART = PART_RULES + """,
+parts AS (SELECT p_partkey, p_brand, p_type, p_name, lpad(CAST(5000 + p_size AS VARCHAR), 4, '0') AS mcc FROM part),
+tested AS (
+  SELECT p.p_partkey, r.*, p.p_type = r.p_type AS c1,
+         CASE WHEN r.p_size <= 25 THEN p.mcc IN (r.mcc_value, '5001') ELSE starts_with(p.p_name, r.first_word) END AS c2
+  FROM parts p JOIN prules r ON p.p_brand = r.ruleset_id),
+winner AS (SELECT p_partkey, min("order") FILTER (c1 AND c2) AS w, min_by(rule_id, "order") FILTER (c1 AND c2) AS winner_rule_id,
+                  min_by(category_id, "order") FILTER (c1 AND c2) AS rule_category FROM tested GROUP BY p_partkey),
+shown AS (
+  SELECT p_partkey, w, winner_rule_id, sha256(string_agg(rule_id || CASE WHEN "order" > coalesce(w, 1000000) THEN ' neutral -,-'
+         ELSE CASE WHEN "order" = w THEN ' win ' ELSE ' miss ' END || CASE WHEN c1 THEN 'true,' || c2 ELSE 'false,-' END END, ';' ORDER BY "order")) AS trace
+  FROM tested JOIN winner USING (p_partkey) GROUP BY ALL)
+"""
+
+
+def _trace_text() -> Column:
+    met = lambda r: F.array_join(F.transform(r["met"], lambda b: F.coalesce(b.cast("string"), F.lit("-"))), ",")
+    one = lambda r: F.concat_ws(" ", r["rule_id"].cast("string"), r["status"], met(r))
+    return F.sha2(F.array_join(F.transform("trace", one), ";"), 256).alias("trace")
+
+
+@query(
+    "K1_decision_trace_by_rule_set",
+    with_(_PER_PART, "SELECT l_orderkey, l_linenumber, trace FROM lineitem JOIN shown ON l_partkey = p_partkey"),
+)
+def k1_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """All rules, statuses and flags of each row's trace, as a digest."""
+    traced = ops.with_trace_by_set(branded_txn(spark, sf), part_rules(spark, sf))
+    return traced.select("l_orderkey", "l_linenumber", _trace_text())
+
+
+@query(
+    "K2_why_tree_by_rule_set",
+    with_(
+        _PER_PART,
+        """SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN 'gifts' END AS manual_category,
+ CASE WHEN l_linenumber % 3 <> 0 THEN winner_rule_id END AS winner_rule_id, trace FROM lineitem JOIN shown ON l_partkey = p_partkey""",
+    ),
+)
+def k2_sets(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third line of an order has a manual decision."""
+    manual = F.when(F.col("l_linenumber") % 3 == 0, "gifts")
+    told = ops.why(branded_txn(spark, sf), part_rules(spark, sf), manual)
+    return told.select("l_orderkey", "l_linenumber", "manual_category", "winner_rule_id", _trace_text())
+
+
+def proposed_part_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The rule sets with the rules of the category "food" gone and all others of the first part type moved behind."""
+    rules = part_rules(spark, sf).where("category_id <> 'food'")
+    economy = F.col("conditions")[0]["value"] == "ECONOMY"
+    return rules.withColumn("order", F.when(economy, F.col("order") + 100_000).otherwise(F.col("order")))
+
+
+_SET_PREVIEW = _PER_PART + """,
+newly AS (SELECT p_partkey, min_by(category_id, "order") AS new_category FROM tested WHERE c1 AND c2 AND category_id <> 'food' GROUP BY p_partkey),
+preview AS (SELECT l_orderkey, l_linenumber, l_partkey, rule_category AS old_category, new_category
+            FROM lineitem JOIN winner w ON l_partkey = w.p_partkey LEFT JOIN newly n ON l_partkey = n.p_partkey)
+"""
+
+
+@query(
+    "D13_rule_preview_diff_by_rule_set",
+    with_(_SET_PREVIEW, "SELECT l_orderkey, l_linenumber, old_category, new_category FROM preview WHERE old_category IS DISTINCT FROM new_category"),
+)
+def d13_sets(spark: SparkSession, sf: str) -> DataFrame:
+    changed = cat.changed_rows_by_set(branded_txn(spark, sf), part_rules(spark, sf), proposed_part_rules(spark, sf))
+    return changed.select("l_orderkey", "l_linenumber", "old_category", "new_category")
+
+
+def set_overrides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Branded rows with a hash, and the decisions stored for every seventh order, some of a category that is gone."""
+    rows = branded_txn(spark, sf).withColumn("hash", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    marked = cat.with_period(rows).where("l_orderkey % 7 = 0")
+    decided = F.when(F.col("l_linenumber") % 2 == 0, "gone").otherwise("gifts")
+    return rows, marked.select("hash", "year", "month", F.lit(1).alias("is_manual"), decided.alias("category_id")).distinct()
+
+
+_SET_LADDER = _PER_PART + """,
+ladder AS (
+  SELECT l_orderkey, l_linenumber, l_orderkey % 7 = 0 AS stored, rule_category,
+         CASE WHEN l_orderkey % 7 = 0 AND l_linenumber % 2 <> 0 THEN 'gifts' END AS valid_override
+  FROM lineitem JOIN winner ON l_partkey = p_partkey)
+"""
+
+
+@query(
+    "D4_category_ladder_by_rule_set",
+    with_(
+        _SET_LADDER,
+        "SELECT l_orderkey, l_linenumber, coalesce(valid_override, rule_category, 'other') AS category_id, CASE WHEN stored THEN 1 ELSE 0 END AS is_manual FROM ladder",
+    ),
+)
+def d4_sets(spark: SparkSession, sf: str) -> DataFrame:
+    rows, stored = set_overrides(spark, sf)
+    overrides = cat.manual_overrides(stored, cat.periods(rows))
+    told = cat.categorize(rows, part_rules(spark, sf), overrides, categories(spark), "other")
+    return told.select("l_orderkey", "l_linenumber", "category_id", "is_manual")
+
+
+@query(
+    "K3_previous_and_new_category_by_rule_set",
+    with_(
+        _SET_PREVIEW,
+        """SELECT l_orderkey, l_linenumber, new_category AS category_id,
+ CASE WHEN new_category IS DISTINCT FROM old_category THEN old_category END AS previous_category_id,
+ new_category IS DISTINCT FROM old_category AS changed FROM preview""",
+    ),
+)
+def k3_sets(spark: SparkSession, sf: str) -> DataFrame:
+    rows = ops.with_rule_by_set(branded_txn(spark, sf), part_rules(spark, sf)).withColumnRenamed("rule_category", "_old").drop("rule_id")
+    both = ops.with_rule_by_set(rows, proposed_part_rules(spark, sf))
+    changed = ~F.col("rule_category").eqNullSafe(F.col("_old"))
+    return both.select(
+        "l_orderkey",
+        "l_linenumber",
+        F.col("rule_category").alias("category_id"),
+        F.when(changed, F.col("_old")).alias("previous_category_id"),
+        changed.alias("changed"),
+    )
