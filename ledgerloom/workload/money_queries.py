@@ -27,6 +27,7 @@ from ledgerloom.workload.adapters import (
     txn,
     wide_rates,
 )
+from ledgerloom.workload.rule_queries import PART_RULES, branded_txn, part_rules
 from ledgerloom.workload.registry import query, with_
 from ledgerloom.workload.rule_queries import LADDER, STORED, laddered, stored_footprints
 
@@ -637,6 +638,86 @@ def e18(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def set_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows bucketed by the winning rule of their own rule set."""
+    rows = branded_txn(spark, sf).withColumn("row_index", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return ty.by_winning_rule_by_set(rows, part_rules(spark, sf)).select(
+        "bucket", "row_index", "mcc", "counterparty", "currency", "bank_category", "amount", "description"
+    )
+
+
+_SET_SCORED = PART_RULES + """,
+parts AS (SELECT p_partkey, p_brand, p_type, p_name, lpad(CAST(5000 + p_size AS VARCHAR), 4, '0') AS mcc FROM part),
+won AS (
+  SELECT p.p_partkey, any_value(p.p_name) AS description, any_value(p.p_type) AS bank_category, any_value(p.mcc) AS mcc,
+         any_value(p.p_brand) || '/' || min_by(r.rule_id, r."order") AS bucket
+  FROM parts p JOIN prules r ON p.p_brand = r.ruleset_id AND p.p_type = r.p_type
+   AND CASE WHEN r.p_size <= 25 THEN p.mcc IN (r.mcc_value, '5001') ELSE starts_with(p.p_name, r.first_word) END
+  GROUP BY p.p_partkey),
+used AS (
+  SELECT ruleset_id || '/' || rule_id AS ubucket, unnest(['bank_category', CASE WHEN p_size <= 25 THEN 'mcc' ELSE 'description' END]) AS ufield FROM prules),
+b AS (
+  SELECT w.*, 'UAH' AS currency, CAST(NULL AS VARCHAR) AS counterparty, l_extendedprice AS amount, l_orderkey * 10 + l_linenumber AS row_index
+  FROM lineitem JOIN won w ON l_partkey = p_partkey),
+sizes AS (SELECT bucket, count(*) AS bucket_size FROM b GROUP BY bucket),
+cc AS (
+  SELECT bucket, field, value, count(*) AS n, min(row_index) AS first_row FROM (
+    SELECT bucket, row_index, 'mcc' AS field, mcc AS value FROM b
+    UNION ALL SELECT bucket, row_index, 'currency', currency FROM b
+    UNION ALL SELECT bucket, row_index, 'bank_category', bank_category FROM b)
+  GROUP BY bucket, field, value),
+cp AS (
+  SELECT bucket, field, CAST(sum(n) AS BIGINT) AS present, arg_max(value, struct_pack(n := n, e := -first_row)) AS mode,
+         max(n) / sum(n)::DOUBLE AS p_mode, sum(n) / max(bucket_size)::DOUBLE AS coverage
+  FROM cc JOIN sizes USING (bucket) GROUP BY bucket, field),
+inf AS (
+  SELECT * FROM cp WHERE coverage >= 0.5 AND p_mode >= 0.5
+   AND NOT EXISTS (SELECT 1 FROM used WHERE ubucket = bucket AND ufield = field)),
+am AS (SELECT bucket, median(ln(abs(amount))) AS log_median, count(*) AS amount_n FROM b GROUP BY bucket),
+ap AS (SELECT b.bucket, any_value(log_median) AS log_median, any_value(amount_n) AS amount_n, median(abs(ln(abs(amount)) - log_median)) AS log_mad
+       FROM b JOIN am USING (bucket) GROUP BY b.bucket),
+tok AS (
+  SELECT DISTINCT w.p_partkey, token FROM won w, unnest(list_filter(string_split_regex(lower(description), '[^a-z0-9]+'),
+         lambda t: regexp_full_match(t, '[a-z]{3,}'))) u(token)),
+df AS (SELECT bucket, token, count(*) / any_value(bucket_size)::DOUBLE AS df FROM b JOIN tok USING (p_partkey) JOIN sizes USING (bucket) GROUP BY bucket, token),
+core AS (SELECT DISTINCT bucket FROM df WHERE df >= 0.5),
+word AS (SELECT p_partkey, least(1 - min(df), 0.5) AS a_word FROM tok JOIN won USING (p_partkey) JOIN df USING (bucket, token) GROUP BY p_partkey),
+field AS (SELECT c.bucket, c.field, c.value, 1 - (c.n / i.present::DOUBLE) / i.p_mode AS a FROM inf i JOIN cc c USING (bucket, field)),
+sc AS (
+  SELECT b.row_index, b.bucket, bucket_size, coalesce(m.a, 0) AS a_mcc, coalesce(u.a, 0) AS a_currency, coalesce(k.a, 0) AS a_bank,
+         CASE WHEN amount_n >= 5 AND log_mad >= 0.1 THEN least(greatest((abs(ln(abs(amount)) - log_median) / (1.4826 * log_mad) - 3) / 3, 0), 1) ELSE 0 END AS a_amount,
+         CASE WHEN core.bucket IS NOT NULL THEN coalesce(a_word, 0) ELSE 0 END AS a_text
+  FROM b JOIN sizes USING (bucket) JOIN ap USING (bucket) LEFT JOIN core USING (bucket) LEFT JOIN word USING (p_partkey)
+  LEFT JOIN field m ON m.bucket = b.bucket AND m.field = 'mcc' AND m.value = b.mcc
+  LEFT JOIN field u ON u.bucket = b.bucket AND u.field = 'currency' AND u.value = b.currency
+  LEFT JOIN field k ON k.bucket = b.bucket AND k.field = 'bank_category' AND k.value = b.bank_category
+  WHERE bucket_size >= 8)
+"""
+
+
+@query(
+    "E13_categorical_profile_by_rule_set",
+    with_(_SET_SCORED, "SELECT bucket, field, present, mode, round(p_mode, 9) AS p_mode, round(coverage, 9) AS coverage FROM cp"),
+)
+def e13_sets(spark: SparkSession, sf: str) -> DataFrame:
+    prof = ty.categorical_profile(ty.facts(set_buckets(spark, sf)))
+    return prof.withColumn("p_mode", F.round("p_mode", 9)).withColumn("coverage", F.round("coverage", 9))
+
+
+@query(
+    "E17_atypicality_by_rule_set",
+    with_(
+        _SET_SCORED,
+        """SELECT row_index, bucket, bucket_size,
+ round(1 - (1 - a_mcc) * (1 - a_currency) * (1 - a_bank) * (1 - a_amount) * (1 - a_text), 9) AS atypicality FROM sc""",
+    ),
+)
+def e17_sets(spark: SparkSession, sf: str) -> DataFrame:
+    rows = materialize(set_buckets(spark, sf), "set-buckets")
+    profile = ty.fit(rows, ty.rule_fields_by_set(part_rules(spark, sf)))
+    return ty.score(rows, profile).select("row_index", "bucket", "bucket_size", F.round("atypicality", 9).alias("atypicality"))
+
+
 @query("E19_buckets", with_(BUCKETED, "SELECT bucket, bucket_size FROM sizes"))
 def e19(spark: SparkSession, sf: str) -> DataFrame:
     return ty.bucket_sizes(ty.facts(bucketed(spark, sf)))
