@@ -49,6 +49,12 @@ def parse_date(c: Column, fmt: str) -> Column:
     return F.when(part.rlike(_shape(fmt)), F.try_to_timestamp(part, F.lit(fmt)).cast("date"))
 
 
+def has_date_shape(c: Column) -> Column:
+    """Whether the date part has the digit shape of any known format."""
+    shapes = dict.fromkeys(_shape(f) for f in DATE_FORMATS)
+    return date_part(c).rlike("|".join(shapes))
+
+
 def parse_date_by(c: Column, fmt: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
     """Parse with a per-row format out of a known list."""
     return F.coalesce(*[F.when(fmt == f, parse_date(c, f)) for f in formats])

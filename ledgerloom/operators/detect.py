@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import model as m
-from ledgerloom.functions.dates import DATE_FORMATS, parse_date
+from ledgerloom.functions.dates import DATE_FORMATS, has_date_shape, parse_date
 from ledgerloom.functions.indexing import in_even_sample, sample_size
 from ledgerloom.functions.numbers import parse_number
+from ledgerloom.session import materialize
 
 
 def with_file_size(rows: DataFrame) -> DataFrame:
@@ -91,14 +92,45 @@ def dominant_status(cells: DataFrame, threshold: float = m.STATUS_DOMINANCE) ->
     return value_shares(cells).where(F.col("share") >= threshold).select("file_id", "col_id", "value", "share")
 
 
-def auto_detect(cells: DataFrame, sampled: DataFrame) -> DataFrame:
-    """Definition by content: a date column, else a status column.
+STATUS_VALUES = 10
+SKETCH_BITS = 64
 
-    Status needs ten values, at most ten distinct ones and one dominant.
+
+def column_sketches(cells: DataFrame) -> DataFrame:
+    """What one aggregation tells of every column without moving its cells.
+
+    ``dates``: cells in the shape of a date; ``different``: a number of different
+    values that is never too high, from a bitmap of their hashes (two values may
+    share a bit). So a column is only ruled out where its exact counts would
+    rule it out as well.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64("raw"), F.lit(SKETCH_BITS)).cast("int"))
+    return cells.groupBy("file_id", "col_id").agg(
+        F.count(F.lit(1)).alias("cells"),
+        F.count("raw").alias("total"),
+        F.count_if(has_date_shape(F.col("raw"))).alias("dates"),
+        F.bit_count(F.bit_or(F.when(F.col("raw").isNotNull(), bit))).alias("different"),
+    )
+
+
+def date_candidates(cells: DataFrame, sketches: DataFrame, accept: float = m.MIN_DATE_PARSE_PERCENT) -> DataFrame:
+    """The cells of the columns that can be dates: enough of them have the shape of one."""
+    able = sketches.where(F.col("dates") * 100.0 >= accept * F.col("cells"))
+    return cells.join(able.select("file_id", "col_id"), ["file_id", "col_id"], "left_semi")
+
+
+def auto_detect(cells: DataFrame) -> DataFrame:
+    """Definition by content, judged on all cells: a date column, else a status column.
+
+    Status needs ten values, at most ten distinct ones and one dominant. Only
+    the cells of columns that the sketches leave open are counted by value, so
+    free text is never shuffled.
     """
-    dates = date_formats(sampled).select("file_id", "col_id", F.lit(m.DATE).alias("definition"))
-    status = value_shares(cells).where(
-        (F.col("total") >= 10) & (F.col("distinct_values") <= 10) & (F.col("share") >= m.STATUS_DOMINANCE)
+    sketches = materialize(column_sketches(cells), "sketches")
+    dates = date_formats(date_candidates(cells, sketches)).select("file_id", "col_id", F.lit(m.DATE).alias("definition"))
+    few = sketches.where((F.col("total") >= 10) & (F.col("different") <= STATUS_VALUES)).select("file_id", "col_id")
+    status = value_shares(cells.join(few, ["file_id", "col_id"], "left_semi")).where(
+        (F.col("total") >= 10) & (F.col("distinct_values") <= STATUS_VALUES) & (F.col("share") >= m.STATUS_DOMINANCE)
     )
     status = status.select("file_id", "col_id", F.lit(m.STATUS).alias("definition"))
     return dates.unionByName(status.join(dates, ["file_id", "col_id"], "left_anti"))

@@ -457,14 +457,15 @@ def a23(spark: SparkSession, sf: str) -> DataFrame:
     "A24_snapshot_cells",
     with_(
         STATEMENTS,
-        """, r AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY src_row) - 1 AS row_index, count(*) OVER (PARTITION BY file_id) AS total FROM body),
+        """, r AS (SELECT file_id, CASE WHEN len(cells) < 4 THEN list_append(cells, '') ELSE cells END AS cells, row_number() OVER (PARTITION BY file_id ORDER BY src_row) - 1 AS row_index,
+                count(*) OVER (PARTITION BY file_id) AS total FROM recs WHERE src_row BETWEEN 10 AND 1099511627775),
  pick AS (SELECT file_id, total, CASE WHEN total <= 10 THEN i ELSE floor(i * total / 10.0) END AS at FROM (SELECT DISTINCT file_id, total FROM r), range(10) t(i) WHERE i < total)
-SELECT r.file_id, row_index, amount AS raw FROM r JOIN pick p ON p.file_id = r.file_id AND p.at = r.row_index""",
+SELECT r.file_id, row_index, unnest(range(len(cells)))::INTEGER AS col_id, unnest(cells) AS raw FROM r JOIN pick p ON p.file_id = r.file_id AND p.at = r.row_index""",
     ),
 )
 def a24(spark: SparkSession, sf: str) -> DataFrame:
     rows = materialize(statements(spark, sf).rows(), "rows")
-    return headers.sample_cells(rows).where("col_id = 2").select("file_id", "row_index", "raw")
+    return headers.sample_cells(rows).select("file_id", "row_index", "col_id", "raw")
 
 
 @query(

@@ -189,25 +189,18 @@ def h5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _FORMAT_SQL = "CASE layout WHEN 0 THEN 'dd.MM.yyyy' WHEN 1 THEN 'MM/dd/yyyy' WHEN 2 THEN 'yyyy-MM-dd' ELSE 'dd/MM/yy' END"
-_SAMPLED = """,
-n AS (SELECT file_id, count(*) AS total, least(count(*), greatest(least(ceil(count(*) * 10 / 100.0), 1000), least(count(*), 100)))::BIGINT AS size FROM raw GROUP BY file_id),
-pick AS (SELECT file_id, (i * total) // size AS row_index FROM n, range(1000) t(i) WHERE i < size),
-samp AS (SELECT raw.* FROM raw JOIN pick ON pick.file_id = raw.file_id AND pick.row_index = raw.row_index)
-"""
-
-
 @query(
     "E1_date_formats",
     with_(
         RAW,
-        _SAMPLED
-        + f"""SELECT file_id, 0 AS col_id, {_FORMAT_SQL} AS date_format, round(count(*) FILTER (WHERE qty <> 50) * 100.0 / count(*), 6)::DOUBLE AS percent
-FROM samp GROUP BY file_id, layout HAVING count(*) FILTER (WHERE qty <> 50) * 100.0 / count(*) >= 90""",
+        f"""SELECT file_id, 0 AS col_id, {_FORMAT_SQL} AS date_format, round(count(*) FILTER (WHERE qty <> 50) * 100.0 / count(*), 6)::DOUBLE AS percent
+FROM raw GROUP BY file_id, layout HAVING count(*) FILTER (WHERE qty <> 50) * 100.0 / count(*) >= 90""",
     ),
 )
 def e1(spark: SparkSession, sf: str) -> DataFrame:
-    rows = detect.even_sample(materialize(raw_rows(spark, sf), "raw"))
-    return detect.date_formats(detect.cells_of(rows)).withColumn("percent", F.round("percent", 6))
+    cells = detect.cells_of(materialize(raw_rows(spark, sf), "raw"))
+    formats = detect.date_formats(detect.date_candidates(cells, detect.column_sketches(cells)))
+    return formats.withColumn("percent", F.round("percent", 6))
 
 
 @query(
@@ -232,8 +225,7 @@ def e3(spark: SparkSession, sf: str) -> DataFrame:
     "E4_auto_detection",
     with_(
         RAW,
-        _SAMPLED
-        + f""", d AS (SELECT file_id FROM samp GROUP BY file_id, layout HAVING count(*) FILTER (WHERE qty <> 50) * 100.0 / count(*) >= 90),
+        f""", d AS (SELECT file_id FROM raw GROUP BY file_id, layout HAVING count(*) FILTER (WHERE qty <> 50) * 100.0 / count(*) >= 90),
 vals AS (
   SELECT file_id, col_id, val, count(*) AS n FROM (
    SELECT file_id, 4 AS col_id, coalesce(c_note, '') AS val FROM cells UNION ALL SELECT file_id, 8, c_status FROM cells UNION ALL SELECT file_id, 9, s_name FROM cells
@@ -246,8 +238,7 @@ UNION ALL SELECT file_id, col_id, '{m.STATUS}' FROM vals GROUP BY file_id, col_i
 )
 def e4(spark: SparkSession, sf: str) -> DataFrame:
     rows = materialize(raw_rows(spark, sf), "raw")
-    found = detect.auto_detect(detect.cells_of(rows), detect.cells_of(detect.even_sample(rows)))
-    return found.select("file_id", "col_id", "definition")
+    return detect.auto_detect(detect.cells_of(rows)).select("file_id", "col_id", "definition")
 
 
 @query(

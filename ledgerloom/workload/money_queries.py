@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -249,22 +251,32 @@ def _written_store(spark: SparkSession, sf: str) -> str:
     "A18_footprint_upsert",
     with_(
         STORED + "," + RATES,
-        """, merged AS (
-  SELECT year, month, hash, amount AS amount_usd, 'new' AS category_id FROM htxn WHERE currency = 'USD'
+        """, valued AS (
+  SELECT t.year, t.month, t.hash, CASE WHEN currency = 'USD' THEN amount WHEN r.rate <> 0 THEN amount / r.rate END AS amount_usd
+  FROM htxn t LEFT JOIN rates r ON r.base = 'USD' AND r.date = t.date AND r.ccy = t.currency),
+merged AS (
+  SELECT year, month, hash, amount_usd, 'new' AS category_id FROM valued WHERE amount_usd IS NOT NULL
   UNION ALL SELECT year, month, hash, amount_usd, category_id FROM stored s
-  WHERE NOT EXISTS (SELECT 1 FROM htxn h WHERE h.currency = 'USD' AND h.hash = s.hash AND h.year = s.year AND h.month = s.month))
+  WHERE NOT EXISTS (SELECT 1 FROM valued h WHERE h.amount_usd IS NOT NULL AND h.hash = s.hash AND h.year = s.year AND h.month = s.month))
 SELECT CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month, coalesce(category_id, '-') AS category_id, count(*) AS records, count(DISTINCT hash) AS hashes, round(sum(amount_usd), 2) AS total
 FROM merged GROUP BY ALL""",
     ),
 )
 def a18(spark: SparkSession, sf: str) -> DataFrame:
-    """Commit a batch twice over an earlier import: the second changes nothing."""
+    """Commit all rows over an earlier import.
+
+    The whole batch is refused, since some days have no rate, and leaves nothing
+    behind; the rows with a rate are committed twice, and the second time
+    changes nothing.
+    """
     path = _written_store(spark, sf)
-    rows = hashed_txn(spark, sf).where("currency = 'USD'")
-    batch = rows.withColumn("category_id", F.lit("new")).withColumn("is_manual", F.lit(0))
+    batch = hashed_txn(spark, sf).withColumn("category_id", F.lit("new")).withColumn("is_manual", F.lit(0))
     priced = materialize(convert.with_usd(batch, rates(spark, sf)), "priced")
-    store.commit(spark, path, priced)
-    store.commit(spark, path, priced)
+    with contextlib.suppress(store.RatesMissing):
+        store.commit(spark, path, priced)
+    valued = priced.where("not rate_missing")
+    store.commit(spark, path, valued)
+    store.commit(spark, path, valued)
     return (
         store.read_store(spark, path)
         .groupBy("year", "month", F.coalesce("category_id", F.lit("-")).alias("category_id"))

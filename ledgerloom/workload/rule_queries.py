@@ -825,17 +825,27 @@ def e7(spark: SparkSession, sf: str) -> DataFrame:
     return cat.window_counts(laddered(spark, sf), _DRAFT)
 
 
+# What each field is compared with, and how.
+_FIELD_KINDS = """(VALUES
+ ('date', 'day', 'firstDayOfMonth,firstMondayOfMonth,firstSaturdayOfMonth,firstSundayOfMonth,lastDayOfMonth,lastMondayOfMonth,lastSaturdayOfMonth,lastSundayOfMonth,specificDay,dayRange'),
+ ('amount', 'num', 'equals,notEquals,greaterThan,lessThan,greaterThanOrEqual,lessThanOrEqual,between'),
+ ('description', 'text', 'equals,notEquals,contains,notContains,startsWith,endsWith,matches'),
+ ('counterparty', 'text', 'equals,notEquals,contains,notContains,startsWith,endsWith,matches'),
+ ('account', 'text', 'equals,notEquals,contains,notContains,startsWith,endsWith,matches'),
+ ('currency', 'optone', 'equals,notEquals,oneOf'), ('bank_category', 'optset', 'equals,notEquals,oneOf'), ('mcc', 'code', 'equals,notEquals,oneOf')
+) v(field, value_kind, operators)"""
+
+
 @query(
     "E8_condition_fields",
     with_(
         TXN,
         """, f AS (SELECT file_id, count(DISTINCT currency) > 1 AS many FROM txn GROUP BY file_id)
-SELECT file_id, field FROM f, (VALUES ('date'), ('amount'), ('description'), ('counterparty'), ('account'), ('bank_category'), ('mcc')) v(field)
-UNION ALL SELECT file_id, 'currency' FROM f WHERE many""",
+SELECT file_id, field, value_kind, operators FROM f, {kinds} WHERE many OR field <> 'currency'""".format(kinds=_FIELD_KINDS),
     ),
 )
 def e8(spark: SparkSession, sf: str) -> DataFrame:
-    return cat.condition_fields(txn(spark, sf)).select("file_id", "field")
+    return cat.condition_fields(txn(spark, sf)).select("file_id", "field", "value_kind", "operators")
 
 
 @query(
@@ -843,13 +853,12 @@ def e8(spark: SparkSession, sf: str) -> DataFrame:
     with_(
         TXN,
         """, f AS (SELECT account, count(DISTINCT currency) > 1 AS many FROM txn GROUP BY account)
-SELECT account, field FROM f, (VALUES ('date'), ('amount'), ('description'), ('counterparty'), ('account'), ('bank_category'), ('mcc')) v(field)
-UNION ALL SELECT account, 'currency' FROM f WHERE many""",
+SELECT account, field, value_kind, operators FROM f, {kinds} WHERE many OR field <> 'currency'""".format(kinds=_FIELD_KINDS),
     ),
 )
 def e8_account(spark: SparkSession, sf: str) -> DataFrame:
     rows = txn(spark, sf).withColumn("acct", F.col("account"))
-    return cat.condition_fields(rows, "acct").select(F.col("acct").alias("account"), "field")
+    return cat.condition_fields(rows, "acct").select(F.col("acct").alias("account"), "field", "value_kind", "operators")
 
 
 @query(
