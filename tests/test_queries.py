@@ -14,6 +14,9 @@ NAMES = (
     "G1_duplicate_counter", "A4_csv_records", "A11_issue_log", "A18_footprint_upsert", "B20_generated_operations",
     "E10_review_summary", "K2_why_tree", "D1_rule_errors", "D1_faulty_rules_are_left_out", "E6_applied_counts_by_rule_set",
     "B16_refused_files", "B30_review_echo", "C36_review_filter", "D9_recall_save_new", "I6_row_hash", "S1_incremental_import",
+    "K1_decision_trace_by_rule_set", "K2_why_tree_by_rule_set", "D4_category_ladder_by_rule_set", "D13_rule_preview_diff_by_rule_set",
+    "K3_previous_and_new_category_by_rule_set", "E13_categorical_profile_by_rule_set", "E17_atypicality_by_rule_set", "E4_auto_detection",
+    "A24_snapshot_cells", "S1_file_import",
 )
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
