@@ -104,25 +104,40 @@ def brute_scores(rows):
     learnt = [t for i, t in enumerate(texts) if not held[i]]
     c = Counter(itertools.chain.from_iterable(learnt))
     pairs = Counter(p for t in learnt for p in zip(["\x00", *t], t, strict=False))
+    triples = Counter(p for t in learnt for p in zip(["\x00", *t], t, t[1:], strict=False))
     n, v, starts = sum(c.values()), len(c), len(learnt)
     once = lambda x, k: sum(1 for y in x.values() if y == k)
-    share = lambda x, most: min(most, once(x, 1) / (once(x, 1) + 2 * once(x, 2))) if once(x, 1) and once(x, 2) else 0.5
-    d1, d2 = share(c, 1), share(pairs, 0.999)
-    bins = {}
-    for k in c.values():
-        b = bins.setdefault(math.floor(math.log2(k) * 8), [0, 0])
-        b[0] += 1
-        b[1] += k
-    g = lm_score.Weights._growth([(m, t / m) for m, t in bins.values()], len(pairs))
+    share = lambda x: min(0.999, once(x, 1) / (once(x, 1) + 2 * once(x, 2))) if once(x, 1) and once(x, 2) else 0.5
+    d1, d2, d3 = share(c), share(pairs), share(triples)
+
+    def growth(counts, different):
+        bins = {}
+        for k in counts.values():
+            b = bins.setdefault(math.floor(math.log2(k) * 8), [0, 0])
+            b[0] += 1
+            b[1] += k
+        return lm_score.Weights._growth([(m, t / m) for m, t in bins.values()], different)
+
+    g2, g3 = growth(c, len(pairs)), growth(pairs, len(triples))
+
+    def one(w):
+        return max(c[w] - d1, 1e-9) / n if c[w] else d1 * v / n
+
+    def two(h, w):
+        count = starts if h == "\x00" else c[h]
+        fail = d2 * count ** (g2 - 1) if count else 1.0
+        return (1 - fail) * pairs[h, w] / max(count, 1) + fail * one(w)
+
+    def three(u, h, w):
+        count = pairs[u, h]
+        fail = d3 * count ** (g3 - 1) if count else 1.0
+        return (1 - fail) * triples[u, h, w] / max(count, 1) + fail * two(h, w)
+
     out = []
     for i, (d, _) in enumerate(rows):
-        score, state = 0.0, "\x00"
-        for w in texts[i]:
-            count = starts if state == "\x00" else c[state]
-            fail = d2 * count ** (g - 1) if count else 1.0
-            root = max(c[w] - d1, 1e-9) / n if c[w] else d1 * v / n
-            score += math.log10((1 - fail) * pairs[state, w] / max(count, 1) + fail * root)
-            state = w
+        t = ["\x00", *texts[i]]
+        score = math.log10(two(*t[:2]))
+        score += sum(math.log10(three(*t[k : k + 3])) for k in range(len(t) - 2))
         base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in texts[i])
         out.append((d, held[i], len(texts[i]), sum(c[w] > 0 for w in texts[i]), n, base, score))
     return out
@@ -160,13 +175,31 @@ def test_scores_without_training_rows(spark, tmp_path):
 
 
 def test_root_and_states_are_distributions():
-    facts = [{"kind": 1, "types": 3, "tokens": 7, "once": 1, "twice": 1, "bins": {0: [1, 1], 8: [1, 2], 16: [1, 4]}},
-             {"kind": 2, "types": 4, "tokens": 7, "once": 2, "twice": 1}]
+    facts = [(1, "types", 3, 7), (1, "once", 1, 0), (1, "twice", 1, 0), (1, "bin0", 1, 1), (1, "bin8", 1, 2), (1, "bin16", 1, 4),
+             (2, "types", 4, 7), (2, "once", 2, 0), (2, "twice", 1, 0), (2, "bin0", 2, 2), (2, "bin8", 1, 2), (2, "bin12", 1, 3),
+             (3, "types", 5, 6), (3, "once", 4, 0), (3, "twice", 1, 0)]
     w = lm_score.Weights(facts)
     root = w.root(np.array([1, 2, 4, 0]))
     assert root.sum() == pytest.approx(1.0)
-    fail = w.failure(np.array([4]))[0]
-    assert ((1 - fail) * np.array([1, 1, 2, 0]) / 4 + fail * root).sum() == pytest.approx(1.0)
+    fail = w.failure(lm_score.PAIRS, np.array([4]))[0]
+    shorter = (1 - fail) * np.array([1, 1, 2, 0]) / 4 + fail * root
+    assert shorter.sum() == pytest.approx(1.0)
+    fail = w.failure(lm_score.TRIPLES, np.array([3]))[0]
+    assert ((1 - fail) * np.array([1, 0, 2, 0]) / 3 + fail * shorter).sum() == pytest.approx(1.0)
+
+
+def test_the_walk_carries_its_state_over_slices(monkeypatch):
+    """Slices of one token and of all tokens take the same arcs, failure arcs included."""
+    t = lm_score.BlockTokens(["a b c a b d", "", "b c x a b c"])
+    rng = np.random.default_rng(1)
+    words = np.array([3, 0, *rng.integers(1, 5, len(t.hashes) - 2)])
+    counts = {1: words, 2: rng.integers(0, 2, len(t.pair_hashes)), 3: np.zeros(len(t.triple_hashes), np.int64)}
+    counts[3] += (counts[2][t.triple_history] > 0) & (counts[2][t.triple_pair] > 0)
+    w = lm_score.Weights([(1, "types", 5, int(words.sum())), (2, "types", 4, 9), (1, "bin0", 5, 5), (2, "bin0", 4, 4)])
+    whole = lm_score.Automaton(t, counts, w).walk()
+    monkeypatch.setattr(lm_score, "WALK_TOKENS", 1)
+    assert lm_score.Automaton(t, counts, w).walk() == whole
+    assert len(whole) == 3
 
 
 def test_factorisation_equals_the_sum_over_pairs():
