@@ -26,6 +26,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import scan_partitions, stored
@@ -267,35 +268,55 @@ class BlockReader:
 def find_entries(directory: DataFrame, wanted: DataFrame, folder: str) -> DataFrame:
     """The entries of all ``url, page_id`` in ``wanted``.
 
-    Wanted keys are ranged like the index: the few first keys of the index
-    files give each its file, and a file's keys are looked up by one task.
+    Wanted keys and the first keys of the index files are ordered together, so
+    a wanted key belongs to the last file that starts before it (equal keys
+    never lie in two files). Where that file starts in an earlier range, its
+    name comes from the summaries of the ranges, one small row each. A file's
+    keys are then looked up by one task.
     """
-    files = directory.select("index", "first", "last").orderBy("first", "last").collect()  # one row per index file
-    firsts = [f["first"] for f in files]
-    lasts = [f["last"] for f in files]
-    names = [f["index"] for f in files]
 
-    def routed(batches):
+    def keyed(batches):
         for batch in batches:
-            found: set[tuple] = set()
-            for url, page_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                key = url_key(url)
-                k = sort_key(key, page_id)
-                i = bisect_right(firsts, k) - 1
-                while i >= 0 and lasts[i] >= k:
-                    found.add((names[i], key, page_id))
-                    i -= 1
-            rows = sorted(found, key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0))
+            pairs = {(url_key(u), p) for u, p in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+            rows = [(sort_key(*pair), *pair) for pair in pairs]
+            columns = zip(*rows, strict=True) if rows else ((), (), ())
+            kinds = (pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([r[0] for r in rows], pa.string()),
-                    pa.array([r[1] for r in rows], pa.string()),
-                    pa.array([r[2] for r in rows], pa.int64()),
-                ],
-                names=["index", "key", "page_id"],
+                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["at", "key", "page_id"]
             )
 
-    keys = wanted.mapInArrow(routed, "index string, key string, page_id long").distinct()
+    def routed(batches):
+        part = name = None
+        for batch in batches:
+            rows = []
+            for part, file, key, page_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if file is not None:
+                    name = file
+                else:
+                    rows.append((part, name, key, page_id))
+            yield route_batch(rows)
+        if name is not None:
+            yield route_batch([(part, name, None, None)])
+
+    def route_batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.int64()]
+        names = ["part", "index", "key", "page_id"]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+    asked = wanted.select("url", "page_id").mapInArrow(keyed, "at string, key string, page_id long").distinct()
+    starts = directory.select(F.col("first").alias("at"), F.col("index").alias("file"))
+    marks = starts.unionByName(asked, allowMissingColumns=True)
+    order = F.asc("at"), F.asc_nulls_last("file")  # a file before the keys it starts with
+    ranged = marks.repartitionByRange(scan_partitions(wanted), "at").sortWithinPartitions(*order)
+    route = "part int, index string, key string, page_id long"
+    places = ranged.select(F.spark_partition_id().alias("part"), "file", "key", "page_id")
+    routes = stored(places.mapInArrow(routed, route), "warc-routes")
+    named = routes.where("key is not null and index is not null")
+    each = routes.groupBy("part").agg(F.max(F.when(F.col("key").isNull(), F.col("index"))).alias("last"))
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    carried = each.select("part", F.last("last", ignorenulls=True).over(earlier).alias("index")).where("index is not null")
+    unnamed = routes.where("key is not null and index is null").drop("index")
+    keys = named.unionByName(unnamed.join(carried, "part")).select("index", "key", "page_id")
 
     def looked(part: pa.Table, asked: pa.Table) -> pa.Table:
         found: list[list] = []

@@ -93,6 +93,22 @@ def test_lookup_finds_every_capture_across_blocks(spark, tmp_path):
     assert got == Counter(entries)
 
 
+@pytest.mark.parametrize(("files", "ranges"), [(40, 3), (2, 30), (1, 1)])
+def test_lookup_over_many_index_files_and_ranges(spark, tmp_path, files, ranges):
+    """Ranges of wanted keys with many files, and ranges in which no file starts."""
+    entries = [(f"com,x)/{i % 97:03d}", i, f"f{i % 3}", i, 1) for i in range(600)]
+    entries += [("com,x)/hot", i, "f", i, 1) for i in range(300)]
+    df = spark.createDataFrame(entries, warc.ENTRY_SCHEMA)
+    folder = str(tmp_path / "index")
+    directory = warc.write_index(df, folder, files, block_entries=5)
+    asked = [(f"http://x.com/{key.rpartition('/')[2]}", page) for key, page, *_ in entries]
+    asked += [("http://a.com/before", 1), ("http://z.org/after", 1), ("http://x.com/hot", 10**6), (None, None)]
+    wanted = spark.createDataFrame(asked, "url string, page_id long").repartition(ranges)
+    got = Counter(map(tuple, warc.find_entries(directory, wanted, folder).collect()))
+    assert got == Counter(entries)
+    assert warc.find_entries(directory.limit(0), wanted, folder).count() == 0
+
+
 def test_lookup_finds_keys_that_start_with_other_keys(spark, tmp_path):
     rng = random.Random(5)
     paths = ["doc", "doc (2)", "doc - copy", "doc 0", "doc 9", "doc\x01", "doc\x00", "doc\x00\x01", "doc  ", "docs"]
