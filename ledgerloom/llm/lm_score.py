@@ -154,7 +154,7 @@ class Automaton:
     """
 
     def __init__(self, t: BlockTokens, counts: dict[int, np.ndarray], weights: Weights) -> None:
-        self.tokens, self.counts = t, counts
+        self.tokens = t
         words, pairs, triples = (counts[k] for k in (WORDS, PAIRS, TRIPLES))
         n = len(words)
         self.width = n
@@ -179,22 +179,28 @@ class Automaton:
             PAIRS: pair_state,
             TRIPLES: pair_state[t.triple_pair],
         }
+        # The order of the arc each token takes: a word after a known state that has no arc for it
+        # fails until one has, so shorter arcs are looked up only where longer ones are missing.
+        known2 = ((pairs > 0) & (after[t.pair_history] > 0))[t.pair]
+        known3 = np.zeros(len(t.token), bool)
+        known3[t.inner] = (triples > 0)[t.triple[t.inner]]
+        known3[1:] &= known2[1:] & known2[:-1]
+        self.taken = {TRIPLES: known3, PAIRS: known2 & ~known3, WORDS: ~known2}
         self.failure_state = array("q", np.concatenate([[ROOT], np.full(n, ROOT), word_state[t.pair_token]]).tobytes())
         self.failure_weight = array("d", np.log10(np.concatenate([[1.0], fail2, fail3])).tobytes())
         self.start = START + 1 if after[START] else ROOT
 
-    def arcs(self, a: int, b: int) -> dict[int, tuple[int, float]]:
-        """The arcs that tokens a to b may take, by state * width + token."""
-        t, out = self.tokens, {}
-        for kind, met_here in ((WORDS, t.token), (PAIRS, t.pair), (TRIPLES, t.triple)):
-            ids = np.unique(met_here[a:b])
-            ids = ids[ids >= 0]
-            if kind != WORDS:
-                ids = ids[self.counts[kind][ids] > 0]  # the root alone knows every word
-            keys = self.origins[kind][ids] * self.width + self.labels[kind][ids]
-            ends = zip(self.targets[kind][ids].tolist(), self.arc_weights[kind][ids].tolist(), strict=True)
-            out.update(zip(keys.tolist(), ends, strict=True))
-        return out
+    def arcs(self, a: int, b: int) -> tuple[dict[int, int], list[int], list[float]]:
+        """The arcs that tokens a to b take: state * width + token to a number, by it targets and weights."""
+        t = self.tokens
+        keys, targets, weights = [], [], []
+        for kind, ngram in ((WORDS, t.token), (PAIRS, t.pair), (TRIPLES, t.triple)):
+            ids = np.unique(ngram[a:b][self.taken[kind][a:b]])
+            keys.append(self.origins[kind][ids] * self.width + self.labels[kind][ids])
+            targets.append(self.targets[kind][ids])
+            weights.append(self.arc_weights[kind][ids])
+        numbered = {key: k for k, key in enumerate(np.concatenate(keys).tolist())}
+        return numbered, np.concatenate(targets).tolist(), np.concatenate(weights).tolist()
 
     def walk(self) -> list[float]:
         """The score of every text, in one pass over all tokens."""
@@ -202,13 +208,13 @@ class Automaton:
         width, failure_state, failure_weight = self.width, self.failure_state, self.failure_weight
         state, score = self.start, 0.0
         for a in range(0, len(self.tokens.token), WALK_TOKENS):
-            arcs = self.arcs(a, a + WALK_TOKENS)
+            arcs, targets, weights = self.arcs(a, a + WALK_TOKENS)
             for token in self.tokens.token[a : a + WALK_TOKENS].tolist():
                 while (arc := arcs.get(state * width + token)) is None:
                     score += failure_weight[state]
                     state = failure_state[state]
-                state = arc[0]
-                score += arc[1]
+                state = targets[arc]
+                score += weights[arc]
                 if token == END:
                     scores.append(score)
                     state, score = self.start, 0.0
