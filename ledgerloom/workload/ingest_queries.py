@@ -7,6 +7,8 @@ total lines), the texts of ``documents`` and the pages of ``pages``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ledgerloom.functions import text as tx
 from ledgerloom.functions.indexing import block_of
 from ledgerloom.operators import csv, headers
 from ledgerloom.plans.decoding import Decoded, decode_lines, parse_lines
-from ledgerloom.session import materialize
+from ledgerloom.session import materialize, shared_dir
 from ledgerloom.sources import statement_files as files
 from ledgerloom.sources.tables import read_table, read_with_position
 from ledgerloom.workload.registry import query, with_
@@ -97,16 +99,46 @@ def statement_rows(spark: SparkSession, sf: str) -> DataFrame:
     return parse_lines(statement_lines(spark, sf))[0].where("cells is not null")
 
 
+# Letters that write an English text in Cyrillic.
+_LATIN = "abcdefghijklmnopqrstuvwxyz"
+_CYRILLIC = "абцдефгхийклмнопярстувжыщз"
+_LATIN, _CYRILLIC = _LATIN + _LATIN.upper(), _CYRILLIC + _CYRILLIC.upper()
+
+
+def document_files(spark: SparkSession, sf: str) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """Documents as files ``(file_id, t, kind)``, and a function from a text column to a file's bytes.
+
+    English texts are written in Cyrillic, as code page 1251; German ones as
+    Latin-1, which no detection knows; those of other languages and with other
+    characters as UTF-8.
+    """
+    t = F.when(F.col("lang") == "en", F.translate("text", _LATIN, _CYRILLIC)).otherwise(F.col("text"))
+    d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), t.alias("t"), "lang")
+    latin1 = ~F.col("t").rlike(r"[^\x00-\xff]")
+    kind = (
+        F.when((F.col("lang") == "en") & files.fits_cp1251(F.col("t")), "cyrillic")
+        .when((F.col("lang") == "de") & latin1, "latin")
+        .otherwise("utf-8")
+    )
+
+    def written(text: Column) -> Column:
+        return (
+            F.when(F.col("kind") == "cyrillic", files.to_cp1251(text))
+            .when(F.col("kind") == "latin", F.encode(text, "ISO-8859-1"))
+            .otherwise(F.encode(text, "UTF-8"))
+        )
+
+    return d.select("file_id", "t", kind.alias("kind")), written
+
+
 def document_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as single-byte files, line by line; characters outside
-    Latin-1 become question marks."""
-    d = read_table(spark, sf, "documents")
-    plain = F.regexp_replace("text", r"[^\u0000-ÿ]", "?")
-    return d.select(F.col("doc_id").alias("file_id"), F.posexplode(F.split(plain, "\n")).alias("n", "l")).select(
+    """The bytes of ``document_files``, line by line."""
+    d, written = document_files(spark, sf)
+    return d.select("file_id", "kind", F.posexplode(F.split("t", "\n")).alias("n", "l")).select(
         "file_id",
         F.col("n").cast("long").alias("src_row"),
         block_of(F.col("n")).alias("row_block"),
-        F.encode("l", "ISO-8859-1").alias("line"),
+        written(F.col("l")).alias("line"),
     )
 
 
@@ -138,35 +170,59 @@ def a1(spark: SparkSession, sf: str) -> DataFrame:
     return files.route(lines.withColumn("line", F.col("l").cast("binary")))
 
 
-_CP1251_LETTERS = "".join(
-    chr(b) for b in range(0x80, 0x100) if b != 0x98 and "Ѐ" <= bytes([b]).decode("cp1251") <= "ӿ"
+# Heads that files may have: a zip container, an OLE container, a byte order mark, none.
+_HEADS = ("504B0304", "D0CF11E0A1B11AE1", "EFBBBF", "")
+_NAMES = ("csv", "xlsx", "XLS", "txt", "csv")
+
+
+@query(
+    "A1_file_heads",
+    """
+WITH f AS (SELECT page_id, page_id % 4 AS h, page_id % 5 AS e FROM pages)
+SELECT 'page' || page_id || CASE e WHEN 1 THEN '.xlsx' WHEN 2 THEN '.XLS' WHEN 3 THEN '.txt' ELSE '.csv' END AS file_name,
+       CASE WHEN h = 0 THEN 'xlsx' WHEN h = 1 THEN 'xls' WHEN e = 1 THEN 'xlsx' WHEN e = 2 THEN 'xls' ELSE 'csv' END AS format,
+       (h = 0 AND e <> 1) OR (h = 1 AND e <> 2) AS mismatch FROM f
+""",
 )
+def a1_heads(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page as a file of its own, with real container heads; only the heads are read back."""
+    head = F.unhex(F.get(F.array(*map(F.lit, _HEADS)), F.col("page_id") % 4))
+    name = F.concat(F.lit("page"), F.col("page_id"), F.lit("."), F.get(F.array(*map(F.lit, _NAMES)), F.col("page_id") % 5))
+    body = F.concat(head, F.coalesce(F.encode("html", "UTF-8"), F.unhex(F.lit(""))))
+    folder = shared_dir(spark, "pages-as-files")
+    pages = read_table(spark, sf, "pages").select(name.alias("name"), body.alias("body"))
+    written = materialize(files.write_files(pages, folder), "page-files")
+    found = files.route_heads(files.heads(spark, folder)).withColumn("file_name", F.element_at(F.split("file_id", "/"), -1))
+    return found.join(written.select(F.col("name").alias("file_name")), "file_name", "left_semi").drop("file_id")
+
+
+_LATIN1_HIGH = "".join(chr(b) for b in range(0x80, 0x100) if b != 0x98)
+_CP1251_HIGH = _LATIN1_HIGH.encode("latin-1").decode("cp1251")
 _ENCODED = f"""
-WITH f AS (SELECT doc_id AS file_id, regexp_replace(text, '[^\\x00-\\x{{ff}}]', '?', 'g') AS t FROM documents),
-n AS (SELECT file_id, t, length(t) - length(translate(t, '{_CP1251_LETTERS}', '')) AS cyr,
-             length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS lat FROM f)
+WITH f AS (SELECT doc_id AS file_id, lang, CASE WHEN lang = 'en' THEN translate(text, '{_LATIN}', '{_CYRILLIC}') ELSE text END AS t FROM documents),
+k AS (SELECT *, CASE WHEN lang = 'en' AND NOT regexp_matches(translate(t, '{_CP1251_HIGH}', ''), '[^\\x00-\\x7f]') THEN 'cyrillic'
+                     WHEN lang = 'de' AND NOT regexp_matches(t, '[^\\x00-\\x{{ff}}]') THEN 'latin' ELSE 'utf-8' END AS kind FROM f),
+w AS (SELECT *, kind <> 'utf-8' AND regexp_matches(t, '[^\\x00-\\x7f]') AS wide,
+             CASE WHEN kind = 'latin' THEN translate(t, '{_LATIN1_HIGH}', '{_CP1251_HIGH}') ELSE t END AS decoded FROM k),
+n AS (SELECT *, length(decoded) - length(regexp_replace(decoded, '[\\x{{0400}}-\\x{{04ff}}]', '', 'g')) AS cyr,
+             length(decoded) - length(regexp_replace(decoded, '[A-Za-z]', '', 'g')) AS lat FROM w)
 """
 
 
 @query(
     "A2_encoding_detection",
     _ENCODED
-    + """SELECT file_id, CASE WHEN regexp_matches(t, '[^\\x00-\\x7f]') THEN 'windows-1251' ELSE 'utf-8' END AS encoding, FALSE AS bom,
- regexp_matches(t, '[^\\x00-\\x7f]') AND cyr < 0.01 * (cyr + lat) AS ambiguous FROM n""",
+    + """SELECT file_id, CASE WHEN wide THEN 'windows-1251' ELSE 'utf-8' END AS encoding, FALSE AS bom,
+ wide AND cyr < 0.01 * (cyr + lat) AS ambiguous FROM n""",
 )
 def a2(spark: SparkSession, sf: str) -> DataFrame:
     return files.encodings(document_bytes(spark, sf))
 
 
-_HIGH = [b for b in range(0x80, 0x100) if b != 0x98]
-_TO_CP1251 = f"translate(line, '{''.join(map(chr, _HIGH))}', '{bytes(_HIGH).decode('cp1251')}')"
-
-
 @query(
     "A2_decoded_lines",
-    f"""WITH f AS (SELECT doc_id AS file_id, regexp_replace(text, '[^\\x00-\\x{{ff}}]', '?', 'g') AS t FROM documents),
-l AS (SELECT file_id, regexp_matches(t, '[^\\x00-\\x7f]') AS wide, unnest(string_split(t, chr(10))) AS line, CAST(generate_subscripts(string_split(t, chr(10)), 1) - 1 AS BIGINT) AS src_row FROM f)
-SELECT file_id, src_row, CASE WHEN wide THEN {_TO_CP1251} ELSE line END AS line FROM l""",
+    _ENCODED
+    + """SELECT file_id, unnest(string_split(decoded, chr(10))) AS line, CAST(generate_subscripts(string_split(decoded, chr(10)), 1) - 1 AS BIGINT) AS src_row FROM n""",
 )
 def a2_lines(spark: SparkSession, sf: str) -> DataFrame:
     lines = document_bytes(spark, sf)
@@ -179,10 +235,11 @@ def a2_lines(spark: SparkSession, sf: str) -> DataFrame:
     + """SELECT file_id, round(CASE WHEN cyr + lat = 0 THEN 0 ELSE cyr / (cyr + lat)::DOUBLE END, 9) AS ratio FROM n""",
 )
 def i18(spark: SparkSession, sf: str) -> DataFrame:
-    plain = F.regexp_replace("text", r"[^\u0000-ÿ]", "?")
-    d = read_table(spark, sf, "documents").select(F.col("doc_id").alias("file_id"), plain.alias("t"))
-    decoded = files.from_cp1251(F.encode("t", "ISO-8859-1"))
-    return d.select("file_id", F.round(tx.cyrillic_ratio(decoded), 9).alias("ratio"))
+    d, written = document_files(spark, sf)
+    data = d.select("file_id", written(F.col("t")).alias("data"))
+    text = F.col("data").cast("string")
+    decoded = F.when(F.is_valid_utf8(text), text).otherwise(files.from_cp1251(F.col("data")))
+    return data.select("file_id", F.round(tx.cyrillic_ratio(decoded), 9).alias("ratio"))
 
 
 # ----------------------------------------------------- A3, A4: delimiter, records

@@ -9,6 +9,7 @@ from ledgerloom.functions.indexing import block_of
 from ledgerloom.operators import csv, detect
 from ledgerloom.plans import decoding
 from ledgerloom.plans.decoding import decode_files, decode_lines
+from ledgerloom.sources import statement_files as files
 
 MONO = """"Дата i час операції","Деталі операції","MCC","Сума","Валюта","Комісія","Кешбек"
 "15.01.2024 08:23:14","TEST COFFEE 1","5814","-42,00","UAH","—","0,42"
@@ -237,3 +238,41 @@ def test_field_splitting(spark):
     df = spark.createDataFrame([(k,) for k in cases], "r string")
     out = {r["r"]: r["c"] for r in df.select("r", csv.split_record(F.col("r"), F.lit(",")).alias("c")).collect()}
     assert out == cases
+
+
+def test_heads_route_files_by_their_first_bytes(spark, tmp_path):
+    contents = {
+        "a b.csv": b"PK\x03\x04rest\n\n",
+        "old.csv": bytes.fromhex("D0CF11E0A1B11AE1") + b"\n" * 5000,
+        "real.xls": bytes.fromhex("D0CF11E0A1B11AE1"),
+        "marked.csv": b"\xef\xbb\xbfDate;Sum\n",
+        "named.XLSX": b"Date;Sum\n",
+        "empty.txt": b"",
+        "short.csv": b"PK",
+    }
+    rows = spark.createDataFrame([(n, bytearray(b)) for n, b in contents.items()], "name string, body binary")
+    folder = f"file://{tmp_path}/files"
+    assert {tuple(r) for r in files.write_files(rows, folder).collect()} == {(n, len(b)) for n, b in contents.items()}
+    heads = files.heads(spark, folder)
+    name = lambda r: r.file_id.rpartition("/")[2].replace("%20", " ")
+    found = {name(r): r for r in heads.collect()}
+    assert {n: (r.file_size, bytes(r.head)) for n, r in found.items()} == {n: (len(b), b[:8]) for n, b in contents.items() if b}
+    routed = {name(r): (r.format, r.mismatch) for r in files.route_heads(heads).collect()}
+    assert routed == {
+        "a b.csv": ("xlsx", True),
+        "old.csv": ("xls", True),
+        "real.xls": ("xls", False),
+        "marked.csv": ("csv", False),
+        "named.XLSX": ("xlsx", False),
+        "short.csv": ("csv", False),
+    }
+
+
+def test_code_page_1251_there_and_back(spark):
+    text = "".join(chr(b) for b in range(1, 128)) + bytes(b for b in range(128, 256) if b != 0x98).decode("cp1251")
+    df = spark.createDataFrame([(text,), ("",), ("日本",)], "t string")
+    fits = F.col("t"), files.fits_cp1251(F.col("t")).alias("fits")
+    assert [r.fits for r in df.select(*fits).collect()] == [True, True, False]
+    data = df.limit(1).select(files.to_cp1251(F.col("t")).alias("data"))
+    row = data.select("data", files.from_cp1251(F.col("data")).alias("back")).first()
+    assert (bytes(row["data"]), row.back) == (text.encode("cp1251"), text)
