@@ -198,7 +198,9 @@ def put_batch(spark: SparkSession, path: str, new: DataFrame) -> None:
     Only the months of the batch are read and merged. The merged months are
     written to folders of their own and become valid together when the list
     gets its one new file, so a failure in between changes nothing. Rows are
-    rebalanced by month, and a large month is written by several tasks.
+    rebalanced by month, and a large month is written by several tasks. Files
+    are sorted by hash and carry a Bloom filter of their hashes, so a look-up by
+    hash skips row groups that cannot hold it.
     """
     new = materialize(new.select(*FOOTPRINT.names), "batch")
     periods = months_of(new)
@@ -206,7 +208,9 @@ def put_batch(spark: SparkSession, path: str, new: DataFrame) -> None:
         return
     merged = merge_footprints(read_store(spark, path, periods), new)
     batch = uuid.uuid4().hex
-    merged.hint("rebalance", "year", "month").write.partitionBy("year", "month").parquet(f"{path}/{_BATCHES}/batch={batch}")
+    placed = merged.hint("rebalance", "year", "month").sortWithinPartitions("year", "month", "hash")
+    files = placed.write.option("parquet.bloom.filter.enabled#hash", "true").partitionBy("year", "month")
+    files.parquet(f"{path}/{_BATCHES}/batch={batch}")
     version = max((m["version"] for m in _folders(spark, path)), default=0) + 1
     rows = [(version, year, month, batch) for year, month in periods]
     spark.createDataFrame(rows, _LIST_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/{_LIST}")

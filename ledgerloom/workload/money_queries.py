@@ -247,6 +247,11 @@ def _written_store(spark: SparkSession, sf: str) -> str:
     return path
 
 
+def saved_footprints(spark: SparkSession, sf: str) -> DataFrame:
+    """The earlier import, read back from the store."""
+    return store.read_store(spark, _written_store(spark, sf))
+
+
 @query(
     "A18_footprint_upsert",
     with_(
@@ -315,7 +320,7 @@ def a19(spark: SparkSession, sf: str) -> DataFrame:
     with_(STORED, "SELECT hash, CAST(year AS INTEGER) AS year, CAST(month AS INTEGER) AS month FROM stored WHERE category_id = 'gifts' AND is_manual = 1"),
 )
 def a20(spark: SparkSession, sf: str) -> DataFrame:
-    found = store.find_by(stored_footprints(spark, sf), "category_id", "gifts", F.col("is_manual") == 1)
+    found = store.find_by(saved_footprints(spark, sf), "category_id", "gifts", F.col("is_manual") == 1)
     return found.select("hash", "year", "month")
 
 
@@ -405,7 +410,7 @@ def a22(spark: SparkSession, sf: str) -> DataFrame:
 )
 def d7(spark: SparkSession, sf: str) -> DataFrame:
     rows = cat.with_period(hashed_txn(spark, sf))
-    known = store.of_periods(stored_footprints(spark, sf), cat.periods(txn(spark, sf)))
+    known = store.of_periods(saved_footprints(spark, sf), cat.periods(txn(spark, sf)))
     return store.mark_duplicates(rows, known).select("src_row", "dup")
 
 
@@ -419,7 +424,7 @@ FROM htxn h LEFT JOIN stored s ON s.hash = h.hash AND s.year = h.year AND s.mont
 )
 def j6(spark: SparkSession, sf: str) -> DataFrame:
     rows = cat.with_period(hashed_txn(spark, sf))
-    known = store.of_periods(stored_footprints(spark, sf), cat.periods(txn(spark, sf)))
+    known = store.of_periods(saved_footprints(spark, sf), cat.periods(txn(spark, sf)))
     return store.mark_duplicates(rows, known).groupBy("file_id").agg(
         F.count_if("dup").alias("dup"), F.count_if(~F.col("dup")).alias("fresh")
     )

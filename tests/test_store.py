@@ -120,3 +120,23 @@ def test_typicality(spark):
     amounts = [("5411", "shop", c, "food", a, "market purchase") for c in ("UAH", "USD") for a in (80.0, 90.0, 100.0, 110.0, 130.0, 150.0)]
     huge = ("5411", "shop", "USD", "food", 5000.0, "market purchase")
     assert flags(spark, [*amounts, huge]) == [12]
+
+
+def test_lookup_by_hash_skips_row_groups(spark):
+    """A hash between the stored ones is refused by the Bloom filter; no row is read."""
+    path = shared_dir(spark, "test-store")
+    entries = [(2024, 1, 1, 1.0, "x", f"{i * 7919 % 1000:06d}", 0) for i in range(0, 1000)]
+    store.put_batch(spark, path, spark.createDataFrame(entries, store.FOOTPRINT))
+
+    def scanned(value):
+        found = store.find_by(store.read_store(spark, path), "hash", value)
+        n = len(found.collect())
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        assert "EqualTo(hash" in leaf.metadata().get("PushedFilters").get()
+        return n, leaf.metrics().get("numOutputRows").get().value()
+
+    assert scanned("000500x") == (0, 0)
+    assert scanned("000500")[0] == 1
+    files = store.read_store(spark, path).withColumn("f", F.input_file_name()).withColumn("i", F.monotonically_increasing_id())
+    for r in files.groupBy("f").agg(F.sort_array(F.collect_list(F.struct("i", "hash"))).alias("h")).collect():
+        assert [x["hash"] for x in r["h"]] == sorted(x["hash"] for x in r["h"])
