@@ -284,45 +284,96 @@ def other_side(rows: DataFrame, *key: str) -> DataFrame:
     return rows.select(*key, *(F.col(c).alias("b" if c == "node" else f"{c}b") for c in rows.columns if c not in key))
 
 
-def open_pairs(placed: DataFrame, hubs: DataFrame, tested: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """All pairs ``a, b`` of different components that may still be similar.
+def contained(threshold: tuple[int, int]) -> Column:
+    """Whether the overlap ``i`` with the hub could alone make a row similar to another one at least as large."""
+    return F.col("i") * (threshold[0] + threshold[1]) >= 2 * threshold[0] * F.col("n")
 
-    Nodes that share an entry have been compared with the entry's first hub,
-    unless its size rules that out; a pair with a node that was not compared
-    stays when its own sizes fit. What two compared nodes have in common lies
-    in the hub, at most the smaller of their overlaps with it, or outside. So
-    either those overlaps alone could make them similar, or they share a token
-    that the hub lacks: the first kind is met in the entries, the second in the
-    tokens that the hub lacks, which are few and rare among edited copies.
-    """
+
+def reaching(threshold: tuple[int, int]) -> Column:
+    """Whether the overlap ``i`` with the hub could alone make a row similar to any other one."""
+    return F.col("i") * threshold[1] >= F.col("n") * threshold[0]
+
+
+def open_entries(placed: DataFrame, hubs: DataFrame, tested: DataFrame) -> DataFrame:
+    """``entry, node, n, s, c, hub, i``: the rows of open entries and what they share with the entry's first hub."""
     overlap = tested.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("common").alias("i"))
     rows = placed.select("entry", "node", "n", "s", "c").join(hubs.select("entry", F.col("b").alias("hub")), "entry")
     rows = rows.join(overlap, ["node", "hub"], "left")
-    rows = stored(rows.withColumn("i", F.when(F.col("node") == F.col("hub"), F.col("s")).otherwise(F.col("i"))), "open-entries")
-    by_size = could_be_similar(F.least("s", "sb"), threshold)
-    compared = F.col("i").isNotNull() & F.col("ib").isNotNull()  # least() skips nulls
-    in_hub = F.when(compared, could_be_similar(F.least("i", "ib"), threshold)).otherwise(True)
-    met = rows.join(other_side(rows.drop("hub"), "entry"), "entry").where(F.col("c") < F.col("cb"))
-    first = ordered_pairs(met.where(by_size & in_hub))
+    return rows.withColumn("i", F.when(F.col("node") == F.col("hub"), F.col("s")).otherwise(F.col("i")))
+
+
+def tokens_outside(rows: DataFrame, tested: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """``node, n, c, hub, i, o, p, token``: of each node's ``o`` tokens that a hub lacks, the prefix a partner must share.
+
+    A node similar to another shares ``threshold`` of its own tokens with it,
+    at most ``i`` of them in the hub. So of the ``o`` others it may lack only
+    as many as leave the rest enough, and one of the first of them is shared.
+    """
+    least = F.floor((F.col("n") * threshold[0] + threshold[1] - 1) / threshold[1])
+    need = F.greatest(F.lit(1), least - F.col("i"))
     nodes = rows.select("node", "n", "c").distinct()
-    outside = (
-        nodes.join(tested.where(F.size("rest") > 0), nodes["node"] == tested["a"])
-        .select("node", "n", "c", F.col("b").alias("hub"), F.col("common").alias("i"), F.size("rest").cast("long").alias("o"), F.explode("rest").alias("token"))
-    )
-    outside = stored(outside, "tokens-outside-hubs")
+    of = nodes.join(tested.where(F.size("rest") > 0), nodes["node"] == tested["a"])
+    of = of.select("node", "n", "c", F.col("b").alias("hub"), F.col("common").alias("i"), F.size("rest").alias("o"), "rest")
+    of = of.withColumn("need", need.cast("int")).where("o >= need")
+    prefix = F.posexplode(F.slice("rest", F.lit(1), F.col("o") - F.col("need") + 1)).alias("p", "token")
+    return of.select("node", "n", "c", "hub", "i", "o", prefix)
+
+
+def open_pairs(placed: DataFrame, hubs: DataFrame, tested: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """All pairs ``a, b`` of different components that may still be similar.
+
+    Nodes that share an entry have been compared with the entry's first hub; in
+    an entry of few nodes only where sizes fit, so a node that was not compared
+    meets the others there. What two compared nodes have in common lies in the
+    hub, at most the smaller of their overlaps with it, or outside.
+
+    Either those overlaps alone could make them similar: then the smaller node
+    lies in the hub nearly as a whole (``contained``) and the other one for the
+    most part, so only such rows meet. Or they share tokens that the hub lacks:
+    they meet in a prefix of these, and the places of the last one that they
+    share bound how many more there can be.
+    """
+    rows = stored(open_entries(placed, hubs, tested), "open-entries")
+    by_size = could_be_similar(F.least("s", "sb"), threshold)
+    in_hub = could_be_similar(F.least("i", "ib"), threshold)
+    apart = F.col("c") != F.col("cb")
+    others = other_side(rows.drop("hub"), "entry")
+    alone = rows.where("i is null").join(others, "entry").where(apart & by_size)
+    larger = other_side(rows.where(reaching(threshold)).drop("hub"), "entry")
+    inside = rows.where(contained(threshold)).join(larger, "entry").where(apart & by_size & in_hub & (F.col("n") <= F.col("nb")))
+    outside = stored(tokens_outside(rows, tested, threshold), "tokens-outside-hubs")
     met = outside.join(other_side(outside, "hub", "token"), ["hub", "token"]).where(F.col("c") < F.col("cb"))
-    most = F.least("i", "ib") + F.least("o", "ob")
+    both, later = F.least("i", "ib"), F.least(F.col("o") - F.col("p"), F.col("ob") - F.col("pb")) - 1
     counted = (
-        met.where(could_be_similar(most, threshold))
-        .groupBy("hub", "node", "b", "n", "nb", F.least("i", "ib").alias("i"))
-        .agg(F.count(F.lit(1)).alias("more"))
+        met.where(could_be_similar(both + F.least("o", "ob"), threshold))
+        .groupBy("hub", "node", "b", "n", "nb", both.alias("i"))
+        .agg(F.count(F.lit(1)).alias("more"), F.min(later).alias("later"))
     )
-    second = ordered_pairs(counted.where(could_be_similar(F.col("i") + F.col("more"), threshold)))
-    return first.unionByName(second).distinct()
+    beside = counted.where(could_be_similar(F.col("i") + F.col("more") + F.col("later"), threshold))
+    return ordered_pairs(alone).unionByName(ordered_pairs(inside)).unionByName(ordered_pairs(beside)).distinct()
 
 
-def node_components(sets: DataFrame, threshold: tuple[int, int], rounds: int) -> DataFrame:
-    """``node, component`` of all nodes that have a link."""
+def followers(linked: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """``node, head``: nodes that need no search, since a linked node has the same partners.
+
+    Nodes with the same shared tokens differ in tokens of their own only. The
+    one with the fewest, the head, is similar to all that any of the others is
+    similar to. So those that are similar to the head itself just follow it.
+    """
+    core = F.md5("tokens").alias("core")
+    nodes = linked.select("node", F.col("n_shingles").alias("n"), F.expr("length(tokens) div 8").alias("s"), core).distinct()
+    head = F.min(F.struct("n", "node"))
+    heads = nodes.groupBy("core").agg(head.alias("head"), F.count(F.lit(1)).alias("nodes")).where("nodes > 1")
+    met = nodes.join(heads.select("core", F.col("head.node").alias("head"), F.col("head.n").alias("nb")), "core")
+    return met.where(F.col("node") != F.col("head")).where(could_be_similar(F.col("s"), threshold)).select("node", "head")
+
+
+def node_components(sets: DataFrame, threshold: tuple[int, int], rounds: int, few: int = FREQUENT) -> DataFrame:
+    """``node, component`` of all nodes that have a link.
+
+    In an entry of more than ``few`` nodes all are compared with the hub, in a
+    smaller one those whose sizes fit.
+    """
     entries = stored(index_entries(sets, threshold), "index-entries")
     known: DataFrame | None = None
     first_hubs: DataFrame | None = None
@@ -339,13 +390,17 @@ def node_components(sets: DataFrame, threshold: tuple[int, int], rounds: int) ->
             )
         ranked = placed.withColumn("o", hub_order(turn))
         hub = F.min(F.struct("o", "node", "n", "s", "c")).alias("hub")
-        hubs = ranked.groupBy("entry").agg(F.min("c").alias("low"), F.max("c").alias("high"), hub).where("low < high")
+        hubs = ranked.groupBy("entry").agg(
+            F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("rows"), hub
+        ).where("low < high")
         named = (("node", "b"), ("n", "nb"), ("s", "sb"), ("c", "cb"))
-        hubs = stored(hubs.select("entry", *(F.col(f"hub.{x}").alias(y) for x, y in named)), "entry-hubs")
+        hubs = stored(hubs.select("entry", "rows", *(F.col(f"hub.{x}").alias(y) for x, y in named)), "entry-hubs")
         if hubs.isEmpty():
             break
         by_size = could_be_similar(F.least("s", "sb"), threshold)
-        with_hub = placed.join(hubs, "entry").where(F.col("c") != F.col("cb")).where(by_size)
+        with_hub = placed.join(hubs, "entry").where(F.col("c") != F.col("cb"))
+        crowded = F.lit(turn == 0) & (F.col("rows") > few)
+        with_hub = with_hub.where(by_size | crowded)
         if turn == 0:
             pairs = with_hub.select(F.col("node").alias("a"), "b").distinct()
             first_hubs, tested = hubs, stored(compared_with_hubs(pairs, sets, threshold), "compared")
@@ -401,10 +456,13 @@ def near_duplicates(
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
     sets = document_sets(rows, words, threshold, frequent, block_chars)
     linked = sets.where("node is not null")
-    nodes = stored(linked.dropDuplicates(["node"]).drop("doc_id"), "nodes")
-    known = node_components(nodes, threshold, rounds)
+    follow = stored(followers(linked, threshold), "followers")
+    nodes = stored(linked.dropDuplicates(["node"]).drop("doc_id").join(follow, "node", "left_anti"), "nodes")
+    known = node_components(nodes, threshold, rounds, frequent)
     ids = linked.groupBy("node").agg(F.min("doc_id").alias("least"))
-    placed = ids.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = ids.join(follow, "node", "left").withColumn("head", F.coalesce("head", "node"))
+    placed = ids.join(known.withColumnRenamed("node", "head"), "head", "left")
+    placed = placed.select("node", "least", F.coalesce("component", "head").alias("component"))
     placed = stored(placed, "placed-nodes")
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     named = stored(placed.join(least, "component").select("node", "component_id"), "named-nodes")

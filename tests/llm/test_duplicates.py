@@ -193,6 +193,45 @@ def test_texts_of_shared_passages(spark, tmp_path, seed, frequent):
     assert sorted(str(tuple(r)) for r in got) == brute_components(rows)
 
 
+def passage_texts(texts, passages, each):
+    """Texts that hold ``each`` of the passages of 60 words and a short tail of their own."""
+    rng = random.Random(texts)
+    shared = [" ".join(f"p{k}w{i}" for i in range(60)) for k in range(passages)]
+    tail = lambda n: " ".join(f"t{n}x{i}" for i in range(14))
+    return [(n, " ".join([*(shared[k] for k in sorted(rng.sample(range(passages), each))), tail(n)])) for n in range(texts)]
+
+
+@pytest.mark.parametrize("passages, each", [(1, 1), (12, 4)])
+def test_pairs_met_on_shared_passages_do_not_grow_with_the_square(spark, tmp_path, monkeypatch, passages, each):
+    real, frames = ngram_join.stored, {}
+
+    def recorded(df, name):
+        frames[name] = real(df, name)
+        return frames[name]
+
+    monkeypatch.setattr(ngram_join, "stored", recorded)
+    met = {}
+    for texts in (500, 1000, 2000):
+        frames.clear()
+        rows = passage_texts(texts, passages, each)
+        df = stored(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path / str(texts))
+        got = ngram_join.near_duplicates(df).collect()
+        if texts == 500:
+            assert sorted(str(tuple(r)) for r in got) == brute_components(rows)
+        open_rows, outside = frames.get("open-entries"), frames.get("tokens-outside-hubs")
+        met[texts] = 0
+        if open_rows is not None:
+            small, large = ngram_join.contained((75, 100)), ngram_join.reaching((75, 100))
+            per_entry = open_rows.groupBy("entry").agg(
+                F.count_if(small).alias("a"), F.count_if(large).alias("b"), F.count_if(F.col("i").isNull()).alias("u"), F.count("*").alias("m")
+            )
+            per_token = outside.groupBy("hub", "token").count()
+            met[texts] += per_entry.agg(F.sum(F.expr("a * b + u * m"))).first()[0] or 0
+            met[texts] += per_token.agg(F.sum(F.expr("count * count"))).first()[0] or 0
+    print(met)
+    assert met[2000] <= 2.2 * max(met[1000], 500)
+
+
 def test_near_copies_edges(spark, docs):
     rows = [(r.doc_id, r.text) for r in documents(spark).collect()]
     assert sorted(str(tuple(r)) for r in ngram_join.near_duplicates(docs).collect()) == brute_components(rows)
