@@ -601,7 +601,12 @@ def e23(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "B30_review_echo",
-    with_(OPS, f"SELECT o.file_id, o.source_row AS row_index, round(abs(m.c_amount), 4) AS amount, m.c_currency AS currency, m.c_details AS description, CASE WHEN m.c_date IS NOT NULL THEN {_YEAR2000.replace('layout', 'm.layout').replace('c_date', 'm.c_date')} END AS date FROM ops o JOIN main m ON m.file_id = o.file_id AND m.row_index = o.source_row WHERE o.state = 'error'"),
+    with_(
+        OPS,
+        f"""SELECT file_id, row_index, round(abs(c_amount), 4) AS amount, c_currency AS currency, c_details AS description, CASE WHEN c_date IS NOT NULL THEN {_YEAR2000} END AS date
+FROM (SELECT *, unnest(range(CAST(skip IS NULL AND err IS NOT NULL AS INTEGER) + CASE WHEN skip IS NOT NULL AND c_date IS NULL THEN
+  CAST(c_commission IS NOT NULL AS INTEGER) + CAST(c_cashback IS NOT NULL AS INTEGER) ELSE 0 END)) AS copy FROM main)""",
+    ),
 )
 def b30(spark: SparkSession, sf: str) -> DataFrame:
     rows = materialize(typed_choice(spark, sf), "typed")
@@ -620,8 +625,10 @@ def reviewed(spark: SparkSession, sf: str) -> DataFrame:
 
 _REVIEW = OPS + """,
 rv AS (
-  SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY source_row, kind_order) - 1 AS row_index, state, amount, kind = 'commission' AS dup, CASE WHEN mcc = '0011' THEN 'food' END AS category_id, reason FROM ops WHERE state = 'ok'
-  UNION ALL SELECT o.file_id, source_row, o.state, abs(m.c_amount), NULL, NULL, reason FROM ops o JOIN main m ON m.file_id = o.file_id AND m.row_index = o.source_row WHERE state <> 'ok')
+  SELECT file_id, state, reason,
+         CASE WHEN state = 'ok' THEN row_number() OVER (PARTITION BY file_id, state = 'ok' ORDER BY source_row, kind_order) - 1 ELSE source_row END AS row_index,
+         CASE WHEN state = 'ok' THEN amount ELSE max(amount) FILTER (WHERE kind = 'main') OVER (PARTITION BY file_id, source_row) END AS amount,
+         CASE WHEN state = 'ok' THEN kind = 'commission' END AS dup, CASE WHEN state = 'ok' AND mcc = '0011' THEN 'food' END AS category_id FROM ops)
 """
 
 
@@ -649,7 +656,7 @@ def e10(spark: SparkSession, sf: str) -> DataFrame:
     return review.summary(reviewed(spark, sf))
 
 
-@query("C36_review_filter", with_(_REVIEW, "SELECT file_id, row_index, state, reason FROM rv WHERE state IN ('error', 'skipped')"))
+@query("C36_review_filter", with_(OPS, "SELECT file_id, source_row AS row_index, state, reason FROM ops WHERE state IN ('error', 'skipped')"))
 def c36(spark: SparkSession, sf: str) -> DataFrame:
     return review.by_state(reviewed(spark, sf), ["error", "skipped"]).select("file_id", "row_index", "state", "reason")
 
@@ -672,12 +679,17 @@ def h1(spark: SparkSession, sf: str) -> DataFrame:
 # --------------------------------------------------------------- D8-D10, E5, I15
 
 
+def text_words(spark: SparkSession, sf: str) -> DataFrame:
+    """All words of all documents, one row each."""
+    d = read_table(spark, sf, "documents")
+    return d.select("doc_id", "lang", "source", "n_chars", F.explode(F.split("text", "[ \n]")).alias("name"))
+
+
 def pool(spark: SparkSession, sf: str) -> DataFrame:
-    """Remembered headers: the words that start a document of two languages."""
-    first = F.split(F.split("text", "\n")[0], " ")[0]
-    d = read_table(spark, sf, "documents").where("lang in ('en', 'fr')").groupBy(tx.normalize_key(first).alias("column_name")).agg(
-        F.max("lang").alias("lang")
-    )
+    """Remembered headers: the words that start a line of any document."""
+    d = read_table(spark, sf, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
+    first = d.groupBy(F.split("line", " ")[0].alias("name")).agg(F.max("lang").alias("lang"))
+    d = first.groupBy(tx.normalize_key(F.col("name")).alias("column_name")).agg(F.max("lang").alias("lang"))
     params = F.struct(F.lit("auto").alias("format"))
     return d.where("column_name is not null").select(
         "column_name", F.when(F.col("lang") == "en", m.DATE).otherwise(m.DESCRIPTION).alias("definition"), params.alias("params")
@@ -685,17 +697,16 @@ def pool(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def header_words(spark: SparkSession, sf: str) -> DataFrame:
-    """The first twelve-odd words of each document's first line as headers of
-    a file per source."""
-    d = read_table(spark, sf, "documents")
-    words = F.split(F.split("text", "\n")[0], " ")
-    return d.select(F.col("source").alias("file_id"), F.explode(words).alias("name"))
+    """The words of whole texts as headers of a file per source."""
+    return text_words(spark, sf).select(F.col("source").alias("file_id"), "name")
 
 
-_POOL = """
-heads AS (SELECT source AS file_id, unnest(string_split(string_split(text, chr(10))[1], ' ')) AS name FROM documents),
-hk AS (SELECT file_id, name, nfc_normalize(trim(name, ' ' || chr(9) || chr(13) || chr(160))) AS key FROM heads),
-pool AS (SELECT nfc_normalize(trim(string_split(string_split(text, chr(10))[1], ' ')[1], ' ' || chr(9) || chr(13) || chr(160))) AS key, CASE WHEN max(lang) = 'en' THEN 'DATE' ELSE 'DESCRIPTION' END AS definition FROM documents WHERE lang IN ('en', 'fr') GROUP BY 1)
+_KEY = "nfc_normalize(trim({}, ' ' || chr(9) || chr(13) || chr(160)))"
+_POOL = f"""
+words AS MATERIALIZED (SELECT doc_id, lang, source, n_chars, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS name FROM documents),
+hk AS (SELECT source AS file_id, name, {_KEY.format("name")} AS key FROM words),
+starts AS (SELECT lang, string_split(unnest(string_split(text, chr(10))), ' ')[1] AS name FROM documents),
+pool AS (SELECT {_KEY.format("name")} AS key, CASE WHEN max(lang) = 'en' THEN 'DATE' ELSE 'DESCRIPTION' END AS definition FROM starts GROUP BY 1)
 """
 
 
@@ -711,14 +722,14 @@ def e5(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def incoming(spark: SparkSession, sf: str) -> DataFrame:
-    """New mappings for the words that start a document of any language."""
-    first = F.split(F.split("text", "\n")[0], " ")[0]
-    d = read_table(spark, sf, "documents").groupBy(tx.normalize_key(first).alias("key")).agg(F.max("n_chars").alias("n"))
+    """New mappings for all words of all documents."""
+    d = text_words(spark, sf).groupBy("name").agg(F.max("n_chars").alias("n"))
+    d = d.groupBy(tx.normalize_key(F.col("name")).alias("key")).agg(F.max("n").alias("n"))
     fmt = F.when(F.col("n") > 2000, "yyyy-MM-dd").otherwise("auto")
     return d.select("key", F.lit(m.DATE).alias("definition"), F.struct(fmt.alias("format")).alias("params"))
 
 
-_INCOMING = _POOL + """, inc AS (SELECT nfc_normalize(trim(string_split(string_split(text, chr(10))[1], ' ')[1], ' ' || chr(9) || chr(13) || chr(160))) AS key, max(n_chars) AS n FROM documents GROUP BY 1)
+_INCOMING = _POOL + f""", inc AS (SELECT {_KEY.format("name")} AS key, max(n_chars) AS n FROM words GROUP BY 1)
 """
 
 
@@ -736,18 +747,18 @@ def d9_save(spark: SparkSession, sf: str) -> DataFrame:
     "D10_recall_confirm",
     with_(
         _POOL,
-        """, w AS (SELECT nfc_normalize(trim(string_split(string_split(text, chr(10))[1], ' ')[1], ' ' || chr(9) || chr(13) || chr(160))) AS key, arg_max(lang, doc_id) AS definition FROM documents GROUP BY 1)
+        f""", w AS (SELECT {_KEY.format("name")} AS key, arg_max(lang, doc_id) AS definition FROM words GROUP BY 1)
 SELECT key AS column_name, definition FROM w UNION ALL SELECT key, definition FROM pool WHERE key NOT IN (SELECT key FROM w)""",
     ),
 )
 def d10(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document confirms its first word; the latest document wins."""
-    first = F.split(F.split("text", "\n")[0], " ")[0]
-    writes = read_table(spark, sf, "documents").select(
-        tx.normalize_key(first).alias("column_name"),
-        F.col("lang").alias("definition"),
+    """Every document confirms its words; the latest document wins."""
+    newest = text_words(spark, sf).groupBy("name").agg(F.max(F.struct("doc_id", "lang")).alias("d"))
+    writes = newest.select(
+        tx.normalize_key(F.col("name")).alias("column_name"),
+        F.col("d.lang").alias("definition"),
         F.struct(F.lit("auto").alias("format")).alias("params"),
-        F.col("doc_id").alias("updated_at"),
+        F.col("d.doc_id").alias("updated_at"),
     )
     return recall.confirm(pool(spark, sf), writes).select("column_name", "definition")
 
