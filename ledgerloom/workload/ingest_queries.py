@@ -292,22 +292,24 @@ def a4_issues(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "A4_html_pages_as_csv",
     """
-WITH l AS (SELECT page_id AS file_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) - 1 AS n FROM pages)
-SELECT file_id, n AS src_row, len(string_split(line, ',')) AS width, line AS joined FROM l WHERE line <> '' AND NOT regexp_matches(',' || line, ',"')
+WITH l AS (SELECT page_id AS file_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) - 1 AS n FROM pages),
+f AS (SELECT file_id, n, list_transform(regexp_extract_all(',' || line, ',(?:"(?:[^"]|"")*"[^,]*|"(?:[^"]|"")*$|[^,]*)'), lambda x: x[2:]) AS fields FROM l WHERE line <> ''),
+q AS (SELECT *, list_transform(fields, lambda x: regexp_extract(x, '^"(?:[^"]|"")*"')) AS quoted FROM f)
+SELECT file_id, n AS src_row, len(fields) AS width, array_to_string(list_transform(list_zip(fields, quoted), lambda z:
+  CASE WHEN z[2] <> '' THEN replace(z[2][2:len(z[2]) - 1], '""', '"') || z[1][len(z[2]) + 1:] WHEN z[1][1] = '"' THEN replace(z[1][2:], '""', '"') ELSE z[1] END), chr(31)) AS cells FROM q
 """,
 )
 def a4_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages hold many bare quotes; without a quoted field every comma splits
-    and joining the cells gives the line back."""
+    """Every line of a page as a record: markup holds quoted fields, bare and
+    open quotes in plenty."""
     p = read_table(spark, sf, "pages")
     lines = p.select(F.col("page_id").alias("file_id"), F.posexplode(F.split("html", "\n")).alias("n", "line"))
     rows = lines.where("line <> ''").withColumn("cells", csv.split_record(F.col("line"), F.lit(",")))
-    plain = rows.where(~F.concat(F.lit(","), "line").contains(',"'))
-    return plain.select(
+    return rows.select(
         "file_id",
         F.col("n").cast("long").alias("src_row"),
         F.size("cells").cast("long").alias("width"),
-        F.array_join("cells", ",").alias("joined"),
+        F.array_join("cells", "\u001f").alias("cells"),
     )
 
 
