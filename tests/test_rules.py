@@ -122,3 +122,18 @@ def test_no_rule_set_travels_in_a_row(spark):
     index = ops.rule_index(spark.createDataFrame(rows, RULES)).collect()
     assert max(len(r["rules"]) for r in index) <= 111 and {r["kind"] for r in index} == {"head", "gram"}
     assert winners(spark, rows)[1] == 900
+
+
+def test_rules_that_never_win_are_not_met(spark):
+    """A rule behind one that accepts every row, or behind the same conditions, can never win."""
+    shop, mcc = condition("description", "contains", "shop"), condition("mcc", "equals", "5411")
+    rows = [("a", i, 0, "c", [shop, mcc] if i % 2 else [mcc, shop]) for i in range(300)]
+    rows += [("a", 400, 0, "all", None), ("a", 300, 0, "c", [condition("account", "equals", "k")])]
+    rows += [("a", i, 1, "late", [condition("description", "matches", f"{i}$")]) for i in range(500, 900)]
+    rows += [("b", i, 0, "c", [mcc]) for i in (7, 6)] + [("b", None, 0, "c", [mcc])]
+    found = ops.reachable_rules(spark.createDataFrame(rows, RULES)).collect()
+    assert {r["rule_id"] for r in found if r["ruleset_id"] == "a"} == {0, 300, 400}
+    assert sum(r["ruleset_id"] == "b" for r in found) == 3  # a rule without an id leaves its set whole
+    assert winners(spark, rows[:-1]) == {1: 0, 2: 400, 3: 6}
+    index = ops.rule_index(ops.reachable_rules(spark.createDataFrame(rows[:-1], RULES)))
+    assert sum(len(r["rules"]) for r in index.collect()) == 4
