@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import rules as ops
 from ledgerloom.operators.conditions import Condition, Rule
@@ -137,3 +138,26 @@ def test_rules_that_never_win_are_not_met(spark):
     assert winners(spark, rows[:-1]) == {1: 0, 2: 400, 3: 6}
     index = ops.rule_index(ops.reachable_rules(spark.createDataFrame(rows[:-1], RULES)))
     assert sum(len(r["rules"]) for r in index.collect()) == 4
+
+
+def test_traces_are_worked_out_once_per_rule_set_and_met_conditions(spark, monkeypatch):
+    stored = {}
+    plain = ops.materialize
+    monkeypatch.setattr(ops, "materialize", lambda df, name: stored.setdefault(name, plain(df, name)))
+    shop, mcc = condition("description", "contains", "shop"), condition("mcc", "equals", "5411")
+    rows = [("a", 1, 0, "x", [shop, mcc]), ("a", 2, 1, "y", [mcc]), ("b", 3, 0, "z", [])]
+    one = ("shop", "cafe", None)
+    made = [(s, i, None, float(i), "UAH", f"{one[i % 3]} {i}" if one[i % 3] else None, None, None, None, "5411", False, False) for i, s in enumerate(["a", "b", "none", None] * 30)]
+    frame = spark.createDataFrame(made, TXN)
+    literal = [Rule(1, 0, "x", (Condition("description", "contains", "shop"), Condition("mcc", "equals", "5411"))), Rule(2, 1, "y", (Condition("mcc", "equals", "5411"),))]
+    want = {r["id"]: r["trace"] for r in ops.with_trace(frame.where("ruleset_id = 'a'"), literal).collect()}
+    rules = spark.createDataFrame(rows, RULES)
+    told = ops.why(frame, rules, F.when(F.col("id") == 0, "m"), [F.size("trace").alias("n"), F.to_json("trace").alias("text")])
+    assert told.columns == [*frame.columns, "n", "text", "manual_category", "winner_rule_id"]
+    got = {r["id"]: r for r in told.collect()}
+    assert len(got) == 120 and stored["traces"].count() == 5  # two in a, one in b and each kind of row without a set
+    assert {s: {got[i]["n"] for i in got if got[i]["ruleset_id"] == s} for s in ("a", "b", "none", None)} == {"a": {2}, "b": {1}, "none": {0}, None: {0}}
+    assert [got[i]["winner_rule_id"] for i in (0, 4, 12, 1, 2)] == [None, 2, 1, 3, None]
+    stored.clear()
+    traced = {r["id"]: r["trace"] for r in ops.with_trace_by_set(frame, rules).collect()}
+    assert {i: traced[i] for i in want} == want and traced[2] == traced[3] == []
