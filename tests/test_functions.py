@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import currency as cur
 from ledgerloom.functions import indexing, stats
 from ledgerloom.functions import text as tx
-from ledgerloom.functions.dates import DATE_FORMATS, parse_date
+from ledgerloom.functions.dates import DATE_FORMATS, date_layout, date_part, parse_date, parse_date_at, parse_date_by
 from ledgerloom.functions.numbers import parse_number
 from ledgerloom.operators.conditions import UnsafePattern, check_pattern
 
@@ -143,3 +143,15 @@ def test_files_without_rows_are_schema_errors(spark):
     files = spark.createDataFrame([(1,), (2,), (3,)], "file_id long")
     found = {(r["file_id"], r["reason"]) for r in headers.schema_errors(rows, files).collect()}
     assert found == {(2, "different-columns"), (3, "no-rows")}
+
+
+def test_dates_by_layout_equal_dates_by_format(spark):
+    texts = [
+        "31.12.2024", "12/31/24 10:00", "2024-02-29T01", "2023-02-29", "0000-01-01", "00/01/01", "20240131", "1.1.2024",
+        "", " 2024-01-01", "٢٠٢٤-01-01", "2024-01-01\n", "13/13/2024", "9999/12/31", None,
+    ]
+    rows = [(t, f) for t in texts for f in (*DATE_FORMATS, "auto", None)]
+    df = spark.createDataFrame(rows, "t string, f string")
+    by_format, by_layout = parse_date_by(F.col("t"), F.col("f")), parse_date_at(date_part(F.col("t")), date_layout(F.col("f")))
+    wrong = df.select("t", "f", by_format.cast("string").alias("a"), by_layout.cast("string").alias("b")).where("not a <=> b")
+    assert wrong.collect() == []
