@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.identity import KEY_BITS, with_key_bits
 from ledgerloom.model import FOOTPRINT, FOOTPRINT_KEY
 from ledgerloom.session import materialize
 
@@ -182,10 +183,10 @@ def of_periods(footprints: DataFrame, wanted: DataFrame, manual_only: bool = Fal
 def mark_duplicates(txns: DataFrame, existing: DataFrame) -> DataFrame:
     """Flag rows whose key is stored already; copies inside the batch carry
     different hashes and therefore stay new."""
-    stored = existing.select(*FOOTPRINT_KEY).distinct().withColumn("_stored", F.lit(True))
-    return txns.join(stored, list(FOOTPRINT_KEY), "left").withColumn(
-        "dup", F.coalesce("_stored", F.lit(False))
-    ).drop("_stored")
+    stored = with_key_bits(existing.dropna(subset=list(FOOTPRINT_KEY)), FOOTPRINT_KEY).select(*KEY_BITS).distinct()
+    rows = with_key_bits(txns, FOOTPRINT_KEY).join(stored.withColumn("_stored", F.lit(True)), list(KEY_BITS), "left")
+    others = [c for c in txns.columns if c not in (*FOOTPRINT_KEY, "dup")]
+    return rows.select(*FOOTPRINT_KEY, *others, F.coalesce("_stored", F.lit(False)).alias("dup"))
 
 
 class RatesMissing(RuntimeError):
@@ -202,14 +203,14 @@ def put_batch(spark: SparkSession, path: str, new: DataFrame) -> None:
     are sorted by hash and carry a Bloom filter of their hashes, so a look-up by
     hash skips row groups that cannot hold it.
     """
-    new = materialize(new.select(*FOOTPRINT.names), "batch")
+    new = materialize(new.select(*FOOTPRINT.names), "batch", compression="zstd")
     periods = months_of(new)
     if not periods:
         return
     merged = merge_footprints(read_store(spark, path, periods), new)
     batch = uuid.uuid4().hex
     placed = merged.hint("rebalance", "year", "month").sortWithinPartitions("year", "month", "hash")
-    files = placed.write.option("parquet.bloom.filter.enabled#hash", "true").partitionBy("year", "month")
+    files = placed.write.options(**{"parquet.bloom.filter.enabled#hash": "true", "compression": "zstd"}).partitionBy("year", "month")
     files.parquet(f"{path}/{_BATCHES}/batch={batch}")
     version = max((m["version"] for m in _folders(spark, path)), default=0) + 1
     rows = [(version, year, month, batch) for year, month in periods]
