@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from ledgerloom import model as m
 from ledgerloom.functions import identity
 from ledgerloom.functions.numbers import parse_number
+from ledgerloom.operators import categorize as cat
 from ledgerloom.operators import columns as col
+from ledgerloom.operators import convert
 from ledgerloom.operators import transactions as tr
-from ledgerloom.workload import rule_queries
+from ledgerloom.sources import store, tables
+from ledgerloom.workload import money_queries, rule_queries
 
 
 def _plan(df):
@@ -81,3 +84,57 @@ def test_first_cells_are_looked_up_without_lambdas(spark):
     found = df.select(tr.first_text(m.CATEGORY).alias("t"))
     assert [r["t"] for r in found.collect()] == ["b", None, None, None]
     assert "lambda" not in _plan(found)
+
+
+def _lines(spark, folder):
+    """Nine lines of two statements in three files, two of them alike."""
+    day = dt.datetime(2024, 1, 2)
+    lines = [(max(k, 1), 1, k % 2 + 1, k % 7 + 1, 40.0 + k, 10.0, 0.1, 0.0, "RAN"[k % 3], "O", day) for k in range(9)]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    spark.createDataFrame(lines, names).repartition(3).write.parquet(f"{folder}/lineitem.parquet")
+    part = "p_partkey long, p_name string, p_type string, p_size int"
+    spark.createDataFrame([(1, "red anvil", "PROMO", 3)], part).write.parquet(f"{folder}/part.parquet")
+    suppliers = [(1, "S1", 1), (2, "S2", 2)]
+    spark.createDataFrame(suppliers, "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+
+
+def test_hashed_rows_meet_parts_and_suppliers_once(spark, tmp_path):
+    """The ladder and the duplicate check read stored rows, which are not joined anew."""
+    _lines(spark, tmp_path)
+    for plan in (_plan(rule_queries.laddered(spark, str(tmp_path))), _plan(money_queries.d7(spark, str(tmp_path)))):
+        assert "p_partkey" not in plan and "s_suppkey" not in plan and "l_suppkey" not in plan
+    assert money_queries.d7(spark, str(tmp_path)).where("dup").count() == 3
+
+
+def test_the_place_of_a_file_is_met_without_moving_rows(spark, tmp_path):
+    _lines(spark, tmp_path)
+    df = tables.read_with_position(spark, str(tmp_path), "lineitem")
+    assert sorted(r["src_row"] for r in df.collect()) == list(range(9))
+    assert "Window" not in _plan(df)
+
+
+def test_stored_decisions_are_met_by_bits_of_their_key(spark):
+    """Keys with a null meet nothing; columns and rows are those of a join on the key."""
+    day = dt.date(2024, 1, 2)
+    rows = spark.createDataFrame([("a", day), ("a", None), ("b", day), (None, day), ("c", day)], "hash string, date date")
+    kept = [("a", 2024, 1, "food"), ("a", None, None, "food"), (None, 2024, 1, "food"), ("b", 2024, 2, "food"), ("c", 2024, 1, "gone")]
+    overrides = spark.createDataFrame(kept, "hash string, year int, month int, override_category string")
+    categories = spark.createDataFrame([("food",)], "id string")
+    out = cat.with_override(rows, overrides, categories)
+    assert out.columns == ["hash", "year", "month", "date", "override_category", "valid_override"]
+    want = {("a", day): ("food", "food"), ("c", day): ("gone", None)}
+    got = {(r["hash"], r["date"]): (r["override_category"], r["valid_override"]) for r in out.collect()}
+    assert len(got) == 5 and all(v == want.get(k, (None, None)) for k, v in got.items())
+    assert not re.search(r"hash#\d+ = hash#\d+", _plan(out))
+    marked = store.mark_duplicates(cat.with_period(rows), overrides)
+    assert sorted((r["hash"], r["date"]) for r in marked.where("dup").collect()) == sorted(want)
+    assert marked.count() == 5 and not re.search(r"hash#\d+ = hash#\d+", _plan(marked))
+
+
+def test_rates_are_met_without_moving_rows(spark):
+    """Quotes are worked out once and stored, so their size is known."""
+    quoted = spark.createDataFrame([("USD", dt.date(2024, 1, 2), "EUR", 0.5)], "base string, date date, ccy string, rate double")
+    rows = spark.createDataFrame([(dt.date(2024, 1, 2), "USD", 3.0)], "date date, currency string, amount double")
+    out = convert.with_converted(rows, quoted, "EUR")
+    assert [r["converted"] for r in out.collect()] == [1.5]
+    assert "Aggregate" not in _plan(out)
