@@ -1,20 +1,25 @@
 """Work that must not grow with more than what it is about."""
 
 import datetime as dt
+import glob
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from ledgerloom import model as m
-from ledgerloom.functions import identity
+from ledgerloom import session
+from ledgerloom.functions import identity, indexing
 from ledgerloom.functions.numbers import parse_number
 from ledgerloom.operators import categorize as cat
 from ledgerloom.operators import columns as col
-from ledgerloom.operators import convert
+from ledgerloom.operators import convert, review
 from ledgerloom.operators import transactions as tr
+from ledgerloom.plans import generation
 from ledgerloom.sources import store, tables
-from ledgerloom.workload import money_queries, rule_queries
+from ledgerloom.streaming import incremental
+from ledgerloom.workload import mapping_queries, money_queries, rule_queries
 
 
 def _plan(df):
@@ -138,3 +143,39 @@ def test_rates_are_met_without_moving_rows(spark):
     out = convert.with_converted(rows, quoted, "EUR")
     assert [r["converted"] for r in out.collect()] == [1.5]
     assert "Aggregate" not in _plan(out)
+
+
+def test_a_stored_step_leaves_no_shuffle_files(spark):
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*")}
+    before = files()
+    kept = session.materialize(spark.range(1000).repartition(3, "id"), "moved")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and kept.count() == 1000
+    assert spark.conf.get(session._FREE, None) is None
+
+
+def test_numbered_rows_meet_no_table(spark):
+    """The start of a block comes as one of its rows; null groups, ties of blocks and types stay."""
+    rows = [(g, i // 4, i, [str(i)], dt.date(2024, 1, 2)) for g in ("a", None) for i in range(10)]
+    df = spark.createDataFrame(rows, "g string, b long, i int, cells array<string>, day date")
+    out = indexing.dense_index(df, ["g"], "b", ["i"])
+    assert "Join" not in _plan(out) and out.dtypes == [*df.dtypes, ("row_index", "bigint")]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(((*r, r[2]) for r in rows), key=str)
+
+
+
+def test_typed_rows_of_a_review_are_stored_once(spark, tmp_path, monkeypatch):
+    """Large steps are stored once, compressed; typed rows do not carry their texts twice."""
+    _lines(spark, tmp_path)
+    kept, plain = [], session.materialize
+    for of in (generation, mapping_queries):
+        monkeypatch.setattr(of, "materialize", lambda df, name, **o: kept.append((name, df.columns, o)) or plain(df, name, **o))
+    assert mapping_queries.reviewed(spark, str(tmp_path)).count() >= 0
+    names = [name for name, _, _ in kept]
+    assert all(names.count(name) == 1 for name in ("raw", "typed", "ops"))
+    assert all(o == {"compression": "zstd"} for name, _, o in kept if name in ("raw", "typed", "ops"))
+    assert "cells" not in dict((name, columns) for name, columns, _ in kept)["typed"]
