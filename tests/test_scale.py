@@ -167,6 +167,36 @@ def test_numbered_rows_meet_no_table(spark):
     assert sorted(map(tuple, out.collect()), key=str) == sorted(((*r, r[2]) for r in rows), key=str)
 
 
+def _ops(spark, rows):
+    names = "file_id string, source_row long, row_block long, kind string, kind_order int, state string, reason string, amount double, base_hash string"
+    return spark.createDataFrame(rows, names)
+
+
+def test_operations_are_moved_once_to_become_transactions(spark, monkeypatch):
+    rows = [("f", i, i // 3, k, o, "error" if i == 2 else "ok", None, 1.0, f"{k}{i % 4}") for i in range(9) for o, k in enumerate(("main", "cashback"))]
+    seen, plain = [], tr.with_final_hash
+    monkeypatch.setattr(tr, "with_final_hash", lambda df, *a: seen.append(df.columns) or plain(df, *a))
+    ops = _ops(spark, rows)
+    out = tr.transactions(ops)
+    assert "row_index" not in seen[0] and out.columns == [c for c in ops.columns if c not in ("state", "reason")] + ["row_index", "dup", "hash"]
+    kept, copies, want = [r for r in rows if r[5] == "ok"], Counter(), []
+    for n, r in enumerate(kept):
+        want.append((r[1], r[3], n, copies[r[8]]))
+        copies[r[8]] += 1
+    assert sorted((r["source_row"], r["kind"], r["row_index"], r["dup"]) for r in out.collect()) == sorted(want)
+
+
+def test_error_and_skipped_rows_meet_their_source_together(spark):
+    ops = _ops(spark, [("f", i, 0, "main", 0, s, s, 1.0, "h") for i, s in enumerate(("ok", "error", "skipped"))])
+    cell = [(m.AMOUNT, (None, 5.0, None))]
+    typed = spark.createDataFrame(
+        [("f", i, cell) for i in range(3)], "file_id string, row_index long, typed array<struct<definition string, v struct<text string, number double, date date>>>"
+    )
+    kept = ops.where("state = 'ok'").selectExpr("file_id", "source_row row_index", "date'2024-01-02' date", "amount", "'EUR' currency", "'x' description")
+    out = review.review(kept, ops, typed)
+    assert sorted((r["state"], r["row_index"], r["amount"]) for r in out.collect()) == [("error", 1, 5.0), ("ok", 0, 1.0), ("skipped", 2, 5.0)]
+    assert _plan(out).count("Join") == 1
+
 
 def test_typed_rows_of_a_review_are_stored_once(spark, tmp_path, monkeypatch):
     """Large steps are stored once, compressed; typed rows do not carry their texts twice."""
