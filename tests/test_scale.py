@@ -209,3 +209,21 @@ def test_typed_rows_of_a_review_are_stored_once(spark, tmp_path, monkeypatch):
     assert all(names.count(name) == 1 for name in ("raw", "typed", "ops"))
     assert all(o == {"compression": "zstd"} for name, _, o in kept if name in ("raw", "typed", "ops"))
     assert "cells" not in dict((name, columns) for name, columns, _ in kept)["typed"]
+
+
+def test_a_commit_moves_stored_and_new_records_once(spark, tmp_path, monkeypatch):
+    h = identity.final_hash(F.lit("a"), F.lit(0))
+    known = spark.range(1).select(h.alias("h")).first()["h"]
+    old = [(2024, 1, 2, 1.0, "old", x, 0) for x in (known, "AB", "b", "odd")] + [(2024, 1, 2, 9.0, "old", None, 0)] * 2
+    new = [(2024, 1, 3, 2.0, c, x, i) for x in (known, "ab", "b", None) for c, i in (("new", 0), ("mine", 1))]
+    was, batch = (spark.createDataFrame(x, store.FOOTPRINT) for x in (old, new))
+    merged = store.merge_into_store(was, batch)
+    order = lambda df: sorted(map(str, df.collect()))
+    assert order(merged) == order(store.merge_footprints(was, batch).select(*was.columns)) and merged.columns == was.columns
+    assert "Join" not in _plan(merged)
+    stored = []
+    monkeypatch.setattr(store, "materialize", lambda df, name, **o: stored.append(name) or df)
+    priced = spark.createDataFrame([(dt.date(2024, 1, 2), "USD", 1.0, False, "food", known, 0)], "date date, currency string, amount_usd double, rate_missing boolean, category_id string, hash string, is_manual int")
+    assert tuple(priced.columns) == store.PRICED
+    store.commit(spark, str(tmp_path), priced)
+    assert not stored and store.read_store(spark, str(tmp_path)).count() == 1
