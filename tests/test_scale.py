@@ -227,3 +227,15 @@ def test_a_commit_moves_stored_and_new_records_once(spark, tmp_path, monkeypatch
     assert tuple(priced.columns) == store.PRICED
     store.commit(spark, str(tmp_path), priced)
     assert not stored and store.read_store(spark, str(tmp_path)).count() == 1
+
+
+def test_an_import_stores_what_its_commit_reads(spark, tmp_path, monkeypatch):
+    stored, plain = [], session.materialize
+    monkeypatch.setattr(incremental, "materialize", lambda df, name, **o: stored.append((name, tuple(df.columns), o)) or plain(df, name, **o))
+    names = "file_id string, date date, amount double, currency string, description string, counterparty string, account string, bank_category string, mcc string, is_bank_commission boolean, is_cashback boolean, base_hash string, hash string"
+    rows = spark.createDataFrame([("f", dt.date(2024, 1, 2), 1.0, "USD", *"xxxxx", False, False, "a", "b")], names)
+    none = spark.createDataFrame([], "base string, date date, ccy string, rate double")
+    kinds = spark.createDataFrame([("other", "Other", "base", False)], "id string, name string, currency string, is_archived boolean")
+    incremental.batch_import(spark, str(tmp_path), (), kinds, none, "other")(rows, 0)
+    assert stored == [("priced", store.PRICED, {"compression": "zstd"})]
+    assert [r["category_id"] for r in store.read_store(spark, str(tmp_path)).collect()] == ["other"]
