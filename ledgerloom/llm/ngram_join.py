@@ -45,6 +45,8 @@ FREQUENT = 32
 #: Frequent tokens of a text per sub-class, about.
 PER_CLASS = 8
 BLOCK_CHARS = 4_000_000
+#: A bucket of counts gets the tokens of about so many characters, however large a partition is.
+BUCKET_CHARS = 8_000_000
 HUB_ROUNDS = 2
 TOKENS, TEXTS = 1, 2
 #: Bytes of a token's key in counting; a clash only makes a token look less rare.
@@ -108,13 +110,21 @@ def prefix_entries(tokens: np.ndarray, rare: int, need: int, n: int, threshold:
     return np.unique(np.concatenate(out))
 
 
-def document_sets(docs: DataFrame, words: int, threshold: tuple[int, int], frequent: int, block_chars: int) -> DataFrame:
+def bucket_count(docs: DataFrame, bucket_chars: int = BUCKET_CHARS) -> int:
+    """One bucket for each partition, and more where partitions hold more text than a worker should meet at once."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(scan_partitions(docs), -(-chars // bucket_chars))
+
+
+def document_sets(
+    docs: DataFrame, words: int, threshold: tuple[int, int], frequent: int, block_chars: int, bucket_chars: int = BUCKET_CHARS
+) -> DataFrame:
     """``doc_id, n_shingles, node, rare, tokens`` of every row, stored.
 
     ``node`` names the set (null where no partner can exist); ``tokens`` are
     those that several documents hold, in the order of the join.
     """
-    buckets = scan_partitions(docs)
+    buckets = bucket_count(docs, bucket_chars)
     rows = docs.select(PART().alias("part"), "doc_id", "text")
 
     def counted(batches):
@@ -451,7 +461,7 @@ def near_duplicates(
     links. A null or empty text has no set and no links. A null id is linked
     like any other but is no smallest id unless all of its component are null.
     Repeated rows are one text seen again. Other columns are ignored; an empty
-    table gives an empty result. ``docs`` is read twice and must be stored.
+    table gives an empty result. ``docs`` is read three times and must be stored.
     """
     rows = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
     sets = document_sets(rows, words, threshold, frequent, block_chars)

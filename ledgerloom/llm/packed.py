@@ -87,7 +87,9 @@ def sent(
 
 
 def wide(keys: list[bytes], width: int) -> np.ndarray:
-    """Packed keys as 64-bit numbers."""
+    """Packed keys as numbers, of 64 bits unless four bytes hold them."""
+    if width == 4:
+        return np.frombuffer(b"".join(keys), "<u4")
     raw = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, width)
     out = np.zeros((len(raw), 8), np.uint8)
     out[:, :width] = raw
@@ -112,7 +114,8 @@ def added_up(
         first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         totals = np.add.reduceat(counts[order].astype(np.int64), first)
         every = np.empty(len(numbers), "<u4")
-        every[order] = np.repeat(np.minimum(totals, 2**32 - 1), np.diff(np.append(first, len(ordered))))
+        every[order] = np.repeat(np.minimum(totals, 2**32 - 1).astype("<u4"), np.diff(np.append(first, len(ordered))))
+        del numbers, order, ordered, counts
         ends = np.cumsum(sizes)
         out = [every[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]
         told = facts(kind, totals) if facts else None

@@ -329,3 +329,16 @@ def test_query_of_items(spark):
     want = {(r.doc_id, i) for r in read(spark, FOLDER, "documents").collect() for i, x in items if x in decontaminate.normal(r.text)}
     got = {(r.doc_id, r.item_id) for r in QUERIES["op7_decontamination"](spark, FOLDER).collect()}
     assert want and want <= got
+
+
+def test_buckets_of_counts_grow_with_the_text_of_a_partition(spark, tmp_path):
+    """A bucket stays small where one partition holds much text; the sets do not depend on it."""
+    texts = [(i, f"{'shared words of all the texts here ' * 3}own {i % 4} tail {i % 4} end") for i in range(40)]
+    docs = stored(spark.createDataFrame([*texts, (40, None)], "doc_id long, text string").coalesce(1), tmp_path)
+    chars = sum(len(t) for _, t in texts)
+    assert ngram_join.bucket_count(docs) == 1 and ngram_join.bucket_count(docs, 100) == -(-chars // 100)
+    assert ngram_join.bucket_count(docs.limit(0)) >= 1
+    few, many = (
+        ngram_join.document_sets(docs, ngram_join.WORDS, ngram_join.THRESHOLD, ngram_join.FREQUENT, 500, n) for n in (10**9, 100)
+    )
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
